@@ -192,11 +192,12 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         max_rows: int | None = None,
+        default_rows: int = MAX_ROWS_PER_TASK,
     ) -> None:
         self.keys, self.order = list(keys), list(order)
         self.df = require_columns(df, [*self.keys, *self.order])
         self.bounds: DataFrame | None = None
-        limit = max_rows or MAX_ROWS_PER_TASK
+        limit = max_rows or default_rows
         if max_rows is not None or not fits_one_task(df):
             self.bounds = hot_bounds(df, self.keys, lead_value(df, self.order[0]), limit)
 

@@ -137,3 +137,27 @@ DO = """dox AS (
          length(regexp_replace(text, '[^0-9]', '', 'g')) / (n_chars + 1.0::DOUBLE) AS x3,
          CAST(quality AS INTEGER) AS y, CAST(toxic AS INTEGER) AS toxic
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with two history-only predictors of the value: ``p`` (causal mean) and ``q``."""
+    from cyclograin.operators.windows import causal_mean
+
+    d = causal_mean(events(spark, sf_dir), EV_KEYS, EV_ORDER, "y", "p")
+    return d.withColumn("q", 0.5 * F.col("p") + 0.25 * F.col("x2"))
+
+
+PR = EV + f""", pr0 AS (SELECT *, avg(y) OVER ({EV_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS p FROM ev),
+pr AS (SELECT *, 0.5 * p + 0.25 * x2 AS q FROM pr0)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result table: one score per (unit, arm, seed), aggregated from all events."""
+    e = events(spark, sf_dir)
+    return e.groupBy("unit", F.col("event_type").alias("arm"), (F.col("event_id") % 5).cast("int").alias("seed")).agg(
+        F.avg("y").alias("rmse"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+RUNS = EV + """, runs AS (SELECT unit, event_type AS arm, CAST(event_id % 5 AS INTEGER) AS seed, avg(y) AS rmse,
+  count(*) AS n_rows FROM ev GROUP BY ALL)"""
