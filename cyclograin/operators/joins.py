@@ -89,23 +89,40 @@ def release_gate(ledger: DataFrame, status: str = "status") -> DataFrame:
 
 
 def availability_audit(
-    scored: DataFrame, keys: Sequence[str], raw_row: str, window: int = 100
+    entities: DataFrame, scored: DataFrame, keys: Sequence[str], raw_row: str, window: int = 100,
+    excluded: DataFrame | None = None, mapped: DataFrame | None = None, with_scalar: DataFrame | None = None,
 ) -> DataFrame:
-    """Every scored row must be mapped and lie after the window the statistic was computed from.
+    """Status of every entity: may its statistic be used for its scored rows?
 
-    Raw positions are 0-based, so cycle number = position + 1.
+    Every scored row must be mapped to a raw row, and lie after the window the statistic
+    was computed from. The optional tables list entities that are excluded, have a mapping,
+    or have the statistic at all.
     """
-    d = scored.groupBy(*keys).agg(
+    per = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_scored"),
         F.count(raw_row).alias("n_mapped"),
-        (F.min(raw_row) + 1).alias("min_raw_cycle"),
+        F.min(raw_row).alias("raw_min"),
+        F.max(raw_row).alias("raw_max"),
     )
-    unmapped = F.when(F.col("n_mapped") < F.col("n_scored"), "unmapped_rows")
-    early = F.when(F.col("min_raw_cycle") <= window, "inside_window")
+    d = entities.select(*keys).distinct().join(per, list(keys), "left")
+    for name, t in (("__ex", excluded), ("__map", mapped), ("__sc", with_scalar)):
+        if t is None:
+            d = d.withColumn(name, F.lit(name != "__ex"))
+        else:
+            d = d.join(t.select(*keys).distinct().withColumn(name, F.lit(True)), list(keys), "left")
+    gap = F.col("n_scored") - F.col("n_mapped")
+    unmapped = F.when(gap > 0, F.concat(F.lit("unmapped_rows="), gap.cast("string")))
+    early = F.when(F.col("raw_min") <= window, F.concat(F.lit("min_raw_cycle="), F.col("raw_min").cast("string")))
     bad = F.filter(F.array(unmapped, early), lambda v: v.isNotNull())
-    return d.withColumn("violations", F.array_join(bad, ",")).withColumn(
-        "status", F.when(F.size(bad) == 0, "ok").otherwise("violation")
+    status = (
+        F.when(F.coalesce("__ex", F.lit(False)), "excluded_identity")
+        .when(F.col("__map").isNull(), "no_raw_curve_data")
+        .when(F.col("__sc").isNull(), "no_scalar")
+        .when(F.coalesce("n_scored", F.lit(0)) == 0, "no_scored_rows")
+        .when(F.size(bad) > 0, "violation")
+        .otherwise("ok")
     )
+    return d.withColumns({"status": status, "violations": F.array_join(bad, ",")}).drop("__ex", "__map", "__sc")
 
 
 def prefix_agreement(
