@@ -25,6 +25,14 @@ def context_sample(
     return top_n(df, unit, [h, *[F.col(c) for c in ids]], cap, "__r").drop("__r")
 
 
+def context_sample_by(
+    df: DataFrame, groups: Sequence[str], seed: str, ids: Sequence[str], cap: int
+) -> DataFrame:
+    """As :func:`context_sample` with the seed taken from a column of the grid."""
+    h = hash_key(F.col(seed), "context", *ids)
+    return top_n(df, groups, [h, *[F.col(c) for c in ids]], cap, "__r").drop("__r")
+
+
 def end_sample(
     df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], ids: Sequence[str],
     mode: str, cap: int, seed: int = 0,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclograin.functions import delta_pct, rmse
-from cyclograin.operators import metrics
+from cyclograin.operators import inference, linear, metrics, normalize, sampling, windows
+from cyclograin.operators.attach import attach, settled
 from cyclograin.operators.ordered import Ordered, first, ordinal, total
 
 
@@ -33,3 +34,100 @@ def missing_anchor(
     )
     deltas = scores.select("k0", *unit, delta_pct("srl", "raw").alias("delta"))
     return metrics.delta_verdict(deltas, ["k0"], 1).drop("holds")
+
+
+def evaluate_linear(
+    df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], ids: Sequence[str], xs: Sequence[str],
+    y: str, views: Sequence[str], seeds: Sequence[int] = (0,), cap: int | None = 2048, alpha: float = 1.0,
+    normalise: str = "source", is_test: str = "is_test",
+) -> DataFrame:
+    """Normalise, build views, sample contexts, fit and score: all units and seeds in one plan per view.
+
+    Rows are read for two sets of moment matrices (sampled context, held-out entities);
+    models and errors come from those.
+    """
+    keys = [*unit, entity]
+    d = df.select(*keys, is_test, *dict.fromkeys([*order, *ids, *xs, y]))
+    if normalise == "source":
+        d = normalize.source_minmax(d, unit, xs, is_test)
+    elif normalise == "entity":
+        d = normalize.entity_minmax(d, keys, order, xs)
+    elif normalise != "none":
+        raise ValueError(f"unknown normalisation {normalise!r}")
+    out: DataFrame | None = None
+    for view in views:
+        v = windows.build_view(d, keys, order, xs, view)
+        cols = windows.view_columns(view, xs)
+        source = v.filter(~F.col(is_test)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        if cap is not None:
+            source = sampling.context_sample_by(source, [*unit, "seed"], "seed", ids, cap)
+        models = linear.fit(linear.moments(source, [*unit, "seed"], cols, y), alpha)
+        held = linear.moments(v.filter(F.col(is_test)), keys, cols, y)
+        held = held.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        one = linear.score(held, models, [*unit, "seed"]).withColumn("view", F.lit(view))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def context_ladder(
+    df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], ids: Sequence[str], xs: Sequence[str],
+    y: str, samplers: dict[str, tuple[str, int]], alpha: float = 1.0, seed: int = 0, is_test: str = "is_test",
+) -> DataFrame:
+    """Error by context sampler and size. ``samplers``: name -> (mode, cap); mode ``full`` has no cap."""
+    keys = [*unit, entity]
+    held = linear.moments(df.filter(F.col(is_test)), keys, xs, y)
+    source = df.filter(~F.col(is_test))
+    staged = normalize.with_stage(source, keys, order)
+    out: DataFrame | None = None
+    for name, (mode, cap) in samplers.items():
+        if mode == "full":
+            ctx = source
+        elif mode in ("recent", "early"):
+            ctx = sampling.end_sample(source, unit, entity, order, ids, mode, cap, seed)
+        else:
+            ctx = sampling.coverage_sample(staged, unit, entity, ids, mode, cap, seed, y)
+        m = linear.moments(ctx, unit, xs, y)
+        one = linear.score(held, linear.fit(m, alpha), unit)
+        one = one.join(m.select(*unit, linear.n_rows().cast("bigint").alias("n_context")), list(unit))
+        one = one.withColumn("sampler", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def permutation_test(
+    df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], xs: Sequence[str], y: str, n_draws: int,
+    alpha: float = 1.0, is_test: str = "is_test",
+) -> tuple[DataFrame, DataFrame]:
+    """Self-referenced view against mispaired references: scores of all draws and the p-values.
+
+    The rows are read once for the entity moment matrices and the first rows; every draw
+    is algebra on those.
+    """
+    keys = [*unit, entity]
+    per_entity = settled(linear.moments(df, [*keys, is_test], xs, y))
+    anchors = settled(windows.first_rows(df, keys, order, xs))
+    maps = sampling.derangements(per_entity, unit, entity, n_draws)
+    own = per_entity.select(*keys).withColumns({"m": F.lit(-1), "ref": F.col(entity)})
+    maps = maps.unionByName(own).withColumnRenamed("m", "draw")
+    scores = settled(linear.anchored_scores(per_entity, maps, anchors, unit, entity, "draw", xs, alpha, is_test))
+    observed = scores.filter(F.col("draw") == -1).select(*unit, "rmse_macro")
+    null = scores.filter(F.col("draw") >= 0).select(*unit, "rmse_macro")
+    return scores, inference.randomisation_p(observed, null, unit, "rmse_macro")
+
+
+def curve_scalar_arms(
+    df: DataFrame, scalar: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], xs: Sequence[str],
+    y: str, n0: int, alpha: float = 1.0, is_test: str = "is_test",
+) -> DataFrame:
+    """Raw, anchored, raw + scalar and anchored + scalar on one common scoring set (t >= n0)."""
+    keys = [*unit, entity]
+    d = Ordered(df, keys, order).with_scans(__t=ordinal())
+    d = windows.history_features(d, keys, order, xs, ["from_first"])
+    z = normalize.entity_scalar_zscore(
+        attach(d, scalar.select(*keys, "scalar").filter(F.col("scalar").isNotNull()), keys), unit, entity, "scalar", "z"
+    ).filter(F.col("__t") >= n0)
+    lift = [f"{x}__from_first" for x in xs]
+    every = [*xs, *lift, "z"]
+    per_entity = linear.moments(z, [*keys, is_test], every, y)
+    arms = {"raw": list(xs), "srl": [*xs, *lift], "raw+scalar": [*xs, "z"], "srl+scalar": every}
+    return linear.ablation(per_entity, unit, every, arms, is_test, alpha)
