@@ -6,7 +6,7 @@ from importlib import import_module
 
 from cyclograin.plans.registry import QUERIES, Query
 
-MODULES = ("catalog_rows", "catalog_stats", "catalog_audit")
+MODULES = ("catalog_rows", "catalog_stats", "catalog_audit", "catalog_models")
 
 
 def all_queries() -> dict[str, Query]:
