@@ -3,43 +3,55 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclograin.operators.ordered import plan_bytes
 
 BROADCAST_BYTES = 8 * 1024 * 1024
-BROADCAST_CELLS = 4_000_000
+
+
+_TEMPORARY: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only a session without that setting (tests) gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        base = _TEMPORARY.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the session's shared folder.
+    """Cut the lineage: write the rows once to the shared folder and read them back.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (tests) gets
-    a temporary folder.
+    The table survives lost executors, is computed only once, and its size on disk gives
+    later broadcast decisions a true figure.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a lookup (one row per key) onto a big table.
 
-    The lookup is broadcast when the optimizer's upper estimate or, failing that, its
-    counted size allows it. Otherwise the join is left to the shuffle path, where adaptive
+    The lookup is broadcast when the optimizer's upper estimate or, failing that, the size
+    of its settled table allows it. Otherwise the join is left to the shuffle path, where adaptive
     skew handling splits a hot key against its single lookup row.
     """
     keys = list(keys)
     if plan_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
     small = settled(small)
-    if small.count() * max(1, len(small.columns)) <= BROADCAST_CELLS:
+    if plan_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
     return big.join(small, keys, how)
 

@@ -23,6 +23,11 @@ def _zero(**kinds: str) -> Column:
     return F.struct(*[F.lit(0).cast(k).alias(n) for n, k in kinds.items()])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def longest_run(mask: Column) -> Column:
     """[start, stop) of the longest run of true values, the first one on ties; (0, 0) if none."""
 
@@ -79,15 +84,18 @@ def masked_duration(pts: Points, cond) -> Column:
 def run_slice(pts: Points, cond) -> Column:
     """Points of the longest run that satisfies the condition."""
     run = longest_run(_masked(pts, cond))
-    return F.slice(col(pts), run["start"] + 1, run["stop"] - run["start"])
+    return let(run, lambda r: F.slice(col(pts), r["start"] + 1, r["stop"] - r["start"]))
 
 
 def low_current_window(pts: Points, thr: float = 0.5) -> Column:
     """Charge, duration and mean current of the longest run with current <= thr, anywhere."""
-    win = run_slice(pts, lambda p: p["i"] <= thr)
-    mean = F.aggregate(win, F.lit(0.0), lambda a, p: a + p["i"]) / F.size(win)
-    value = F.struct(charge_ah(win).alias("ah"), span(win).alias("s"), mean.alias("i_mean"))
-    return F.when(F.size(win) >= 2, value)
+
+    def value(win: Column) -> Column:
+        mean = F.aggregate(win, F.lit(0.0), lambda a, p: a + p["i"]) / F.size(win)
+        got = F.struct(charge_ah(win).alias("ah"), span(win).alias("s"), mean.alias("i_mean"))
+        return F.when(F.size(win) >= 2, got)
+
+    return let(run_slice(pts, lambda p: p["i"] <= thr), value)
 
 
 def positive_segments_ah(pts: Points) -> Column:
@@ -116,16 +124,24 @@ def positive_segments_ah(pts: Points) -> Column:
 def interpolate_at(pts: Points, value: str, xs: Sequence[float], x: str = "t") -> Column:
     """Linear interpolation at a few fixed positions; first value to the left, NULL to the right."""
     known = F.filter(col(pts), lambda p: p[x].isNotNull() & p[value].isNotNull())
+    grid = F.array(*[F.lit(float(g)) for g in xs])
 
-    def at(g: float) -> Column:
-        lo = F.try_element_at(F.filter(known, lambda p: p[x] <= g), F.lit(-1))
-        hi = F.try_element_at(F.filter(known, lambda p: p[x] >= g), F.lit(1))
-        w = (g - lo[x]) / (hi[x] - lo[x])
+    def bracket(k: Column, g: Column) -> Column:
+        lo = F.try_element_at(F.filter(k, lambda p: p[x] <= g), F.lit(-1))
+        hi = F.try_element_at(F.filter(k, lambda p: p[x] >= g), F.lit(1))
+        return F.struct(g.alias("g"), lo.alias("lo"), hi.alias("hi"))
+
+    def at(b: Column) -> Column:
+        lo, hi = b["lo"], b["hi"]
+        w = (b["g"] - lo[x]) / (hi[x] - lo[x])
         inside = F.when(hi[x] == lo[x], lo[value]).otherwise(lo[value] + (hi[value] - lo[value]) * w)
         return F.when(lo.isNull(), hi[value]).when(hi.isNull(), F.lit(None).cast("double")).otherwise(inside)
 
-    grid = F.array(*[at(float(g)) for g in xs])
-    return F.when(F.size(known) >= 2, grid)
+    def values(k: Column) -> Column:
+        made = F.transform(F.transform(grid, lambda g: bracket(k, g)), at)
+        return F.when(F.size(k) >= 2, made)
+
+    return let(known, values)
 
 
 def _grid_udf(grid: Sequence[float], min_points: int):
@@ -175,20 +191,27 @@ def _sum(values: Column) -> Column:
 def early_stats(pts: Points, value: str, x: str = "t") -> Column:
     """Mean, population deviation and least-squares slope (0 for a zero span)."""
     known = F.filter(col(pts), lambda p: p[x].isNotNull() & p[value].isNotNull())
-    n = F.size(known).cast("double")
-    mx, my = _sum(F.transform(known, lambda p: p[x])) / n, _sum(F.transform(known, lambda p: p[value])) / n
-    packed = F.transform(
-        F.array(F.struct(known.alias("k"), mx.alias("mx"), my.alias("my"), n.alias("n"))),
-        lambda s: F.struct(
-            s["my"].alias("mean"),
+
+    def means(k: Column) -> Column:
+        n = F.size(k).cast("double")
+        return F.struct(
+            k.alias("k"), n.alias("n"), (_sum(F.transform(k, lambda p: p[x])) / n).alias("mx"),
+            (_sum(F.transform(k, lambda p: p[value])) / n).alias("my"),
+        )
+
+    def moments(s: Column) -> Column:
+        return F.struct(
+            s["n"].alias("n"), s["my"].alias("mean"),
             F.sqrt(_sum(F.transform(s["k"], lambda p: (p[value] - s["my"]) * (p[value] - s["my"]))) / s["n"]).alias("std"),
             _sum(F.transform(s["k"], lambda p: (p[x] - s["mx"]) * (p[value] - s["my"]))).alias("sxy"),
             _sum(F.transform(s["k"], lambda p: (p[x] - s["mx"]) * (p[x] - s["mx"]))).alias("sxx"),
-        ),
-    )[0]
-    slope = F.when(packed["sxx"] > 0, packed["sxy"] / packed["sxx"]).otherwise(0.0)
-    value_ = F.struct(packed["mean"].alias("mean"), packed["std"].alias("std"), slope.alias("slope"))
-    return F.when(F.size(known) >= 2, value_)
+        )
+
+    def result(m: Column) -> Column:
+        slope = F.when(m["sxx"] > 0, m["sxy"] / m["sxx"]).otherwise(0.0)
+        return F.when(m["n"] >= 2, F.struct(m["mean"].alias("mean"), m["std"].alias("std"), slope.alias("slope")))
+
+    return let(let(let(known, means), moments), result)
 
 
 def early_layout(
@@ -264,11 +287,11 @@ def entity_medians(df: DataFrame, entity: Sequence[str], cols: Sequence[str]) ->
 
 def charge_readings(df: DataFrame, entity: Sequence[str], cycle: str, ah: str, early: int, late: int) -> DataFrame:
     """Charge at two cycles and its lifetime median."""
-    at = df.groupBy(*entity).agg(
+    at = [
         F.max(F.when(F.col(cycle) == early, F.col(ah))).alias("ah_early"),
         F.max(F.when(F.col(cycle) == late, F.col(ah))).alias("ah_late"),
-    )
-    return at.join(quantiles(df, entity, {"ah_median": (ah, 0.5)}), list(entity))
+    ]
+    return quantiles(df, entity, {"ah_median": (ah, 0.5)}, extra=at)
 
 
 def reconcile(ours: DataFrame, released: DataFrame, entity: Sequence[str], cols: Sequence[str], limit: float = 0.01) -> DataFrame:

@@ -13,7 +13,7 @@ from cyclograin.functions.stats import (
     rank_sum_p_col,
     signed_rank_p_col,
 )
-from cyclograin.operators.attach import attach
+from cyclograin.operators.attach import attach, settled
 from cyclograin.operators.ordered import Ordered, ordinal, total
 from cyclograin.operators.ranks import quantiles, top_n, with_average_rank
 from cyclograin.operators.sampling import bootstrap_draws
@@ -101,7 +101,7 @@ def bootstrap_means(
     items: DataFrame, group: Sequence[str], order: Sequence[str], value: str, n_boot: int, seed: int = 0
 ) -> DataFrame:
     """Mean of each bootstrap replicate: one row per (group, b)."""
-    numbered = indexed(items.select(*group, *order, value), group, order)
+    numbered = settled(indexed(items.select(*group, *order, value), group, order))
     draws = bootstrap_draws(numbered, group, "slot", "size", n_boot, seed)
     lookup = numbered.select(*group, F.col("slot").alias("pick"), value)
     return attach(draws, lookup, [*group, "pick"]).groupBy(*group, "b").agg(F.avg(value).alias("mean"))
@@ -112,8 +112,9 @@ def bootstrap_interval(
     seed: int = 0, level: float = 0.95,
 ) -> DataFrame:
     tail = (1.0 - level) / 2.0
+    items = settled(items.select(*group, *order, value))
     means = bootstrap_means(items, group, order, value, n_boot, seed)
-    ci = quantiles(means, group, {"ci_lo": ("mean", tail), "ci_hi": ("mean", 1.0 - tail)})
+    ci = quantiles(means, group, {"ci_lo": ("mean", tail), "ci_hi": ("mean", 1.0 - tail)}, bounded=True)
     stats = items.groupBy(*group).agg(F.avg(value).alias("mean_diff"), F.count(value).alias("n_entities"))
     return stats.join(ci, list(group))
 
@@ -135,7 +136,7 @@ def relative_bootstrap(
     a = bootstrap_means(ours, group, order, value, n_boot, seed).withColumnRenamed("mean", "__a")
     b = bootstrap_means(theirs, group, order, value, n_boot, seed + 1).withColumnRenamed("mean", "__b")
     d = a.join(b, [*group, "b"]).withColumn("delta", (F.col("__a") - F.col("__b")) / F.col("__b") * 100.0)
-    return quantiles(d, group, {"ci_lo": ("delta", 0.025), "ci_hi": ("delta", 0.975)})
+    return quantiles(d, group, {"ci_lo": ("delta", 0.025), "ci_hi": ("delta", 0.975)}, bounded=True)
 
 
 def majority_vote(votes: DataFrame, by: Sequence[str], decision: str) -> DataFrame:
@@ -153,15 +154,14 @@ def randomisation_p(observed: DataFrame, null: DataFrame, by: Sequence[str], sta
     d = null.join(observed.withColumnRenamed(stat, "__obs"), list(by)) if by else null.crossJoin(
         F.broadcast(observed.withColumnRenamed(stat, "__obs"))
     )
-    counts = d.groupBy(*by).agg(
+    counts = [
         F.max("__obs").alias("observed"),
         F.count_if(F.col(stat) <= F.col("__obs")).alias("n_le"),
         F.count(F.lit(1)).alias("n_draws"),
         F.min(stat).alias("null_min"),
         F.max(stat).alias("null_max"),
-    )
-    med = quantiles(null, by, {"null_median": (stat, 0.5)})
-    out = counts.join(med, list(by)) if by else counts.crossJoin(med)
+    ]
+    out = quantiles(d, by, {"null_median": (stat, 0.5)}, extra=counts)
     return out.withColumn("p", (F.col("n_le") + 1.0) / (F.col("n_draws") + 1.0))
 
 

@@ -88,14 +88,14 @@ def log_loss(p_true: str | Column, eps: float = 1e-15) -> Column:
 
 def seed_summary(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     """Mean, median, sample deviation (0 for one seed), extremes and count over seeds."""
-    base = df.groupBy(*by).agg(
+    stats = [
         F.avg(metric).alias("mean"),
         F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"),
         F.min(metric).alias("min"),
         F.max(metric).alias("max"),
         F.count(metric).alias("n"),
-    )
-    return base.join(quantiles(df, by, {"median": (metric, 0.5)}), list(by))
+    ]
+    return quantiles(df, by, {"median": (metric, 0.5)}, extra=stats)
 
 
 def paired_delta(df: DataFrame, by: Sequence[str], arm: str, metric: str, base: str, arms: Sequence[str]) -> DataFrame:
@@ -112,11 +112,8 @@ def paired_delta(df: DataFrame, by: Sequence[str], arm: str, metric: str, base:
 
 def delta_verdict(deltas: DataFrame, by: Sequence[str], need: int) -> DataFrame:
     """Median change, number improved, and whether at least ``need`` improved."""
-    counts = deltas.groupBy(*by).agg(
-        F.count_if(F.col("delta") < 0).alias("improved"), F.count(F.lit(1)).alias("n_units")
-    )
-    med = quantiles(deltas, by, {"median_delta": ("delta", 0.5)})
-    out = counts.join(med, list(by)) if by else counts.crossJoin(med)
+    counts = [F.count_if(F.col("delta") < 0).alias("improved"), F.count(F.lit(1)).alias("n_units")]
+    out = quantiles(deltas, by, {"median_delta": ("delta", 0.5)}, extra=counts)
     return out.withColumn("holds", F.col("improved") >= need)
 
 

@@ -7,7 +7,7 @@ borders, and the rounds stop when no two neighbours violate the order anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,31 +48,70 @@ def fit_decreasing(y: np.ndarray) -> np.ndarray:
     return np.repeat(s / n, n.astype(int))
 
 
-def fit_causal(y: np.ndarray) -> np.ndarray:
-    """Last value of the fit of every prefix."""
-    out = np.empty(len(y))
-    s: list[float] = []
-    n: list[float] = []
-    for i, v in enumerate(y):
-        cs, cn = float(v), 1.0
-        while s and s[-1] * cn < cs * n[-1]:
-            cs += s.pop()
-            cn += n.pop()
-        s.append(cs)
-        n.append(cn)
-        out[i] = cs / cn
-    return out
+class CausalFit:
+    """Last value of the fit of every prefix; the block stack is all that is remembered."""
 
+    def __init__(self) -> None:
+        self.sums: list[float] = []
+        self.counts: list[float] = []
+
+    def extend(self, y: np.ndarray) -> np.ndarray:
+        s, n, out = self.sums, self.counts, np.empty(len(y))
+        for i, v in enumerate(y.tolist()):
+            cs, cn = v, 1.0
+            while s and s[-1] * cn < cs * n[-1]:
+                cs += s.pop()
+                cn += n.pop()
+            s.append(cs)
+            n.append(cn)
+            out[i] = cs / cn
+        return out
 
-def _per_entity(df: DataFrame, keys, order, y: str, out: str, fit) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    order = list(order)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{out: fit(pdf[y].to_numpy(dtype=float))})
+def group_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers at which the key differs from the row before (0 included)."""
+    change = np.zeros(len(pdf), dtype=bool)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    if len(pdf):
+        change[0] = True
+    return np.flatnonzero(change)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+
+def _sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _whole_series(df: DataFrame, keys, order, y: str, out: str, fit) -> DataFrame:
+    """Fit complete series; many short series share one Arrow batch."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: list[pd.DataFrame] = []
+
+        def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+            starts = group_starts(pdf, keys)
+            v = pdf[y].to_numpy(dtype=float)
+            return pdf.assign(**{out: np.concatenate([fit(p) for p in np.split(v, starts[1:])])})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            joined = pd.concat([*[t.tail(1) for t in tail[-1:]], pdf], ignore_index=True)
+            starts = group_starts(joined, keys) - (1 if tail else 0)
+            last = int(starts[-1])
+            if last <= 0 and tail:
+                # the whole batch continues the open series
+                tail.append(pdf)
+                continue
+            yield fitted(pd.concat([*tail, pdf.iloc[:last]], ignore_index=True)) if tail or last else pdf.iloc[:0].assign(**{out: 0.0})
+            tail = [pdf.iloc[last:]]
+        if tail:
+            yield fitted(pd.concat(tail, ignore_index=True))
+
+    return _sorted(df, keys, order).mapInPandas(run, schema)
 
 
 def isotonic(
@@ -84,7 +123,7 @@ def isotonic(
     """
     scan = Ordered(df, keys, order, max_rows, PANDAS_ROWS)
     if scan.bounds is None:
-        return _per_entity(df, keys, order, y, out, fit_decreasing)
+        return _whole_series(df, keys, order, y, out, fit_decreasing)
     return _isotonic_in_rounds(scan, y, out, max_rows or PANDAS_ROWS)
 
 
@@ -131,9 +170,27 @@ def causal_isotonic(
 ) -> DataFrame:
     """Last value of the non-increasing fit of every prefix (online): min over j of mean(y_j..y_t).
 
-    The block stack of an entity is carried row by row, so an entity is one sequential job.
+    Rows stream through in order; between batches only the block stack of the open series
+    is kept, never its rows.
     """
-    return _per_entity(df, keys, order, y, out, fit_causal)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = CausalFit(), None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            starts = group_starts(pdf, keys)
+            made = []
+            for i, part in enumerate(np.split(pdf[y].to_numpy(dtype=float), starts[1:])):
+                key = tuple(pdf[k].iloc[starts[i]] for k in keys)
+                if key != last:
+                    state, last = CausalFit(), key
+                made.append(state.extend(part))
+            yield pdf.assign(**{out: np.concatenate(made)})
+
+    return _sorted(df, keys, order).mapInPandas(run, schema)
 
 
 def smooth_isotonic(df, keys, order, y: str, out: str, max_rows: int | None = None) -> DataFrame:

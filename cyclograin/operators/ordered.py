@@ -15,6 +15,7 @@ all rows. :class:`Ordered` offers one vocabulary for both cases.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from cyclograin.schema import require_columns
 
 MAX_ROWS_PER_TASK = 20_000_000
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_ROWS = 1_000_000
 
 _CHUNK, _HALO, _RANK = "__chunk", "__halo", "__rank"
 
@@ -122,6 +124,26 @@ def lead_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+_PROBES: OrderedDict[tuple, bool] = OrderedDict()
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
+    """Whether any key exceeds ``max_rows`` rows: one map-side combined count over the keys.
+
+    The answer is remembered for the same plan, since one evaluation asks several times.
+    It only picks the physical route; both routes give the same rows.
+    """
+    if fits_one_task(df) and max_rows >= SMALL_INPUT_ROWS:
+        return False
+    probe = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), max_rows)
+    if probe not in _PROBES:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        _PROBES[probe] = bool(counts.filter(F.col("__n") > max_rows).take(1))
+        if len(_PROBES) > 1000:
+            _PROBES.popitem(last=False)
+    return _PROBES[probe]
+
+
 def hot_bounds(
     df: DataFrame, keys: Sequence[str], lead: Column, max_rows: int
 ) -> DataFrame | None:
@@ -198,7 +220,7 @@ class Ordered:
         self.df = require_columns(df, [*self.keys, *self.order])
         self.bounds: DataFrame | None = None
         limit = max_rows or default_rows
-        if max_rows is not None or not fits_one_task(df):
+        if has_hot_key(df, self.keys, limit):
             self.bounds = hot_bounds(df, self.keys, lead_value(df, self.order[0]), limit)
 
     def with_scans(self, **scans: Scan) -> DataFrame:

@@ -12,7 +12,7 @@ from cyclograin.operators.ordered import (
     MAX_ROWS_PER_TASK,
     Ordered,
     Scan,
-    fits_one_task,
+    has_hot_key,
     ordinal,
     running_sum,
     total,
@@ -21,11 +21,6 @@ from cyclograin.operators.ordered import (
 PERCENTILE_ROWS = 1_000_000
 
 
-def _has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return bool(counts.filter(F.col("n") > max_rows).take(1))
-
-
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-NULL values per key with their row counts; combines map-side."""
     return (
@@ -40,9 +35,14 @@ def quantiles(
     keys: Sequence[str],
     measures: dict[str, tuple[str, float]],
     max_rows: int | None = None,
+    extra: Sequence[Column] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key: ``{output: (column, q)}``.
 
+    ``extra`` are further aggregates wanted per key; ``bounded`` says that the group size is
+    limited by construction, so no count is needed.
+
     Small groups use the built-in aggregate. A group above ``max_rows`` is reduced to
     counted distinct values, cut into chunks by value, and only the one or two chunks that
     hold the wanted positions are ranked.
@@ -51,13 +51,12 @@ def quantiles(
     keyed = keys or ["__all"]
     src = df if keys else df.withColumn("__all", F.lit(0))
     limit = max_rows or PERCENTILE_ROWS
-    small = max_rows is None and fits_one_task(df)
-    if small or not _has_hot_key(src, keyed, limit):
+    if bounded or not has_hot_key(src, keyed, limit):
         out = src.groupBy(*keyed).agg(
-            *[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in measures.items()]
+            *extra, *[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in measures.items()]
         )
     else:
-        out = src.select(*keyed).distinct()
+        out = src.groupBy(*keyed).agg(*(extra or [F.lit(0).alias("__no")])).drop("__no")
         by_column: dict[str, dict[str, float]] = {}
         for name, (c, q) in measures.items():
             by_column.setdefault(c, {})[name] = q
@@ -104,8 +103,7 @@ def with_average_rank(
 ) -> DataFrame:
     """1-based rank with ties averaged; NULL values get NULL."""
     keys = list(keys)
-    small = max_rows is None and fits_one_task(df)
-    if small or not _has_hot_key(df, keys, max_rows or MAX_ROWS_PER_TASK):
+    if not has_hot_key(df, keys, max_rows or MAX_ROWS_PER_TASK):
         order = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value)
         ties = Window.partitionBy(*keys, value)
         rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0

@@ -43,8 +43,9 @@ def evaluate_linear(
 ) -> DataFrame:
     """Normalise, build views, sample contexts, fit and score: all units and seeds in one plan per view.
 
-    Rows are read for two sets of moment matrices (sampled context, held-out entities);
-    models and errors come from those.
+    One set of moment matrices over the widest set of columns serves every view: a view is
+    a sub-matrix. Rows are read once for the sampled contexts and once for the held-out
+    entities.
     """
     keys = [*unit, entity]
     d = df.select(*keys, is_test, *dict.fromkeys([*order, *ids, *xs, y]))
@@ -54,19 +55,28 @@ def evaluate_linear(
         d = normalize.entity_minmax(d, keys, order, xs)
     elif normalise != "none":
         raise ValueError(f"unknown normalisation {normalise!r}")
-    out: DataFrame | None = None
-    for view in views:
-        v = windows.build_view(d, keys, order, xs, view)
-        cols = windows.view_columns(view, xs)
-        source = v.filter(~F.col(is_test)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-        if cap is not None:
-            source = sampling.context_sample_by(source, [*unit, "seed"], "seed", ids, cap)
-        models = linear.fit(linear.moments(source, [*unit, "seed"], cols, y), alpha)
-        held = linear.moments(v.filter(F.col(is_test)), keys, cols, y)
-        held = held.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-        one = linear.score(held, models, [*unit, "seed"]).withColumn("view", F.lit(view))
-        out = one if out is None else out.unionByName(one)
-    return out
+    families = [f for f in (*windows.FAMILIES, "from_early") if any(f in windows.VIEWS[v] for v in views)]
+    v = windows.history_features(d, keys, order, xs, families) if families else d
+    every = [*xs, *[f"{x}__{f}" for f in families for x in xs]]
+    seed_rows = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    source = v.filter(~F.col(is_test)).withColumn("seed", seed_rows)
+    if cap is not None:
+        source = sampling.context_sample_by(source, [*unit, "seed"], "seed", ids, cap)
+    place = {c: i for i, c in enumerate(every)}
+    sets = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("view"),
+                F.array(*[F.lit(place[c]) for c in windows.view_columns(n, xs)]).cast("array<int>").alias("keep"),
+            )
+            for n in views
+        ]
+    )
+    m = linear.moments(source, [*unit, "seed"], every, y).withColumn("__v", F.explode(sets))
+    models = linear.fit(m.select(*unit, "seed", "m", "__v.view", "__v.keep"), alpha, F.col("keep"))
+    held = linear.moments(v.filter(F.col(is_test)), keys, every, y)
+    held = held.join(models.select(*unit, "seed", "view"), list(unit))
+    return linear.score(held, models, [*unit, "seed", "view"])
 
 
 def context_ladder(

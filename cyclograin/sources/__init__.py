@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclograin.operators.attach import attach
+from cyclograin.operators.attach import attach, scratch_path
 from cyclograin.operators.filters import strict_rows, three_sigma_rows
 from cyclograin.schema import CURVES, FEATURES_16, RUNS, clean_numeric, series_csv_schema
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's shared folder (a temporary folder in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = [
+    "append_runs", "dataset_summary", "export_csv", "file_manifest", "label_only", "load_series", "metrics_wide",
+    "official_splits", "read_curves", "read_keyed_archive", "read_runs", "read_series_csv", "scratch_path",
+    "write_scored_points", "write_summary",
+]
 
 
 def read_series_csv(
