@@ -69,7 +69,7 @@ def rank_sum_stats(df: DataFrame, by: Sequence[str], is_first: str, value: str,
     """Mann-Whitney U of the first sample, sizes and tie term."""
     d = with_average_rank(df, by, value, "__r", max_rows)
     n1 = F.sum(F.col(is_first).cast("double"))
-    r1 = F.sum(F.when(F.col(is_first), F.col("__r")).otherwise(0.0))
+    r1 = F.sum(F.when(F.col(is_first), F.col("__r")))
     u = d.groupBy(*by).agg(
         F.count_if(F.col(is_first)).alias("n1"), F.count_if(~F.col(is_first)).alias("n2"),
         (r1 - n1 * (n1 + 1) / 2.0).alias("u1"),

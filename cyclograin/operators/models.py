@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,15 +61,17 @@ def fit_predict(
 
 
 def per_unit(
-    df: DataFrame, unit: str, run: Callable[[DataFrame], DataFrame]
+    df: DataFrame, unit: str, run: Callable[[DataFrame], DataFrame], is_test: str = "is_test"
 ) -> DataFrame:
-    """Union of ``run`` over the units (few, each an MLlib job of its own)."""
-    units = sorted(r[0] for r in df.select(unit).distinct().collect())
-    parts = [run(df.filter(F.col(unit) == u)) for u in units]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Union of ``run`` over the units (few, each an MLlib job of its own).
+
+    Units without both source and test rows cannot be evaluated and are left out.
+    """
+    sides = df.groupBy(unit).agg(F.count_distinct(is_test).alias("sides")).filter("sides = 2")
+    units = sorted(r[0] for r in sides.select(unit).collect())
+    if not units:
+        raise ValueError("no unit has both source and test rows")
+    return reduce(DataFrame.unionByName, [run(df.filter(F.col(unit) == u)) for u in units])
 
 
 def out_of_fold(

@@ -300,7 +300,7 @@ class Ordered:
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cols = {
-            "__s_n": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+            "__s___before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
             "__idx": F.row_number().over(order),
         }
         for k, s in scans.items():
@@ -338,8 +338,8 @@ class Ordered:
         heads = (
             d.withColumn(_RANK, F.row_number().over(w))
             .filter(F.col(_RANK) <= k_max)
-            .join(summary.select(*kc, "__s_n"), kc)
-            .withColumn(_RANK, F.col(_RANK) + F.col("__s_n"))
+            .join(summary.select(*kc, "__s___before"), kc)
+            .withColumn(_RANK, F.col(_RANK) + F.col("__s___before"))
             .filter(F.col(_RANK) <= k_max)
         )
         packed = heads.groupBy(*self.keys).agg(
@@ -361,7 +361,7 @@ class Ordered:
             .withColumn(_RANK, F.row_number().over(w))
             .filter(F.col(_RANK) <= reach)
         )
-        start, end = F.col("__s_n"), F.col("__s_n") + F.col("__n")
+        start, end = F.col("__s___before"), F.col("__s___before") + F.col("__n")
         here = summary.select(*kc, F.col("__idx"), start.alias("__start"), end.alias("__end"))
         steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
         sign = -1 if forward else 1
@@ -449,7 +449,7 @@ def _finish(name: str, s: Scan) -> Column:
     """Local value combined with what earlier chunks carry in."""
     local, carry = F.col(f"__l_{name}"), F.col(f"__s_{name}")
     if s.kind == "ordinal":
-        return (F.col("__s_n") + local - 1).cast("int")
+        return (F.col("__s___before") + local - 1).cast("int")
     if s.kind in ("prev", "next", "rolling_avg"):
         return local
     if s.kind == "running_min":
@@ -466,6 +466,6 @@ def _finish(name: str, s: Scan) -> Column:
     if s.kind in ("first", "last"):
         return carry.getField(f"__v_{name}")
     if s.kind == "early_median":
-        at = F.least(F.col("__s_n") + local, F.size(carry)).cast("int")
+        at = F.least(F.col("__s___before") + local, F.size(carry)).cast("int")
         return F.try_element_at(carry, at)
     return carry

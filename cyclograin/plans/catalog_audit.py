@@ -406,7 +406,7 @@ def _(spark, sf):
     f"""WITH {PR}, s AS (SELECT *, p - lag(p) OVER ({EV_W}) AS d FROM pr),
     e AS (SELECT unit, entity, CASE WHEN count(d) >= 2 THEN stddev_pop(d) ELSE 0 END AS roughness, sqrt(avg((y - q) * (y - q))) - sqrt(avg((y - p) * (y - p))) AS gain FROM s GROUP BY ALL),
     r AS (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY roughness) AS a, rank() OVER (PARTITION BY unit ORDER BY gain) AS b FROM e)
-    SELECT unit, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY unit""",
+    SELECT unit, count(*) AS n, CASE WHEN count(*) >= 4 THEN corr(a, b) END AS rho FROM r GROUP BY unit""",
     "rho",
 )
 def _(spark, sf):
