@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclograin.functions import decode_rate, is_finite, row_mean
@@ -74,8 +74,7 @@ def split_by_index(
 ) -> DataFrame:
     """Test by position of the entity name in the sorted list of its unit."""
     names = df.select(unit, entity).distinct()
-    w = Window.partitionBy(unit).orderBy(entity)
-    placed = names.withColumn("__i", F.row_number().over(w) - 1)
+    placed = Ordered(names, [unit], [entity]).with_scans(__i=ordinal())
     flag = ((F.col("__i") + base) % period).isin(list(residues))
     return attach(df, placed.select(unit, entity, flag.alias(out)), [unit, entity])
 

@@ -30,10 +30,16 @@ def macro_rmse(df: DataFrame, by: Sequence[str], entity: str, y: str = "y", pred
     )
 
 
-def entity_map(per_entity: DataFrame, by: Sequence[str], entity: str, value: str, out: str = "per_entity") -> DataFrame:
-    """One map per run; meant for result tables, whose entities per run are few."""
+def entity_map(
+    per_entity: DataFrame, by: Sequence[str], entity: str, value: str, out: str = "per_entity", limit: int = 10_000
+) -> DataFrame:
+    """One map per run for result archives; refuses runs whose entities belong in a child table."""
+    w = F.count(F.lit(1))
+    sizes = per_entity.groupBy(*by).agg(w.alias("__n"))
+    ok = F.when(F.col("__n") > limit, F.raise_error(F.lit("too many entities for a map, keep the table")).isNull())
+    d = per_entity.join(sizes.filter(ok.otherwise(F.lit(True))), list(by))
     pairs = F.array_sort(F.collect_list(F.struct(F.col(entity).cast("string"), F.col(value))))
-    return per_entity.groupBy(*by).agg(F.map_from_entries(pairs).alias(out))
+    return d.groupBy(*by).agg(F.map_from_entries(pairs).alias(out))
 
 
 def regression_scores(df: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:

@@ -20,6 +20,7 @@ from cyclograin.functions import hash_key, rmse
 from cyclograin.operators import linear, metrics
 from cyclograin.operators.attach import attach, attach_global, settled
 from cyclograin.operators.neighbors import as_vector, knn, nearest_to_centroids
+from cyclograin.operators.ordered import Ordered, ordinal
 from cyclograin.operators.ranks import quantiles
 from cyclograin.operators.sampling import context_sample, kfold
 
@@ -181,8 +182,9 @@ def context_boosting(
             n_prune = min(int(n * prune_ratio), n - min_context)
             if n_prune <= 0 or wrong == 0:
                 break
-            order = [F.col("__conf").desc(), *[F.col(c) for c in row]]
-            drop = d.filter("__wrong").orderBy(*order).limit(n_prune).select(*row)
+            suspects = d.filter("__wrong").select(*row, (-F.col("__conf")).alias("__by"), F.lit(0).alias("__all"))
+            ranked = Ordered(suspects, ["__all"], ["__by", *row]).with_scans(__r=ordinal())
+            drop = ranked.filter(F.col("__r") < n_prune).select(*row)
             trace[-1]["changed"] = min(n_prune, wrong)
             ctx = settled(d.join(drop, row, "left_anti").select(*keep))
         elif strategy == "relabel":

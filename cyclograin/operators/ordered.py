@@ -119,8 +119,9 @@ def lead_value(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.col(name).cast("timestamp").cast("double")
-    if kind == "string":
-        raise ValueError(f"order column {name!r} must be numeric or temporal to be cut into chunks")
+    if kind == "string":  # the first six bytes as a number follow the byte order of strings
+        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 

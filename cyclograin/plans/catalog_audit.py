@@ -697,8 +697,7 @@ def _(spark, sf):
 
 @query(
     "s13_official_splits",
-    f"""WITH {LI} SELECT unit, is_test, string_agg(DISTINCT CAST(entity AS VARCHAR), ',' ORDER BY CAST(entity AS VARCHAR)) AS entities FROM li GROUP BY unit, is_test""",
+    f"""WITH {LI} SELECT unit, is_test, entity, row_number() OVER (PARTITION BY unit, is_test ORDER BY entity) - 1 AS position FROM (SELECT DISTINCT unit, is_test, CAST(entity AS VARCHAR) AS entity FROM li)""",
 )
 def _(spark, sf):
-    d = sources.official_splits(lines(spark, sf).withColumn("entity", F.col("entity").cast("string")), "unit", "entity")
-    return d.withColumn("entities", F.array_join("entities", ","))
+    return sources.official_splits(lines(spark, sf).withColumn("entity", F.col("entity").cast("string")), "unit", "entity")

@@ -280,16 +280,12 @@ def _(spark, sf):
 
 
 @query(
-    "m2_entity_map",
-    f"""WITH {PR}, e AS (SELECT unit, entity, floor(sqrt(avg((y - p) * (y - p))) * 1000 + 0.50001) / 1000 AS r FROM pr GROUP BY ALL)
-    SELECT unit, string_agg(CAST(entity AS VARCHAR) || '=' || CAST(CAST(r * 1000 AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(entity AS VARCHAR)) AS per_entity FROM e GROUP BY unit""",
+    "m2_entity_rmse",
+    f"""WITH {PR} SELECT unit, entity, sqrt(avg((y - p) * (y - p))) AS rmse, count(*) AS n FROM pr GROUP BY unit, entity""",
+    "rmse",
 )
 def _(spark, sf):
-    per = metrics.entity_rmse(predictions(spark, sf), ["unit"], "entity", "y", "p")
-    per = per.withColumn("k", F.floor(F.col("rmse") * 1000 + 0.50001))
-    d = metrics.entity_map(per, ["unit"], "entity", "k")
-    pairs = F.transform(F.map_entries("per_entity"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return d.select("unit", F.array_join(pairs, ",").alias("per_entity"))
+    return metrics.entity_rmse(predictions(spark, sf), ["unit"], "entity", "y", "p")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from cyclograin.operators.attach import attach, scratch_path
 from cyclograin.operators.filters import strict_rows, three_sigma_rows
+from cyclograin.operators.ordered import Ordered, ordinal
 from cyclograin.schema import CURVES, FEATURES_16, RUNS, clean_numeric, series_csv_schema
 
 __all__ = [
@@ -24,19 +25,21 @@ def read_series_csv(
 ) -> DataFrame:
     """Per-entity files: entity from the file path, ``record_index`` = row number in the file.
 
-    ``multiLine`` keeps a file in one split, so the running id follows the order in the file.
-    Persist the result: the row number is the only trace of that order.
+    A large file is read in several splits; rows are numbered by (start of the split, running
+    id inside it), which is their order in the file. Persist the result: the row number is
+    the only trace of that order.
     """
     schema = schema or series_csv_schema()
-    d = spark.read.csv(path, header=True, schema=schema, multiLine=True, recursiveFileLookup=True)
+    d = spark.read.csv(path, header=True, schema=schema, recursiveFileLookup=True)
     d = d.select(
         F.regexp_extract(F.col("_metadata.file_path"), entity_pattern, 1).alias("entity"),
         F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__id"),
         *[f.name for f in schema.fields],
     )
-    w = Window.partitionBy("__file").orderBy("__id")
-    d = d.withColumn("record_index", (F.row_number().over(w) - 1).cast("int")).drop("__file", "__id")
+    d = Ordered(d, ["__file"], ["__start", "__id"]).with_scans(record_index=ordinal())
+    d = d.withColumn("record_index", F.col("record_index").cast("int")).drop("__file", "__start", "__id")
     numeric = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return clean_numeric(d, numeric)
 
@@ -139,7 +142,6 @@ def dataset_summary(df: DataFrame, unit: str, entity: str, y: str, is_test: str
 
 
 def official_splits(df: DataFrame, unit: str, entity: str, is_test: str = "is_test") -> DataFrame:
-    """Sorted entity lists per unit and side (lists of names, not of rows)."""
-    return df.select(unit, is_test, entity).distinct().groupBy(unit, is_test).agg(
-        F.array_sort(F.collect_set(entity)).alias("entities")
-    )
+    """Sorted entities per unit and side, one row per entity with its position in the list."""
+    names = df.select(unit, is_test, entity).distinct()
+    return Ordered(names, [unit, is_test], [entity]).with_scans(position=ordinal())
