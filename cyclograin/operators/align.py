@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cyclograin.operators.attach import settled
 from cyclograin.operators.inference import spearman
+from cyclograin.operators.ordered import Ordered, has_hot_key, ordinal
 from cyclograin.operators.ranks import quantiles
 
 # Tolerance ladder, search window and thresholds of the alignment rule.
@@ -22,6 +25,8 @@ STRICT_ROWS = 30
 STRICT_RATIO = 0.5
 IDENTITY_BAND = 0.03
 
+PAIR_ROWS = 1_000_000
+
 
 def greedy_match(raw: np.ndarray, proc: np.ndarray, tol: float, window: int = SEARCH_WINDOW) -> np.ndarray:
     """For each processed value the first raw position ahead within tolerance, else -1.
@@ -56,30 +61,31 @@ def climb(raw: np.ndarray, proc: np.ndarray, tolerances: Sequence[float]) -> tup
 
 def align(
     raw: DataFrame, proc: DataFrame, keys: Sequence[str], raw_row: str, proc_row: str, value: str,
-    tolerances: Sequence[float] = TOLERANCES,
+    tolerances: Sequence[float] = TOLERANCES, max_rows: int = PAIR_ROWS,
 ) -> DataFrame:
     """One row per processed row: raw position or NULL, deviation, tolerance, rung counts.
 
-    Two series of one entity meet in one task; entities run in parallel.
+    The two series of an entity meet in one task while both have at most ``max_rows`` rows.
+    Longer ones are matched slice by slice: a step reads one bounded slice of each series and
+    hands the two positions on to the next step, so the result is that of a single pass.
     """
-    keys, rungs = list(keys), list(tolerances)
+    keys, rungs = list(keys), [float(t) for t in tolerances]
     left = raw.select(*keys, F.col(raw_row).cast("bigint").alias("__r"), F.col(value).cast("double").alias("__a"))
     right = proc.select(
         *keys, F.col(proc_row).cast("bigint").alias("proc_row"), F.col(value).cast("double").alias("__b")
     )
-    key_fields = [f for f in right.schema.fields if f.name in keys]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("proc_row", T.LongType()),
-            T.StructField("raw_row", T.LongType()),
-            T.StructField("proc_value", T.DoubleType()),
-            T.StructField("raw_value", T.DoubleType()),
-            T.StructField("tol", T.DoubleType()),
-            T.StructField("rungs", T.ArrayType(T.LongType())),
-            T.StructField("n_raw", T.LongType()),
-        ]
-    )
+    long = [d for d in (left, right) if has_hot_key(d, keys, max_rows)]
+    if not long:
+        return _align_whole(left, right, keys, rungs)
+    counts = [d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows) for d in long]
+    hot = settled(reduce(DataFrame.unionByName, counts).select(*keys).distinct())
+    short = [d.join(F.broadcast(hot), keys, "left_anti") for d in (left, right)]
+    cut = [d.join(F.broadcast(hot), keys, "left_semi") for d in (left, right)]
+    return _align_whole(*short, keys, rungs).unionByName(_align_in_steps(*cut, keys, rungs, max_rows))
+
+
+def _align_whole(left: DataFrame, right: DataFrame, keys: list[str], rungs: list[float]) -> DataFrame:
+    schema = _mapping_schema(right, keys)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("__r"), b.sort_values("proc_row")
@@ -101,6 +107,106 @@ def align(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def _mapping_schema(right: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType(
+        [
+            *[f for f in right.schema.fields if f.name in keys],
+            T.StructField("proc_row", T.LongType()),
+            T.StructField("raw_row", T.LongType()),
+            T.StructField("proc_value", T.DoubleType()),
+            T.StructField("raw_value", T.DoubleType()),
+            T.StructField("tol", T.DoubleType()),
+            T.StructField("rungs", T.ArrayType(T.LongType())),
+            T.StructField("n_raw", T.LongType()),
+        ]
+    )
+
+
+def _align_in_steps(
+    left: DataFrame, right: DataFrame, keys: list[str], rungs: list[float], max_rows: int
+) -> DataFrame:
+    size = max(max_rows, 4 * SEARCH_WINDOW)
+    slices = F.floor(F.col("__i") / size).alias("__c")
+    raw = settled(Ordered(left, keys, ["__r"], size).with_scans(__i=ordinal()).select("*", slices))
+    proc = settled(Ordered(right, keys, ["proc_row"], size).with_scans(__i=ordinal()).select("*", slices))
+    n_raw = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"))
+    n_proc = proc.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_proc"))
+    sizes = settled(n_proc.join(n_raw, keys, "left").na.fill(0, ["n_raw"]))
+    state = sizes.withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(len(rungs) - 1))))
+    state = settled(state.withColumns({"at_proc": F.lit(0).cast("bigint"), "at_raw": F.lit(0).cast("bigint")}))
+    group = [*keys, "rung"]
+    schema = T.StructType(
+        [
+            *[state.schema[c] for c in group],
+            T.StructField("proc_at", T.LongType()), T.StructField("raw_at", T.LongType()), T.StructField("state", T.BooleanType()),
+        ]
+    )
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("__i"), b.sort_values("__i")
+        tol, total = rungs[int(b["rung"].iloc[0])], int(b["n_raw"].iloc[0])
+        values, base, at = a["__a"].to_numpy(), int(b["at_raw"].iloc[0]), int(b["at_raw"].iloc[0])
+        end, pairs, done = base + len(values), [], int(b["__i"].iloc[0])
+        for i, v in zip(b["__i"].to_numpy(), b["__b"].to_numpy(), strict=True):
+            if at + SEARCH_WINDOW > end and end < total:
+                break
+            if np.isfinite(v) and v != 0:
+                near = np.abs(values[at - base : at - base + SEARCH_WINDOW] - v) <= tol * abs(v)
+                k = int(near.argmax()) if near.size else 0
+                if near.size and near[k]:
+                    pairs.append((int(i), at + k, False))
+                    at += k + 1
+            done = int(i) + 1
+        pairs.append((done, at, True))
+        out = pd.DataFrame(pairs, columns=["proc_at", "raw_at", "state"])
+        for c in group:
+            out[c] = b[c].iloc[0]
+        return out[[*group, "proc_at", "raw_at", "state"]]
+
+    steps: list[DataFrame] = []
+    while True:
+        open_ = state.filter((F.col("at_proc") < F.col("n_proc")) & (F.col("at_raw") < F.col("n_raw")))
+        if not open_.take(1):
+            break
+        here = F.floor(F.col("at_raw") / size)
+        want_raw = open_.withColumn("__c", F.explode(F.array(here, here + 1)))
+        want_proc = open_.withColumn("__c", F.floor(F.col("at_proc") / size))
+        a = raw.join(F.broadcast(want_raw), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_raw"))
+        b = proc.join(F.broadcast(want_proc), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_proc"))
+        a = a.select(*group, "__i", "__a")
+        # fresh column identities on one side: both sides stem from the same state table
+        b = b.select(*[F.col(c).alias(c) for c in (*group, "__i", "__b", "at_raw", "n_raw")])
+        got = settled(a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(run, schema))
+        steps.append(got.filter(~F.col("state")).drop("state"))
+        moved = got.filter("state").select(*group, F.col("proc_at").alias("__p"), F.col("raw_at").alias("__q"))
+        d = state.join(F.broadcast(moved), group, "left")
+        d = d.withColumns({"at_proc": F.coalesce("__p", "at_proc"), "at_raw": F.coalesce("__q", "at_raw")})
+        state = settled(d.drop("__p", "__q"))
+    if steps:
+        pairs = reduce(DataFrame.unionByName, steps)
+    else:
+        pairs = proc.sparkSession.createDataFrame([], T.StructType(schema.fields[:-1]))
+    counts = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
+    tried = state.select(*group, "n_proc", "n_raw").join(counts, group, "left").na.fill(0, ["m"])
+    good = F.min(F.when(F.col("m") / F.col("n_proc") >= GOOD_RATIO, F.col("rung")))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("rung", "m"))), lambda s: s["m"])
+    choice = tried.groupBy(*keys).agg(
+        F.coalesce(good, F.lit(len(rungs) - 1)).alias("rung"), packed.alias("__m"), F.first("n_raw").alias("n_raw")
+    )
+    choice = settled(choice)
+    mine = pairs.join(F.broadcast(choice.select(*group)), group).select(
+        *keys, F.col("proc_at").alias("__i"), F.col("raw_at")
+    )
+    d = proc.join(mine, [*keys, "__i"], "left").join(F.broadcast(choice), keys)
+    a = raw.select(*keys, F.col("__i").alias("raw_at"), F.col("__r").alias("raw_row"), F.col("__a").alias("raw_value"))
+    d = d.join(a, [*keys, "raw_at"], "left")
+    tol = F.try_element_at(F.array(*[F.lit(t) for t in rungs]), F.col("rung") + 1)
+    return d.select(
+        *keys, "proc_row", "raw_row", F.col("__b").alias("proc_value"), "raw_value", tol.alias("tol"),
+        F.slice("__m", F.lit(1), F.col("rung") + 1).alias("rungs"), "n_raw",
+    )
+
+
 def verdict(
     mapping: DataFrame, keys: Sequence[str], tolerances: Sequence[float] = TOLERANCES
 ) -> DataFrame:

@@ -121,3 +121,20 @@ def test_pointer_stays_on_a_miss():
     assert got.tolist() == [-1, 0, -1, 2]
     far = np.concatenate([np.zeros(300) + 5.0, [1.0]])
     assert align.greedy_match(far, np.array([1.0]), 1e-6).tolist() == [-1]
+
+
+def test_slices_equal_one_pass(spark):
+    rng = np.random.default_rng(5)
+    frames = []
+    for e, gain in (("long", 1.0), ("scaled", 1.3), ("short", 1.0)):
+        n = 300 if e == "short" else 5000
+        raw = 1 + rng.uniform(size=n)
+        keep = np.flatnonzero(rng.uniform(size=n) > 0.2)
+        frames.append((e, raw, gain * raw[keep] * (1 + 2e-5 * rng.normal(size=len(keep)))))
+    a = spark.createDataFrame([(e, i, float(v)) for e, r, _ in frames for i, v in enumerate(r)], "e string, r long, value double")
+    b = spark.createDataFrame([(e, i, float(v)) for e, _, p in frames for i, v in enumerate(p)], "e string, p long, value double")
+    want = align.align(a, b, ["e"], "r", "p", "value").toPandas().sort_values(["e", "proc_row"])
+    got = align.align(a, b, ["e"], "r", "p", "value", max_rows=1024).toPandas().sort_values(["e", "proc_row"])
+    for c in ("e", "proc_row", "raw_row", "tol", "n_raw"):
+        assert want[c].fillna(-1).tolist() == got[c].fillna(-1).tolist(), c
+    assert [list(x) for x in want["rungs"]] == [list(x) for x in got["rungs"]]

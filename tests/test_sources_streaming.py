@@ -37,6 +37,16 @@ def test_per_entity_csv(spark, tmp_path):
         sources.load_series(raw, cat, F.lit(False), "other")
 
 
+def test_row_numbers_over_several_splits(spark, tmp_path):
+    write_cell(tmp_path, "big", [[float(k)] * 16 + [1.0] for k in range(3000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = sources.read_series_csv(spark, str(tmp_path))
+        assert raw.filter(F.col("record_index") != F.col("`voltage mean`")).count() == 0 and raw.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_run_archive_prefers_success_and_resumes(spark, tmp_path):
     rec = {"unit": "u", "view": "raw", "backbone": "ridge", "seed": 0, "normalize": "source"}
     bad = [{**rec, "error": "boom"}, {**rec, "seed": 1, "error": "boom"}]
