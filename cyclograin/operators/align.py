@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,41 +85,40 @@ def align(
 
 
 def _align_whole(left: DataFrame, right: DataFrame, keys: list[str], rungs: list[float]) -> DataFrame:
-    schema = _mapping_schema(right, keys)
+    """Short series: one row per entity with both series as arrays, many entities per batch."""
+    kind = T.StructType(
+        [T.StructField("found", T.ArrayType(T.LongType())), T.StructField("rungs", T.ArrayType(T.LongType()))]
+    )
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("__r"), b.sort_values("proc_row")
-        found, matched = climb(a["__a"].to_numpy(), b["__b"].to_numpy(), rungs)
-        hit = found >= 0
-        values = np.where(hit, a["__a"].to_numpy()[np.where(hit, found, 0)] if len(a) else np.nan, np.nan)
-        rows = a["__r"].to_numpy()[np.where(hit, found, 0)] if len(a) else found
-        out = b[keys].copy()
-        out["proc_row"] = b["proc_row"]
-        out["raw_row"] = pd.array(np.where(hit, rows, 0), dtype="Int64")
-        out.loc[~hit, "raw_row"] = pd.NA
-        out["proc_value"] = b["__b"]
-        out["raw_value"] = values
-        out["tol"] = rungs[len(matched) - 1] if matched else np.nan
-        out["rungs"] = [matched] * len(out)
-        out["n_raw"] = len(a)
-        return out
+    @F.pandas_udf(kind)
+    def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        got = [climb(np.asarray(x, dtype=float), np.asarray(y, dtype=float), rungs) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"found": [f for f, _ in got], "rungs": [m for _, m in got]})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    def packed(d: DataFrame, row: str, value: str) -> DataFrame:
+        series = F.array_sort(F.collect_list(F.struct(row, value)))
+        s = d.groupBy(*keys).agg(series.alias("__s"))
+        return s.select(
+            *keys, F.transform("__s", lambda p: p[row]).alias(f"{row}s"), F.transform("__s", lambda p: p[value]).alias(f"{value}s")
+        )
 
+    d = packed(right, "proc_row", "__b").join(packed(left, "__r", "__a"), keys, "left")
+    none = F.array().cast(T.ArrayType(T.DoubleType()))
+    d = d.withColumn("__a", F.coalesce("__as", none)).withColumn("__m", match("__a", "__bs"))
 
-def _mapping_schema(right: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType(
-        [
-            *[f for f in right.schema.fields if f.name in keys],
-            T.StructField("proc_row", T.LongType()),
-            T.StructField("raw_row", T.LongType()),
-            T.StructField("proc_value", T.DoubleType()),
-            T.StructField("raw_value", T.DoubleType()),
-            T.StructField("tol", T.DoubleType()),
-            T.StructField("rungs", T.ArrayType(T.LongType())),
-            T.StructField("n_raw", T.LongType()),
-        ]
-    )
+    def row_of(x: Column) -> Column:
+        at = (x["found"] + 1).cast("int")
+        hit = x["found"] >= 0
+        return F.struct(
+            x["proc_rows"].alias("proc_row"), F.when(hit, F.try_element_at("__rs", at)).alias("raw_row"),
+            x["__bs"].alias("proc_value"), F.when(hit, F.try_element_at("__a", at)).alias("raw_value"),
+        )
+
+    rows = F.transform(F.arrays_zip("proc_rows", "__bs", F.col("__m.found").alias("found")), row_of)
+    d = d.select(*keys, rows.alias("__z"), F.col("__m.rungs").alias("rungs"), F.size("__a").cast("bigint").alias("n_raw"))
+    tol = F.try_element_at(F.array(*[F.lit(t) for t in rungs]), F.size("rungs"))
+    d = d.select(*keys, F.explode("__z").alias("__x"), tol.alias("tol"), "rungs", "n_raw")
+    return d.select(*keys, "__x.*", "tol", "rungs", "n_raw")
 
 
 def _align_in_steps(

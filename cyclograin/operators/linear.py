@@ -149,9 +149,14 @@ def n_rows(m: str = "m") -> Column:
     return F.col(m)[0]
 
 
-def score(per_entity: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Overall and entity-macro error of each unit's model, from entity moment matrices."""
-    d = per_entity.join(model.select(*by, "beta"), list(by))
+def score(
+    per_entity: DataFrame, model: DataFrame, by: Sequence[str], on: Sequence[str] | None = None
+) -> DataFrame:
+    """Overall and entity-macro error of each unit's models, from entity moment matrices.
+
+    ``on`` names the columns both tables share when there are several models per unit.
+    """
+    d = per_entity.join(model.select(*by, "beta"), list(on or by))
     d = d.withColumns({"__sse": sse_column("m", "beta"), "__n": n_rows()})
     return d.groupBy(*by).agg(
         F.sqrt(F.sum("__sse") / F.sum("__n")).alias("rmse_overall"),
@@ -253,8 +258,7 @@ def ablation(
     source = pool(per_entity.filter(~F.col(is_test)).select(*unit, "m"), unit)
     d = source.withColumn("__c", F.explode(sets)).select(*unit, "m", "__c.condition", "__c.keep")
     models = fit(d, alpha, F.col("keep")).select(*unit, "condition", "beta")
-    test = per_entity.filter(F.col(is_test)).join(models.select(*unit, "condition"), list(unit))
-    return score(test, models, [*unit, "condition"])
+    return score(per_entity.filter(F.col(is_test)), models, [*unit, "condition"], unit)
 
 
 def shift_moments(m: Column | str, d: int, base: Sequence[int], anchors: Sequence[Column]) -> Column:

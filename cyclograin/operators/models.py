@@ -335,8 +335,7 @@ def distill(
     blended = blend_targets(taught.drop("fold"), y, "teacher", lambdas)
     models = linear.fit(linear.moments(blended, [*unit, "lam"], student_xs, "target"), alpha)
     per_entity = linear.moments(df.filter(F.col(is_test)), [*unit, entity], student_xs, y)
-    held = linear.with_grid(per_entity, "lam", lambdas)
-    return linear.score(held, models, [*unit, "lam"])
+    return linear.score(per_entity, models, [*unit, "lam"], unit)
 
 
 def pooled_rmse(df: DataFrame, by: Sequence[str], y: str, pred: str) -> DataFrame:

@@ -105,8 +105,8 @@ def with_average_rank(
     keys = list(keys)
     if not has_hot_key(df, keys, max_rows or MAX_ROWS_PER_TASK):
         order = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value)
-        ties = Window.partitionBy(*keys, value)
-        rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+        peers = order.rangeBetween(Window.currentRow, Window.currentRow)
+        rank = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2.0
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     counts = value_counts(df, keys, value)
     ranked = Ordered(counts, keys, [value], max_rows=max_rows).with_scans(__hi=running_sum("__cnt"))

@@ -56,10 +56,14 @@ def evaluate_linear(
     elif normalise != "none":
         raise ValueError(f"unknown normalisation {normalise!r}")
     families = [f for f in (*windows.FAMILIES, "from_early") if any(f in windows.VIEWS[v] for v in views)]
-    v = windows.history_features(d, keys, order, xs, families) if families else d
+
+    def featured(part: DataFrame) -> DataFrame:
+        # an entity lies on one side, so each side is windowed on its own and only once
+        return windows.history_features(part, keys, order, xs, families) if families else part
+
     every = [*xs, *[f"{x}__{f}" for f in families for x in xs]]
     seed_rows = F.explode(F.array(*[F.lit(s) for s in seeds]))
-    source = v.filter(~F.col(is_test)).withColumn("seed", seed_rows)
+    source = featured(d.filter(~F.col(is_test))).withColumn("seed", seed_rows)
     if cap is not None:
         source = sampling.context_sample_by(source, [*unit, "seed"], "seed", ids, cap)
     place = {c: i for i, c in enumerate(every)}
@@ -74,9 +78,8 @@ def evaluate_linear(
     )
     m = linear.moments(source, [*unit, "seed"], every, y).withColumn("__v", F.explode(sets))
     models = linear.fit(m.select(*unit, "seed", "m", "__v.view", "__v.keep"), alpha, F.col("keep"))
-    held = linear.moments(v.filter(F.col(is_test)), keys, every, y)
-    held = held.join(models.select(*unit, "seed", "view"), list(unit))
-    return linear.score(held, models, [*unit, "seed", "view"])
+    held = linear.moments(featured(d.filter(F.col(is_test))), keys, every, y)
+    return linear.score(held, models, [*unit, "seed", "view"], unit)
 
 
 def context_ladder(
