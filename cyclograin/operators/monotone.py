@@ -8,6 +8,7 @@ borders, and the rounds stop when no two neighbours violate the order anywhere.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -166,13 +167,25 @@ def _isotonic_in_rounds(scan: Ordered, y: str, out: str, max_rows: int) -> DataF
 
 
 def causal_isotonic(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, out: str, max_rows: int | None = None
 ) -> DataFrame:
     """Last value of the non-increasing fit of every prefix (online): min over j of mean(y_j..y_t).
 
     Rows stream through in order; between batches only the block stack of the open series
-    is kept, never its rows.
+    is kept, never its rows. A series above ``max_rows`` is worked off in steps instead: each
+    step reads one slice of its rows and the top slice of its block stack.
     """
+    scan = Ordered(df, keys, order, max_rows, PANDAS_ROWS)
+    if scan.bounds is None:
+        return _causal_streamed(df, keys, order, y, out)
+    hot = scan.bounds.select(*keys)
+    short = df.join(F.broadcast(hot), list(keys), "left_anti")
+    long = df.join(F.broadcast(hot), list(keys), "left_semi")
+    done = _causal_in_steps(long, keys, order, y, out, max_rows or PANDAS_ROWS)
+    return _causal_streamed(short, keys, order, y, out).unionByName(done)
+
+
+def _causal_streamed(df: DataFrame, keys, order, y: str, out: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     keys = list(keys)
 
@@ -193,6 +206,88 @@ def causal_isotonic(
     return _sorted(df, keys, order).mapInPandas(run, schema)
 
 
+def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) -> DataFrame:
+    """Slices of rows against the top of the block stack.
+
+    A row that pools through the whole slice of the stack is left pending and goes on with the
+    next slice below, so neither rows nor stack are ever held whole.
+    """
+    keys = list(keys)
+    rows = Ordered(df, keys, order, size).with_scans(__pos=ordinal())
+    rows = settled(rows.withColumns({"__pos": F.col("__pos").cast("bigint"), "__part": F.floor(F.col("__pos") / size)}))
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    state = settled(
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumns(
+            {"at": zero, "pend_s": none, "pend_n": none, "top": zero}
+        )
+    )
+    kinds = T.StructType(
+        [
+            *[rows.schema[k] for k in keys], T.StructField("kind", T.IntegerType()), T.StructField("pos", T.LongType()),
+            T.StructField("s", T.DoubleType()), T.StructField("n", T.DoubleType()), T.StructField("top", T.LongType()),
+        ]
+    )
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("__pos"), b.sort_values("pos")
+        top = int(a["top"].iloc[0])
+        base, s, n = top - len(b), b["s"].tolist(), b["n"].tolist()
+        cs, cn = float(a["pend_s"].iloc[0]), float(a["pend_n"].iloc[0])
+        made, at = [], int(a["__pos"].iloc[0])
+        for i, v in zip(a["__pos"].tolist(), a["__v"].tolist(), strict=True):
+            if cn == 0:
+                cs, cn = v, 1.0
+            while s and s[-1] * cn < cs * n[-1]:
+                cs += s.pop()
+                cn += n.pop()
+            if not s and base > 0:
+                break
+            s.append(cs)
+            n.append(cn)
+            made.append((0, i, cs / cn, 0.0, 0))
+            cs, cn, at = 0.0, 0.0, i + 1
+        made += [(1, base + j, x, w, 0) for j, (x, w) in enumerate(zip(s, n, strict=True))]
+        made.append((2, at, cs, cn, base + len(s)))
+        got = pd.DataFrame(made, columns=["kind", "pos", "s", "n", "top"])
+        for k in keys:
+            got[k] = a[k].iloc[0]
+        return got[[*keys, "kind", "pos", "s", "n", "top"]]
+
+    spark = df.sparkSession
+    stack = spark.createDataFrame([], T.StructType([f for f in kinds.fields if f.name not in ("kind", "top")]))
+    values: list[DataFrame] = []
+    while True:
+        open_ = state.filter(F.col("at") < F.col("rows"))
+        if not open_.take(1):
+            break
+        want = open_.withColumn("__part", F.floor(F.col("at") / size)).drop("rows")
+        a = rows.select(*keys, "__part", "__pos", F.col(y).cast("double").alias("__v"))
+        a = a.join(F.broadcast(want), [*keys, "__part"]).filter(F.col("__pos") >= F.col("at")).drop("__part", "at")
+        low = F.greatest(F.col("top") - size, F.lit(0))
+        edge = open_.select(*keys, low.alias("__low"))
+        marked = stack.join(F.broadcast(edge), keys, "left").withColumn(
+            "__near", F.coalesce(F.col("pos") >= F.col("__low"), F.lit(False))
+        )
+        # fresh column identities on one side of the pairing
+        b = marked.filter("__near").select(*[F.col(c).alias(c) for c in (*keys, "pos", "s", "n")])
+        got = settled(a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, kinds))
+        values.append(got.filter("kind = 0").select(*keys, F.col("pos").alias("__pos"), F.col("s").alias(out)))
+        fresh = got.filter("kind = 1").select(*keys, "pos", "s", "n")
+        stack = settled(marked.filter("not __near").select(*keys, "pos", "s", "n").unionByName(fresh))
+        moved = got.filter("kind = 2").select(
+            *keys, F.col("pos").alias("__at"), F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("top").alias("__t")
+        )
+        d = state.join(F.broadcast(moved), keys, "left")
+        state = settled(
+            d.select(
+                *keys, "rows", F.coalesce("__at", "at").alias("at"), F.coalesce("__s", "pend_s").alias("pend_s"),
+                F.coalesce("__n", "pend_n").alias("pend_n"), F.coalesce("__t", "top").alias("top"),
+            )
+        )
+    fitted = reduce(DataFrame.unionByName, values)
+    return rows.join(fitted, [*keys, "__pos"]).select(*df.columns, out)
+
+
 def smooth_isotonic(df, keys, order, y: str, out: str, max_rows: int | None = None) -> DataFrame:
     """Centred median of five, then the non-increasing fit (offline)."""
     d = windows.rolling_median5(df, keys, order, y, "__smooth", max_rows)

@@ -94,3 +94,20 @@ def test_isotonic_over_small_arrow_batches(spark, hot):
         y = part["y"].to_numpy()
         want = [min(y[j : t + 1].mean() for j in range(t + 1)) for t in range(0, len(y), 25)]
         np.testing.assert_allclose(part["fit"].to_numpy()[::25], want)
+
+
+@pytest.mark.parametrize("trend", [-0.5, 0.0, 0.5])
+def test_causal_isotonic_in_steps_equals_streaming(hot, trend):
+    d = hot.select("g", "ts", "event_id", (F.col("y") + trend * F.col("event_id")).alias("y"))
+    a = frame(monotone.causal_isotonic(d, ["g"], ["ts", "event_id"], "y", "fit"))
+    b = frame(monotone.causal_isotonic(d, ["g"], ["ts", "event_id"], "y", "fit", max_rows=300))
+    assert len(a) == len(b)
+    np.testing.assert_allclose(a["fit"], b["fit"], rtol=1e-9)
+
+
+def test_falling_then_rising_series_pools_through_stack_slices(spark):
+    y = [float(-k) for k in range(90)] + [500.0] * 5 + [0.0] * 5
+    d = spark.createDataFrame([("a", t, v) for t, v in enumerate(y)], "g string, ts int, y double")
+    a = monotone.causal_isotonic(d, ["g"], ["ts"], "y", "fit").orderBy("ts").toPandas()
+    b = monotone.causal_isotonic(d, ["g"], ["ts"], "y", "fit", max_rows=40).orderBy("ts").toPandas()
+    np.testing.assert_allclose(a["fit"], b["fit"], rtol=1e-9)
