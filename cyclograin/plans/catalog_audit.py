@@ -363,16 +363,17 @@ def _(spark, sf):
 
 @query(
     "j16_availability_audit",
-    f"""WITH {EV}, {MAPPING}, sc AS (SELECT a.unit, a.entity, a.raw_row AS t, mp.raw_row FROM rw a LEFT JOIN mp ON a.unit = mp.unit AND a.entity = mp.entity AND a.raw_row = mp.proc_row WHERE a.raw_row >= 20 AND a.raw_row < 55),
+    f"""WITH {EV}, {MAPPING}, sc AS (SELECT unit, entity, proc_row, CASE WHEN event_id % 397 <> 0 THEN raw_row END AS raw_row FROM mp WHERE proc_row >= 20),
     p AS (SELECT unit, entity, count(*) AS n_scored, count(raw_row) AS n_mapped, min(raw_row) AS raw_min, max(raw_row) AS raw_max FROM sc GROUP BY ALL)
     SELECT unit, entity, n_scored, n_mapped, CAST(raw_min AS INTEGER) AS raw_min, CAST(raw_max AS INTEGER) AS raw_max,
       CASE WHEN n_scored > n_mapped OR raw_min <= 22 THEN 'violation' ELSE 'ok' END AS status,
       concat_ws(',', CASE WHEN n_scored > n_mapped THEN 'unmapped_rows=' || (n_scored - n_mapped) END, CASE WHEN raw_min <= 22 THEN 'min_raw_cycle=' || raw_min END) AS violations FROM p""",
 )
 def _(spark, sf):
-    e = filters.with_position(events(spark, sf), EV_KEYS, EV_ORDER, "t")
-    scored = joins.map_rows(e.filter("t >= 20 AND t < 55"), _mapping(spark, sf), EV_KEYS, "t", "proc_row", "raw_row")
-    return joins.availability_audit(e, scored, EV_KEYS, "raw_row", 22)
+    m = _mapping(spark, sf).withColumn("raw_row", F.when(F.col("event_id") % 397 != 0, F.col("raw_row")))
+    rows = m.select(*EV_KEYS, F.col("proc_row").alias("t")).filter("t >= 20")
+    scored = joins.map_rows(rows, m, EV_KEYS, "t", "proc_row", "raw_row")
+    return joins.availability_audit(events(spark, sf), scored, EV_KEYS, "raw_row", 22)
 
 
 @query(

@@ -224,6 +224,16 @@ def _(spark, sf):
 
 @query(
     "w18_smooth_isotonic",
+    f"""WITH {EV}, e AS (SELECT *, row_number() OVER ({EV_W}) AS t, count(*) OVER ({EV_ALL}) AS n, first_value(y) OVER ({EV_W}) AS fy,
+      last_value(y) OVER ({EV_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ly FROM ev),
+    a AS (SELECT event_id, unit, entity, t, CASE WHEN n < 5 THEN y ELSE list_sort([coalesce(lag(y, 2) OVER w, fy), coalesce(lag(y) OVER w, fy), y,
+      coalesce(lead(y) OVER w, ly), coalesce(lead(y, 2) OVER w, ly)])[3] END AS y FROM e WINDOW w AS ({EV_W})),
+    pm AS (SELECT j.unit, j.entity, j.t AS j, k.t AS k, avg(k.y) OVER (PARTITION BY j.unit, j.entity, j.t ORDER BY k.t) AS m
+      FROM a j JOIN a k ON j.unit = k.unit AND j.entity = k.entity AND k.t >= j.t),
+    sx AS (SELECT unit, entity, j, k AS i, max(m) OVER (PARTITION BY unit, entity, j ORDER BY k DESC) AS m FROM pm),
+    f AS (SELECT unit, entity, i, min(m) AS iso FROM sx GROUP BY ALL)
+    SELECT event_id, iso FROM a JOIN f ON a.unit = f.unit AND a.entity = f.entity AND a.t = f.i""",
+    "iso",
 )
 def _(spark, sf):
     d = events(spark, sf).select("unit", "entity", "ts", "event_id", "y")
@@ -699,7 +709,15 @@ def _(spark, sf):
     return d.groupBy("unit", "pick").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t6_relative_bootstrap")
+@query(
+    "t6_relative_bootstrap",
+    f"""WITH {RUNS}, it AS (SELECT unit, arm, rmse, row_number() OVER (PARTITION BY unit, arm ORDER BY seed) - 1 AS slot, count(*) OVER (PARTITION BY unit, arm) AS size FROM runs WHERE arm IN ('click', 'view')),
+    dr AS (SELECT unit, arm, b, ('0x' || substr(md5(CASE arm WHEN 'click' THEN '7' ELSE '8' END || '|boot|' || unit || '|' || b || '|' || slot), 1, 15))::BIGINT % size AS pick FROM it, (SELECT unnest(range(500)) AS b)),
+    bm AS (SELECT dr.unit, dr.arm, b, avg(rmse) AS m FROM dr JOIN it ON dr.unit = it.unit AND dr.arm = it.arm AND dr.pick = it.slot GROUP BY dr.unit, dr.arm, b),
+    d AS (SELECT x.unit, (x.m - z.m) / z.m * 100 AS delta FROM bm x JOIN bm z ON x.unit = z.unit AND x.b = z.b WHERE x.arm = 'click' AND z.arm = 'view')
+    SELECT unit, quantile_cont(delta, 0.025) AS ci_lo, quantile_cont(delta, 0.975) AS ci_hi FROM d GROUP BY unit""",
+    "ci_lo ci_hi",
+)
 def _(spark, sf):
     r = runs(spark, sf)
     a, b = r.filter("arm = 'click'"), r.filter("arm = 'view'")
