@@ -238,11 +238,19 @@ def retrieval_predict(
     return linear.predict(q, fitted, ["cluster"], xs).drop("vec", "id")
 
 
+# Locality thresholds with their neighbourhood sizes, the shift threshold with
+# its factor, and the allowed range of sizes.
+LOCALITY_HIGH, LOCALITY_MID = 0.8, 0.5
+SIZE_HIGH, SIZE_MID, SIZE_LOW = 30, 60, 120
+SHIFT_LIMIT, SHIFT_FACTOR = 0.85, 1.5
+SIZE_RANGE = (20, 300)
+
+
 def adaptive_k(locality: Column, auc: Column) -> Column:
     """Neighbourhood size: strong locality narrows it, strong shift widens it."""
-    base = F.when(locality > 0.8, 30).when(locality > 0.5, 60).otherwise(120)
-    wide = F.when(auc > 0.85, F.floor(base * 1.5)).otherwise(base)
-    return F.greatest(F.lit(20), F.least(F.lit(300), wide)).cast("int")
+    base = F.when(locality > LOCALITY_HIGH, SIZE_HIGH).when(locality > LOCALITY_MID, SIZE_MID).otherwise(SIZE_LOW)
+    wide = F.when(auc > SHIFT_LIMIT, F.floor(base * SHIFT_FACTOR)).otherwise(base)
+    return F.greatest(F.lit(SIZE_RANGE[0]), F.least(F.lit(SIZE_RANGE[1]), wide)).cast("int")
 
 
 def knn_locality(

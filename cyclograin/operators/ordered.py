@@ -190,7 +190,13 @@ def hot_bounds(
             F.greatest(F.lit(1), F.floor(i * F.lit(pieces) / (wanted + 1)).cast("int")),
         ),
     )
-    return sketch.select(*keys, F.array_distinct(thinned).alias("__bounds"))
+    return _settled(sketch.select(*keys, F.array_distinct(thinned).alias("__bounds")))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    from cyclograin.operators.attach import settled
+
+    return settled(df)
 
 
 def _chunk_id(lead: Column) -> Column:
@@ -270,7 +276,8 @@ class Ordered:
             {f"__v_{k}": s.expr for k, s in scans.items() if s.expr is not None and s.kind != "total"}
         )
         d = with_chunks(src, keys, lead_value(src, self.order[0]), self.bounds)
-        summary = self._summary(d, scans)
+        # used several times below: computed once, one row per key and chunk
+        summary = _settled(self._summary(d, scans))
 
         back = max([_reach(s) for s in scans.values()], default=0)
         ahead = max([s.n for s in scans.values() if s.kind == "next"], default=0)
