@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.llm import bpe, decontamination, langid, simhash
+from cyclograin.llm import bpe, decontamination, langid, sharding, simhash, vectors, warc
+from cyclograin.operators.attach import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +29,34 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.summary(warc.read(spark, archives)).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact"
+    )
+
+
+ORACLE["op2_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS first_id FROM p
+)
+SELECT page_id,
+       n AS payload_bytes,
+       list_reduce(list_transform(range(8), lambda i:
+         list_reduce(list_transform([15, 10, 5, 0], lambda s:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT >> s) & 31), 1)), lambda x, y: x || y)),
+         lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+       TRUE AS intact
+FROM f
+"""
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +65,34 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", out), profiles, "text", ["doc_id", "held_out"])
 
 
+@query
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+ORACLE["op4_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+   AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(x, y) AS (
+  SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+), low AS (
+  SELECT x, least(x, min(y)) AS low FROM reach GROUP BY x
+), n AS (
+  SELECT x, count(*) AS n FROM link GROUP BY x
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.low, vec_id) AS component_id,
+       vec_id = coalesce(low.low, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN low ON low.x = vec_id
+"""
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -50,6 +107,52 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+ORACLE["op6_decontaminate"] = f"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), t AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d
+), h AS (
+  SELECT DISTINCT p.doc_id, p.k, t.size, t.item
+  FROM (SELECT doc_id, k, s.size, array_to_string(w[k:k + s.size - 1], ' ') AS win
+        FROM p, (SELECT DISTINCT size FROM t) s WHERE k + s.size - 1 <= len(w)) p
+  JOIN t ON t.win = p.win AND t.size = p.size
+), hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM h) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
