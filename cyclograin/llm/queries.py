@@ -109,7 +109,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 ORACLE["op6_decontaminate"] = f"""
 WITH i AS (
   SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
