@@ -30,7 +30,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(pdf: pd.DataFrame) -> list[tuple]:
     def norm(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
