@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.llm import bpe, decontamination, html_text, langid, sharding, simhash, vectors, warc
+from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, sharding, simhash, vectors, warc
 from cyclograin.operators.attach import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,34 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+_SPLIT = r"list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE["op8_licenses"] = f"""
+WITH t AS (
+  SELECT DISTINCT template, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT template, w, unnest(range(1, len(w) - 3)) AS k
+        FROM (SELECT template, {_SPLIT} AS w FROM (VALUES {_TEMPLATES}) AS x(template, text)))
+), n AS (
+  SELECT template, count(*) AS n_template FROM t GROUP BY template
+), d AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k
+        FROM (SELECT doc_id, {_SPLIT} AS w FROM documents))
+), m AS (
+  SELECT doc_id, template, count(DISTINCT s) AS n_shared, min(k) - 1 AS first_word, max(k) + 3 AS last_word
+  FROM d JOIN t USING (s) GROUP BY doc_id, template
+)
+SELECT doc_id, template, n_shared, n_template, n_shared / n_template AS containment, first_word, last_word
+FROM m JOIN n USING (template) WHERE n_shared / n_template >= 0.8
+"""
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
