@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, sharding, simhash, vectors, warc
+from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, lm, sharding, simhash, vectors, warc
 from cyclograin.operators.attach import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", F.coalesce(langid.held_out("doc_id", 5, 1), F.lit(False)))
+    model = lm.learn(docs.filter(~F.col("held_out")))
+    found = lm.score(docs, model, "text", ["doc_id", "held_out"])
+    return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))

@@ -124,3 +124,59 @@ def profiles(docs, size=400):
 
 def base32_sha1(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def kneser_ney(train, texts):
+    """(tokens, known, base, score) of each text under a two-word model counted in dictionaries."""
+    import math
+
+    def tokens(text):
+        return [*WORD.findall(lower(text)), None]
+
+    uni, pairs = Counter(), Counter()
+    for t in train:
+        ws = tokens(t)
+        uni.update(ws)
+        pairs.update(zip(["<s>", *ws[:-1]], ws, strict=True))
+    ctx, cont = Counter(), Counter()
+    for (u, w), n in pairs.items():
+        ctx[u] += n
+        cont[w] += 1
+    of_context = {u: [0, 0, 0] for u in ctx}
+    for (u, _), n in pairs.items():
+        of_context[u][min(n, 3) - 1] += 1
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        out = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
+        return [d if 0 < d < k else 0.5 * k for k, d in zip((1, 2, 3), out, strict=True)]
+
+    big, small = discounts(pairs.values()), discounts(cont.values())
+    size, total, types = len(uni), sum(uni.values()), len(pairs)
+    free = sum(small[min(c, 3) - 1] for c in cont.values()) / types if types else 1.0
+
+    def prob(u, w):
+        low = free / (size + 1)
+        if cont[w]:
+            low += (cont[w] - small[min(cont[w], 3) - 1]) / types
+        if u not in ctx:
+            return low
+        n = pairs[u, w]
+        high = n - big[min(n, 3) - 1] if n else 0
+        return high / ctx[u] + sum(d * k for d, k in zip(big, of_context[u], strict=True)) / ctx[u] * low
+
+    out = []
+    for t in texts:
+        ws = tokens(t)
+        out.append(
+            (
+                len(ws),
+                sum(uni[w] > 0 for w in ws),
+                sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (size + 1))) for w in ws),
+                sum(math.log10(prob(u, w)) for u, w in zip(["<s>", *ws[:-1]], ws, strict=True)),
+            )
+        )
+    known = [*uni, "never seen"]
+    sums = [sum(prob(u, w) for w in known) for u in ["<s>", *list(ctx)[:3], "never seen"]] if types else []
+    return out, sums
