@@ -1,18 +1,23 @@
 """Linear models from sufficient statistics.
 
-The moment matrix of ``[1, x_1..x_d, y]`` is summed once per entity. Everything else works
-on those small matrices: pooling them fits a unit, subtracting one gives the fit without an
-entity, sub-matrices give ablations, an affine change of the features (another anchor) is
-``T' M T``, and the squared error of any coefficient vector on any entity is ``b' M b``.
-Rows are read once, however many folds, penalties, ablations or random draws follow.
+The moment matrix of ``[1, x_1..x_d, y]`` is taken once per entity: the row count, the means, and
+the co-moments about those means. Everything else works on those small matrices: merging them fits
+a unit, taking one out gives the fit without an entity, sub-matrices give ablations, an affine
+change of the features (another anchor) is ``T' M T``, and the squared error of any coefficient
+vector on any entity follows from M. Rows are read once, however many folds, penalties,
+ablations or random draws follow.
+
+Products are never summed about zero: features far from it (time stamps, large ids) keep their
+precision. A row with a NULL among its features or label counts nowhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,65 +25,142 @@ from pyspark.sql import types as T
 from cyclograin.operators.attach import attach
 
 ARRAY = T.ArrayType(T.DoubleType())
-CODEGEN_WIDTH = 11
-FLUSH_GROUPS = 256
+#: features up to which the matrix is one built-in aggregate
+CODEGEN_WIDTH = 4
+#: bytes of matrices that a task holds before it passes them on
+HELD_BYTES = 64 * 1024 * 1024
 
 
 def moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, out: str = "m") -> DataFrame:
-    """Row-major moment matrix of [1, *xs, y] per group.
+    """Row-major matrix of [1, *xs, y] per group, over the rows without NULL in these columns.
 
-    Narrow designs are one built-in aggregate. Wide ones are summed per task with matrix
+    Its first row and column hold the row count and the means, the rest the co-moments about the
+    means. Narrow designs are one built-in aggregate. Wide ones are computed per task with matrix
     products first, so a task sends one matrix per group however many rows it has.
     """
     cols = [*xs, y]
+    plain = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)]
+    src = df.dropna(subset=list(dict.fromkeys(cols))).select(*by, *plain)
+    z = [f"__x{i}" for i in range(len(cols))]
     if len(xs) <= CODEGEN_WIDTH:
-        terms = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-        k = len(terms)
-        names = {(i, j): f"__{i}_{j}" for i in range(k) for j in range(i, k)}
-        aggs = [F.sum(terms[i] * terms[j]).alias(n) for (i, j), n in names.items()]
-        flat = [F.col(names[min(i, j), max(i, j)]) for i in range(k) for j in range(k)]
-        return df.groupBy(*by).agg(*aggs).select(*by, F.array(*flat).alias(out))
-    src = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    schema = T.StructType([*[f for f in src.schema.fields if f.name in by], T.StructField(out, ARRAY)])
-    keys = list(by)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(z)
+        aggs = [F.count(F.lit(1)).cast("double").alias("__n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(z)]]
+        aggs += [F.covar_pop(z[i], z[j]).alias(f"__c{i}_{j}") for i in range(k) for j in range(i, k)]
+        flat = [F.col("__n"), *[F.col(f"__m{i}") for i in range(k)]]
+        for i in range(k):
+            flat += [F.col(f"__m{i}"), *[F.col(f"__c{min(i, j)}_{max(i, j)}") * F.col("__n") for j in range(k)]]
+        return src.groupBy(*by).agg(*aggs).select(*by, F.array(*flat).alias(out))
+
+    def matrices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        rows = np.column_stack([batch.column(len(by) + i).to_numpy() for i in range(len(z))])
+        for key, at in _groups(batch, len(by)):
+            part = rows[at]
+            mean = part.mean(axis=0)
+            part = part - mean
+            g = np.empty((len(z) + 1, len(z) + 1))
+            g[0, 0], g[0, 1:], g[1:, 0], g[1:, 1:] = len(at), mean, mean, part.T @ part
+            yield key, g
+
+    partial = _combined(src, by, out, matrices)
+    return pool(partial, by, out)
+
+
+def _groups(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Keys (the first columns; NULL is a key) of a batch and their row numbers."""
+    keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True)) if n_keys else [()] * batch.num_rows
+    number: dict[tuple, int] = {}
+    codes = np.fromiter((number.setdefault(k, len(number)) for k in keys), dtype=np.int64, count=len(keys))
+    order = np.argsort(codes, kind="stable")
+    cuts = np.cumsum(np.bincount(codes, minlength=len(number)))[:-1]
+    yield from zip(number, np.split(order, cuts), strict=True) if number else ()
+
+
+def _combined(
+    df: DataFrame, by: Sequence[str], out: str, matrices: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray]]]
+) -> DataFrame:
+    """Merge the matrices that each task sees, by key, in bounded memory."""
+    schema = T.StructType([*df.select(*by).schema.fields, T.StructField(out, ARRAY)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+        size = 0
 
-        def flush() -> pd.DataFrame:
-            rows = pd.DataFrame(list(kept), columns=keys)
-            rows[out] = [m.ravel() for m in kept.values()]
-            kept.clear()
-            return rows
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*kept, strict=True), kinds, strict=True)]
+            cols.append(pa.array([g.ravel() for g in kept.values()], pa.list_(pa.float64())))
+            return pa.RecordBatch.from_arrays(cols, names=[*by, out])
 
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                z = np.column_stack([np.ones(len(part)), part[cols].to_numpy(dtype=float)])
+        for batch in batches:
+            kinds = batch.schema.types[: len(by)]
+            for key, g in matrices(batch):
                 old = kept.get(key)
-                kept[key] = z.T @ z if old is None else old + z.T @ z
-                if len(kept) >= FLUSH_GROUPS:
+                kept[key] = g if old is None else merged(old, g)
+                size += g.nbytes if old is None else 0
+                if size > HELD_BYTES:
                     yield flush()
+                    kept.clear()
+                    size = 0
         if kept:
             yield flush()
 
-    return sum_arrays(src.mapInPandas(partial, schema), by, out)
+    return df.mapInArrow(run, schema)
+
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of two disjoint sets of rows."""
+    na, nb = a[0, 0], b[0, 0]
+    n = na + nb
+    if n <= 0:
+        return a
+    gap = b[0, 1:] - a[0, 1:]
+    mean = a[0, 1:] + gap * (nb / n)
+    out = a + b
+    out[0, 0], out[0, 1:], out[1:, 0] = n, mean, mean
+    out[1:, 1:] += np.outer(gap, gap) * (na * nb / n)
+    return out
+
+
+def without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of the rows of ``a`` that are not in its part ``b``."""
+    na, nb = a[0, 0], b[0, 0]
+    n = na - nb
+    out = a - b
+    if n <= 0:
+        return np.zeros_like(a)
+    gap = (b[0, 1:] - a[0, 1:]) * (na / n)
+    mean = b[0, 1:] - gap
+    out[0, 0], out[0, 1:], out[1:, 0] = n, mean, mean
+    out[1:, 1:] -= np.outer(gap, gap) * (n * nb / na)
+    return out
 
-def sum_arrays(df: DataFrame, by: Sequence[str], col: str = "m") -> DataFrame:
-    """Element-wise sum of equally long arrays per group, combined map-side."""
-    long = df.select(*by, F.posexplode(col).alias("__pos", "__v"))
-    cells = long.groupBy(*by, "__pos").agg(F.sum("__v").alias("__v"))
-    packed = F.array_sort(F.collect_list(F.struct("__pos", "__v")))
-    return cells.groupBy(*by).agg(F.transform(packed, lambda s: s["__v"]).alias(col))
+
+def _square(v) -> np.ndarray:
+    g = np.asarray(v, dtype=float)
+    k = int(round(np.sqrt(g.size)))
+    return g.reshape(k, k)
 
 
 def pool(m: DataFrame, by: Sequence[str], out: str = "m") -> DataFrame:
-    """Moment matrices added up to a coarser grouping."""
-    return sum_arrays(m, by, out)
+    """Matrices merged to a coarser grouping: in each task first, then per group."""
+    by = list(by)
+
+    def matrices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        values = batch.column(len(by)).to_pylist()
+        for key, at in _groups(batch, len(by)):
+            for i in at.tolist():
+                if values[i] is not None:
+                    yield key, _square(values[i])
 
+    first = _combined(m.select(*by, out), by, out, matrices)
+    placed = first.repartition(*by) if by else first.repartition(1)
+    return _combined(placed, by, out, matrices)
 
-def minus(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+
+@F.pandas_udf(ARRAY)
+def minus(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Column of matrices ``a`` without the rows of ``b``."""
+    return pd.Series([without(_square(x), _square(y)).ravel() for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def solve_ridge(m: np.ndarray, alpha: float, keep: Sequence[int] | None = None) -> np.ndarray:
@@ -90,15 +172,14 @@ def solve_ridge(m: np.ndarray, alpha: float, keep: Sequence[int] | None = None)
     beta = np.zeros(d + 1)
     if n <= 0:
         return np.full(d + 1, np.nan)
-    mean = g[0, 1 : k - 1] / n
-    sxx = g[1 : k - 1, 1 : k - 1] - n * np.outer(mean, mean)
-    sxy = g[1 : k - 1, k - 1] - mean * g[0, k - 1]
+    mean = g[0, 1 : k - 1]
+    sxx, sxy = g[1 : k - 1, 1 : k - 1], g[1 : k - 1, k - 1]
     a, b = sxx[np.ix_(idx, idx)], sxy[idx]
     if alpha > 0:
         beta[1 + idx] = np.linalg.solve(a + alpha * np.eye(len(idx)), b)
     elif len(idx):
         beta[1 + idx] = np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ b
-    beta[0] = g[0, k - 1] / n - beta[1:] @ mean
+    beta[0] = g[0, k - 1] - beta[1:] @ mean
     return beta
 
 
@@ -119,8 +200,9 @@ def sse_column(m: pd.Series, beta: pd.Series) -> pd.Series:
     out = []
     for v, b in zip(m, beta, strict=True):
         w = np.append(np.asarray(b, dtype=float), -1.0)
-        g = np.asarray(v, dtype=float).reshape(len(w), len(w))
-        out.append(max(float(w @ g @ w), 0.0))
+        g = _square(v)
+        shift = w[0] + w[1:] @ g[0, 1:]
+        out.append(float(w[1:] @ g[1:, 1:] @ w[1:] + g[0, 0] * shift * shift))
     return pd.Series(out, dtype="float64")
 
 
@@ -169,7 +251,7 @@ def total_ss(m: str | Column, d: int) -> Column:
     """Total sum of squares of y behind a moment matrix of ``d`` features."""
     k = d + 2
     c = F.col(m) if isinstance(m, str) else m
-    return c[k * k - 1] - c[k - 1] * c[k - 1] / c[0]
+    return c[k * k - 1]
 
 
 def leave_one_out(per_entity: DataFrame, unit: Sequence[str], entity: str) -> DataFrame:
@@ -262,7 +344,7 @@ def ablation(
 
 
 def shift_moments(m: Column | str, d: int, base: Sequence[int], anchors: Sequence[Column]) -> Column:
-    """Moments of [1, x, x_base - anchor, y] from the moments of [1, x, y]: T' M T per row."""
+    """Moments of [1, x, x_base - anchor, y] from the moments of [1, x, y]: only means move."""
     udf = _shift_udf(d, tuple(base))
     return udf(m, F.array(*[a.cast("double") for a in anchors]))
 
@@ -274,14 +356,14 @@ def _shift_udf(d: int, base: tuple[int, ...]):
     def shift(m: pd.Series, anchors: pd.Series) -> pd.Series:
         out = []
         for v, a in zip(m, anchors, strict=True):
-            t = np.zeros((k, wide))
-            t[: d + 1, : d + 1] = np.eye(d + 1)
-            for j, b in enumerate(base):
-                t[1 + b, d + 1 + j] = 1.0
-                t[0, d + 1 + j] = -a[j]
-            t[k - 1, wide - 1] = 1.0
-            g = np.asarray(v, dtype=float).reshape(k, k)
-            out.append((t.T @ g @ t).ravel())
+            place = np.array([*range(1, d + 1), *[1 + b for b in base], k - 1])
+            g = _square(v)
+            moved = np.empty((wide, wide))
+            moved[1:, 1:] = g[np.ix_(place, place)]
+            mean = g[0, place]
+            mean[d : d + len(base)] -= np.asarray(a, dtype=float)
+            moved[0, 0], moved[0, 1:], moved[1:, 0] = g[0, 0], mean, mean
+            out.append(moved.ravel())
         return pd.Series(out)
 
     return shift
@@ -340,10 +422,8 @@ def effective_rank_column(m: pd.Series) -> pd.Series:
     """exp(entropy of squared singular values) of the standardised features behind a matrix."""
     out = []
     for v in m:
-        k = int(round(np.sqrt(len(v))))
-        g = np.asarray(v, dtype=float).reshape(k, k)
-        n, mean = g[0, 0], g[0, 1:-1] / g[0, 0]
-        cov = g[1:-1, 1:-1] / n - np.outer(mean, mean)
+        g = _square(v)
+        cov = g[1:-1, 1:-1] / g[0, 0]
         sd = np.sqrt(np.clip(np.diag(cov), 0, None)) + 1e-9
         w = np.clip(np.linalg.eigvalsh(cov / np.outer(sd, sd)), 0, None)
         p = w[w > 0] / w.sum()

@@ -40,11 +40,49 @@ def test_ridge_matches_direct_solution(table):
 def test_wide_and_narrow_moments_agree(table, monkeypatch):
     narrow = np.array(linear.moments(table, ["unit", "entity"], XS, "y").orderBy("entity").first()["m"])
     monkeypatch.setattr(linear, "CODEGEN_WIDTH", 0)
-    monkeypatch.setattr(linear, "FLUSH_GROUPS", 5)
+    monkeypatch.setattr(linear, "HELD_BYTES", 500)
     wide = np.array(linear.moments(table, ["unit", "entity"], XS, "y").orderBy("entity").first()["m"])
     np.testing.assert_allclose(narrow, wide, rtol=1e-12)
 
 
+@pytest.mark.parametrize("width", [0, 4])
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
+def test_features_far_from_zero_and_gaps(spark, monkeypatch, width, offset):
+    monkeypatch.setattr(linear, "CODEGEN_WIDTH", width)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=4000)
+    y = 2.0 * x + 5.0 + 0.1 * rng.normal(size=4000)
+    gap = rng.random(4000) < 0.3
+    rows = [(None if i % 4 == 3 else i % 4, i % 40, None if gap[i] else float(x[i] + offset), float(y[i])) for i in range(4000)]
+    d = spark.createDataFrame(rows, "unit long, entity long, x double, y double").repartition(6)
+    m = linear.moments(d, ["unit", "entity"], ["x"], "y")
+    whole = linear.fit(linear.pool(m, ["unit"]), 0.0).collect()
+    assert sorted(str(r["unit"]) for r in whole) == ["0", "1", "2", "None"]
+    for r in whole:
+        ok = np.array([u == r["unit"] and v is not None for u, _, v, _ in rows])
+        slope, level = np.polyfit(x[ok], y[ok], 1)
+        assert r["m"][0] == ok.sum()
+        assert r["beta"][1] == pytest.approx(slope, rel=1e-6) and r["beta"][0] + r["beta"][1] * offset == pytest.approx(level, rel=1e-6)
+        error = np.sqrt(np.mean((y[ok] - slope * x[ok] - level) ** 2))
+        if r["unit"] is not None:
+            got = linear.score(m.filter(F.col("unit") == r["unit"]), linear.fit(linear.pool(m, ["unit"]), 0.0), ["unit"]).first()
+            assert got["rmse_overall"] == pytest.approx(error, rel=1e-5)
+
+
+def test_taking_a_part_out_leaves_the_rest():
+    rng = np.random.default_rng(9)
+
+    def matrix(z):
+        g = np.empty((4, 4))
+        mean = z.mean(axis=0)
+        g[0, 0], g[0, 1:], g[1:, 0], g[1:, 1:] = len(z), mean, mean, (z - mean).T @ (z - mean)
+        return g
+
+    z = rng.normal(size=(50, 3)) + 1e7
+    np.testing.assert_allclose(linear.merged(matrix(z[:20]), matrix(z[20:])), matrix(z), rtol=1e-9, atol=1e-6)
+    np.testing.assert_allclose(linear.without(matrix(z), matrix(z[:20])), matrix(z[20:]), rtol=1e-9, atol=1e-6)
+
+
 def test_singular_design_uses_the_pseudo_inverse(table):
     d = table.withColumn("c", F.col("a") - F.col("b"))
     m = linear.moments(d, ["unit", "entity"], XS, "y")
