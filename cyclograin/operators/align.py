@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cyclograin.operators.attach import settled
 from cyclograin.operators.inference import spearman
-from cyclograin.operators.ordered import Ordered, has_hot_key, ordinal
+from cyclograin.operators.ordered import Ordered, has_hot_key, key_join, ordinal
 from cyclograin.operators.ranks import quantiles
 
 # Tolerance ladder, search window and thresholds of the alignment rule.
@@ -79,8 +79,8 @@ def align(
         return _align_whole(left, right, keys, rungs)
     counts = [d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows) for d in long]
     hot = settled(reduce(DataFrame.unionByName, counts).select(*keys).distinct())
-    short = [d.join(F.broadcast(hot), keys, "left_anti") for d in (left, right)]
-    cut = [d.join(F.broadcast(hot), keys, "left_semi") for d in (left, right)]
+    short = [key_join(d, hot, keys, "left_anti") for d in (left, right)]
+    cut = [key_join(d, hot, keys, "left_semi") for d in (left, right)]
     return _align_whole(*short, keys, rungs).unionByName(_align_in_steps(*cut, keys, rungs, max_rows))
 
 

@@ -1,4 +1,4 @@
-"""Lookup joins whose broadcast is decided by a measured size, and lineage cuts."""
+"""Lookup joins that adaptive execution sizes, and lineage cuts."""
 
 from __future__ import annotations
 
@@ -9,24 +9,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.operators.ordered import plan_bytes
-
-BROADCAST_BYTES = 8 * 1024 * 1024
-
-
 _TEMPORARY: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session without that setting (tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster
+    every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _TEMPORARY.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if app not in _TEMPORARY:
+            _TEMPORARY[app] = tempfile.mkdtemp(prefix="spark-")
+        base = _TEMPORARY[app]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(app, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what :func:`scratch_path` named in this session, once no result that reads it is needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -43,17 +54,11 @@ def settled(df: DataFrame) -> DataFrame:
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a lookup (one row per key) onto a big table.
 
-    The lookup is broadcast when the optimizer's upper estimate or, failing that, the size
-    of its settled table allows it. Otherwise the join is left to the shuffle path, where adaptive
-    skew handling splits a hot key against its single lookup row.
+    No side is forced to be broadcast: adaptive execution does so when the lookup, once it is
+    computed, is below the session's threshold. Otherwise the join is a shuffle whose hot
+    keys adaptive skew handling splits against their single lookup row.
     """
-    keys = list(keys)
-    if plan_bytes(small) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), keys, how)
-    small = settled(small)
-    if plan_bytes(small) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), keys, how)
-    return big.join(small, keys, how)
+    return big.join(small, list(keys), how)
 
 
 def attach_global(big: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cyclograin.operators import windows
 from cyclograin.operators.attach import attach, settled
-from cyclograin.operators.ordered import Ordered, following, last_valid, ordinal
+from cyclograin.operators.ordered import Ordered, following, key_join, last_valid, ordinal
 from cyclograin.operators.trajectory import violation_ratio
 
 MAX_ROUNDS = 10_000
@@ -73,8 +73,8 @@ def group_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     """Row numbers at which the key differs from the row before (0 included)."""
     change = np.zeros(len(pdf), dtype=bool)
     for k in keys:
-        v = pdf[k].to_numpy()
-        change[1:] |= v[1:] != v[:-1]
+        v, gap = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        change[1:] |= (v[1:] != v[:-1]) & ~(gap[1:] & gap[:-1])
     if len(pdf):
         change[0] = True
     return np.flatnonzero(change)
@@ -100,15 +100,15 @@ def _whole_series(df: DataFrame, keys, order, y: str, out: str, fit) -> DataFram
         for pdf in batches:
             if not len(pdf):
                 continue
-            joined = pd.concat([*[t.tail(1) for t in tail[-1:]], pdf], ignore_index=True)
-            starts = group_starts(joined, keys) - (1 if tail else 0)
-            last = int(starts[-1])
-            if last <= 0 and tail:
-                # the whole batch continues the open series
-                tail.append(pdf)
-                continue
-            yield fitted(pd.concat([*tail, pdf.iloc[:last]], ignore_index=True)) if tail or last else pdf.iloc[:0].assign(**{out: 0.0})
-            tail = [pdf.iloc[last:]]
+            if tail and len(group_starts(pd.concat([tail[-1].tail(1), pdf.head(1)], ignore_index=True), keys)) == 2:
+                # the batch begins a new series, so the open one is complete
+                yield fitted(pd.concat(tail, ignore_index=True))
+                tail = []
+            last = int(group_starts(pdf, keys)[-1])
+            if last:
+                yield fitted(pd.concat([*tail, pdf.iloc[:last]], ignore_index=True))
+                tail = []
+            tail.append(pdf.iloc[last:])
         if tail:
             yield fitted(pd.concat(tail, ignore_index=True))
 
@@ -125,7 +125,10 @@ def isotonic(
     scan = Ordered(df, keys, order, max_rows, PANDAS_ROWS)
     if scan.bounds is None:
         return _whole_series(df, keys, order, y, out, fit_decreasing)
-    return _isotonic_in_rounds(scan, y, out, max_rows or PANDAS_ROWS)
+    hot = scan.bounds.select(*keys)
+    short = _whole_series(key_join(df, hot, keys, "left_anti"), keys, order, y, out, fit_decreasing)
+    long = Ordered(key_join(df, hot, keys, "left_semi"), keys, order, max_rows, PANDAS_ROWS)
+    return short.unionByName(_isotonic_in_rounds(long, y, out, max_rows or PANDAS_ROWS))
 
 
 def _isotonic_in_rounds(scan: Ordered, y: str, out: str, max_rows: int) -> DataFrame:
@@ -161,7 +164,7 @@ def _isotonic_in_rounds(scan: Ordered, y: str, out: str, max_rows: int) -> DataF
     means = blocks.select(
         *keys, F.col("__start").cast("int").alias("__pos"), (F.col("__sum") / F.col("__n")).alias("__mean")
     )
-    placed = rows.join(means, [*keys, "__pos"], "left")
+    placed = key_join(rows, means, [*keys, "__pos"], "left")
     fitted = Ordered(placed, keys, ["__pos"], max_rows).with_scans(**{out: last_valid("__mean")})
     return fitted.drop("__pos", "__mean")
 
@@ -179,8 +182,8 @@ def causal_isotonic(
     if scan.bounds is None:
         return _causal_streamed(df, keys, order, y, out)
     hot = scan.bounds.select(*keys)
-    short = df.join(F.broadcast(hot), list(keys), "left_anti")
-    long = df.join(F.broadcast(hot), list(keys), "left_semi")
+    short = key_join(df, hot, keys, "left_anti")
+    long = key_join(df, hot, keys, "left_semi")
     done = _causal_in_steps(long, keys, order, y, out, max_rows or PANDAS_ROWS)
     return _causal_streamed(short, keys, order, y, out).unionByName(done)
 
@@ -262,10 +265,10 @@ def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) ->
             break
         want = open_.withColumn("__part", F.floor(F.col("at") / size)).drop("rows")
         a = rows.select(*keys, "__part", "__pos", F.col(y).cast("double").alias("__v"))
-        a = a.join(F.broadcast(want), [*keys, "__part"]).filter(F.col("__pos") >= F.col("at")).drop("__part", "at")
+        a = key_join(a, want, [*keys, "__part"]).filter(F.col("__pos") >= F.col("at")).drop("__part", "at")
         low = F.greatest(F.col("top") - size, F.lit(0))
         edge = open_.select(*keys, low.alias("__low"))
-        marked = stack.join(F.broadcast(edge), keys, "left").withColumn(
+        marked = key_join(stack, edge, keys, "left").withColumn(
             "__near", F.coalesce(F.col("pos") >= F.col("__low"), F.lit(False))
         )
         # fresh column identities on one side of the pairing
@@ -277,7 +280,7 @@ def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) ->
         moved = got.filter("kind = 2").select(
             *keys, F.col("pos").alias("__at"), F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("top").alias("__t")
         )
-        d = state.join(F.broadcast(moved), keys, "left")
+        d = key_join(state, moved, keys, "left")
         state = settled(
             d.select(
                 *keys, "rows", F.coalesce("__at", "at").alias("at"), F.coalesce("__s", "pend_s").alias("pend_s"),
@@ -285,7 +288,7 @@ def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) ->
             )
         )
     fitted = reduce(DataFrame.unionByName, values)
-    return rows.join(fitted, [*keys, "__pos"]).select(*df.columns, out)
+    return key_join(rows, fitted, [*keys, "__pos"]).select(*df.columns, out)
 
 
 def smooth_isotonic(df, keys, order, y: str, out: str, max_rows: int | None = None) -> DataFrame:

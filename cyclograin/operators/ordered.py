@@ -6,7 +6,7 @@ all rows. :class:`Ordered` offers one vocabulary for both cases.
 
 * Small input, or a row count per key below ``max_rows``: plain windows that share one
   partitioning and one sort.
-* Otherwise only the oversized keys are cut into chunks along their order column. Each
+* Otherwise only the oversized keys are cut into chunks along their order columns. Each
   chunk is scanned on its own, its summary (count, minimum, sum, last value) is carried
   forward over the small summary table, and the few rows a sliding frame needs from the
   neighbouring chunk are copied over as a halo. Results are the same rows and values.
@@ -14,10 +14,10 @@ all rows. :class:`Ordered` offers one vocabulary for both cases.
 
 from __future__ import annotations
 
-import math
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cyclograin.functions import array_median
 from cyclograin.schema import require_columns
 
-MAX_ROWS_PER_TASK = 20_000_000
+MAX_ROWS_PER_TASK = 2_000_000
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 SMALL_INPUT_ROWS = 1_000_000
 
@@ -100,23 +100,18 @@ def total(aggregate: Column) -> Scan:
     return Scan("total", aggregate)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; joins are over-estimated, which only triggers a probe."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # no JVM handle (remote client): behave as for large input
-        return 1 << 62
+def key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that both sides have; NULL is a key like any other."""
+    own = {k: f"__k{i}" for i, k in enumerate(keys)}
+    other = b.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], *[f"`{c}`" for c in b.columns if c not in own])
+    same = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in own.items()])
+    return a.join(other, same, how).drop(*own.values())
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Total size of the tables a plan reads."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size())]
-        return sum(int(s) for s in sizes)
-    except Exception:
-        return 1 << 62
+    """Total size of the tables a plan reads, as stored."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def fits_one_task(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
@@ -127,29 +122,19 @@ def fits_one_task(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return input_bytes(df) <= limit
 
 
-def lead_value(df: DataFrame, name: str) -> Column:
-    """The leading order column as a double that never reverses the order."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.col(name).cast("timestamp").cast("double")
-    if kind == "string":  # the first six bytes as a number follow the byte order of strings
-        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
 _PROBES: OrderedDict[tuple, bool] = OrderedDict()
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
     """Whether any key exceeds ``max_rows`` rows: one map-side combined count over the keys.
 
-    The answer is remembered for the same plan, since one evaluation asks several times.
-    It only picks the physical route; both routes give the same rows.
+    The answer is remembered for the same plan over the same files, since one evaluation asks
+    several times. It only picks the physical route; both routes give the same rows.
     """
-    if fits_one_task(df) and max_rows >= SMALL_INPUT_ROWS:
+    if max_rows >= SMALL_INPUT_ROWS and fits_one_task(df):
         return False
-    probe = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), max_rows)
+    files = tuple(sorted(df.inputFiles()))
+    probe = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), files, tuple(keys), max_rows)
     if probe not in _PROBES:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
         _PROBES[probe] = bool(counts.filter(F.col("__n") > max_rows).take(1))
@@ -158,39 +143,13 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
     return _PROBES[probe]
 
 
-def hot_bounds(
-    df: DataFrame, keys: Sequence[str], lead: Column, max_rows: int
-) -> DataFrame | None:
-    """Split points of every key above ``max_rows`` rows, or None if there is no such key.
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """Keys above ``max_rows`` rows with the number of chunks ``__pieces`` each needs.
 
-    Both passes aggregate map-side (a count, then a quantile sketch of the hot keys only).
-    The result holds at most about ``2 * rows / max_rows`` numbers, so it may be broadcast.
+    There are at most rows / ``max_rows`` of them.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > max_rows)
-    biggest = hot.agg(F.max("__n")).first()[0]
-    if biggest is None:
-        return None
-    pieces = math.ceil(biggest / max_rows) + 1
-    fractions = [i / pieces for i in range(1, pieces)]
-    sketch = (
-        df.withColumn("__lead", lead)
-        .join(F.broadcast(hot), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx("__lead", fractions, max(10_000, 20 * pieces)).alias("__b"),
-        )
-    )
-    wanted = F.ceil(F.col("__n") / F.lit(float(max_rows))).cast("int")
-    thinned = F.transform(
-        F.sequence(F.lit(1), wanted),
-        lambda i: F.try_element_at(
-            F.col("__b"),
-            F.greatest(F.lit(1), F.floor(i * F.lit(pieces) / (wanted + 1)).cast("int")),
-        ),
-    )
-    return _settled(sketch.select(*keys, F.array_distinct(thinned).alias("__bounds")))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    return _settled(counts.select(*keys, F.ceil(F.col("__n") / F.lit(float(max_rows))).alias("__pieces")))
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -199,30 +158,18 @@ def _settled(df: DataFrame) -> DataFrame:
     return settled(df)
 
 
-def _chunk_id(lead: Column) -> Column:
-    """Number of bounds below the order value, found in about 2 * sqrt(bounds) steps."""
-    bounds = F.col("__bounds")
-    width = F.ceil(F.sqrt(F.size(bounds).cast("double"))).cast("int")
-    blocks = F.sequence(F.lit(0), F.floor((F.size(bounds) - 1) / width).cast("int"))
-    heads = F.filter(
-        blocks,
-        lambda b: F.try_element_at(bounds, (b * width + 1).cast("int")) < lead,
-    )
-    base = F.greatest(F.size(heads) - 1, F.lit(0)) * width
-    inside = F.size(F.filter(F.slice(bounds, base + 1, width), lambda b: b < lead))
-    return F.when(bounds.isNull(), F.lit(0)).otherwise((base + inside).cast("int"))
-
-
-def with_chunks(
-    df: DataFrame, keys: Sequence[str], lead: Column, bounds: DataFrame
-) -> DataFrame:
-    """Attach the chunk number; keys without bounds stay in chunk 0."""
-    return (
-        df.join(F.broadcast(bounds), list(keys), "left")
-        .withColumn(_CHUNK, _chunk_id(lead))
-        .withColumn("__hot", F.col("__bounds").isNotNull())
-        .drop("__bounds")
-    )
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Attach a chunk number that rises along the order; keys that are not hot stay in chunk 0.
+
+    Hot keys are cut by a range partitioning over the key and all order columns, of any type, and
+    written once, so every later use sees the same chunks. Only their rows are written.
+    """
+    pieces = hot.agg(F.sum("__pieces")).first()[0] or 1
+    names = hot.select(*keys)
+    cold = key_join(df, names, keys, "left_anti").withColumns({_CHUNK: F.lit(0), "__hot": F.lit(False)})
+    cut = key_join(df, names, keys, "left_semi").repartitionByRange(int(pieces) + 1, *keys, *order)
+    cut = _settled(cut.withColumns({_CHUNK: F.spark_partition_id(), "__hot": F.lit(True)}))
+    return cold.unionByName(cut)
 
 
 class Ordered:
@@ -241,7 +188,7 @@ class Ordered:
         self.bounds: DataFrame | None = None
         limit = max_rows or default_rows
         if has_hot_key(df, self.keys, limit):
-            self.bounds = hot_bounds(df, self.keys, lead_value(df, self.order[0]), limit)
+            self.bounds = hot_keys(df, self.keys, limit)
 
     def with_scans(self, **scans: Scan) -> DataFrame:
         """The input plus one column per scan."""
@@ -275,7 +222,7 @@ class Ordered:
         src = self.df.withColumns(
             {f"__v_{k}": s.expr for k, s in scans.items() if s.expr is not None and s.kind != "total"}
         )
-        d = with_chunks(src, keys, lead_value(src, self.order[0]), self.bounds)
+        d = with_chunks(src, keys, self.order, self.bounds)
         # used several times below: computed once, one row per key and chunk
         summary = _settled(self._summary(d, scans))
 
@@ -293,7 +240,7 @@ class Ordered:
         }
         out = rows.withColumns(local).filter(~F.col(_HALO)) if local else rows.filter(~F.col(_HALO))
         carry = summary.select(*kc, *[c for c in summary.columns if c.startswith("__s_")])
-        out = out.join(carry, kc)
+        out = key_join(out, carry, kc)
         out = out.withColumns({k: _finish(k, s) for k, s in scans.items()})
         return out.select(*self.df.columns, *scans)
 
@@ -345,10 +292,10 @@ class Ordered:
             per_key = self.df.groupBy(*keys).agg(
                 *[s.expr.alias(f"__s_{k}") for k, s in totals.items()]
             )
-            summary = summary.join(per_key, keys)
+            summary = key_join(summary, per_key, keys)
         early = {k: s for k, s in scans.items() if s.kind == "early_median"}
         if early:
-            summary = summary.join(self._heads(d, summary, early), keys)
+            summary = key_join(summary, self._heads(d, summary, early), keys)
         return summary
 
     def _heads(self, d: DataFrame, summary: DataFrame, early: dict[str, Scan]) -> DataFrame:
@@ -356,10 +303,9 @@ class Ordered:
         kc = [*self.keys, _CHUNK]
         k_max = max(s.n for s in early.values())
         w = Window.partitionBy(*kc).orderBy(*self.order)
+        heads = d.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) <= k_max)
         heads = (
-            d.withColumn(_RANK, F.row_number().over(w))
-            .filter(F.col(_RANK) <= k_max)
-            .join(summary.select(*kc, "__s___before"), kc)
+            key_join(heads, summary.select(*kc, "__s___before"), kc)
             .withColumn(_RANK, F.col(_RANK) + F.col("__s___before"))
             .filter(F.col(_RANK) <= k_max)
         )
@@ -397,10 +343,10 @@ class Ordered:
             end.alias("__dend"),
         )
         gap = F.col("__start") - F.col("__dend") if forward else F.col("__dstart") - F.col("__end")
-        pairs = here.join(there, [*keys, "__to"]).withColumn("__gap", gap)
+        pairs = key_join(here, there, [*keys, "__to"]).withColumn("__gap", gap)
         pairs = pairs.filter(F.col("__gap") < reach).select(*kc, "__dest", "__gap")
         return (
-            edge.join(pairs, kc)
+            key_join(edge, pairs, kc)
             .filter(F.col(_RANK) + F.col("__gap") <= reach)
             .withColumn(_CHUNK, F.col("__dest"))
             .withColumn(_HALO, F.lit(True))

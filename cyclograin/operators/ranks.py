@@ -13,6 +13,7 @@ from cyclograin.operators.ordered import (
     Ordered,
     Scan,
     has_hot_key,
+    key_join,
     ordinal,
     running_sum,
     total,
@@ -61,7 +62,7 @@ def quantiles(
         for name, (c, q) in measures.items():
             by_column.setdefault(c, {})[name] = q
         for c, wanted in by_column.items():
-            out = out.join(_selected(src, keyed, c, wanted, limit), keyed, "left")
+            out = key_join(out, _selected(src, keyed, c, wanted, limit), keyed, "left")
     return out if keys else out.drop("__all")
 
 
@@ -73,7 +74,7 @@ def _selected(
         __hi=running_sum("__cnt")
     )
     sizes = counts.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
-    placed = placed.join(sizes, keys)
+    placed = key_join(placed, sizes, keys)
     lo, hi, n = F.col("__hi") - F.col("__cnt"), F.col("__hi"), F.col("__n")
     aggs = []
     for name, q in wanted.items():
@@ -111,7 +112,7 @@ def with_average_rank(
     counts = value_counts(df, keys, value)
     ranked = Ordered(counts, keys, [value], max_rows=max_rows).with_scans(__hi=running_sum("__cnt"))
     ranked = ranked.select(*keys, value, (F.col("__hi") - (F.col("__cnt") - 1) / 2.0).alias(out))
-    return df.join(ranked, [*keys, value], "left")
+    return key_join(df, ranked, [*keys, value], "left")
 
 
 def with_hash_rank(

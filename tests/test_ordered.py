@@ -43,9 +43,43 @@ def test_chunks_equal_windows(hot, max_rows):
         np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, err_msg=c)
 
 
+def test_null_keys_and_texts_as_order(hot):
+    """Rows with a NULL key stay; names with a long common prefix and tied leading values are cut too."""
+    d = hot.withColumns({
+        "g": F.when(F.col("g") == 1, F.lit(None)).otherwise(F.col("g")),
+        "name": F.format_string("Supplier#%09d", F.col("event_id")), "same": F.lit("2020-01-01").cast("date"),
+    })
+    for order in (["name"], ["same", "event_id"]):
+        cut = o.Ordered(d, ["g"], order, max_rows=40)
+        a, b = frame(o.Ordered(d, ["g"], order).with_scans(**scans())), frame(cut.with_scans(**scans()))
+        assert len(a) == len(b) == d.count()
+        for c in scans():
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, err_msg=c)
+        sizes = o.with_chunks(d, ["g"], order, cut.bounds).filter("__hot").groupBy("__chunk").count().agg(F.max("count"))
+        assert sizes.first()[0] <= 3 * 40
+    q = {"m": ("g1", 0.5)}
+    key = lambda pdf: pdf.sort_values("g", na_position="last").reset_index(drop=True)
+    pd.testing.assert_frame_equal(key(ranks.quantiles(d, ["g"], q).toPandas()), key(ranks.quantiles(d, ["g"], q, max_rows=9).toPandas()))
+    a, b = (frame(ranks.with_average_rank(d, ["g"], "x2", "r", max_rows=n)) for n in (None, 11))
+    np.testing.assert_allclose(a["r"], b["r"])
+    s = d.select("g", "ts", "event_id", "y")
+    a, b = (frame(monotone.isotonic(s, ["g"], ["ts", "event_id"], "y", "fit", max_rows=n)) for n in (None, 60))
+    np.testing.assert_allclose(a["fit"], b["fit"], rtol=1e-9)
+
+
+def test_whole_series_flush_with_each_new_series(spark):
+    d = spark.range(200).selectExpr("id div 10 AS g", "id AS i", "cast(id % 7 as double) AS y")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = monotone.isotonic(d.coalesce(1), ["g"], ["i"], "y", "fit").toPandas().sort_values("i")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = np.concatenate([monotone.fit_decreasing(p["y"].to_numpy()) for _, p in got.groupby("g")])
+    np.testing.assert_allclose(got["fit"], want)
+
+
 def test_only_hot_keys_are_cut(hot):
-    bounds = o.hot_bounds(hot, ["g"], o.lead_value(hot, "ts"), 500).collect()
-    assert [r["g"] for r in bounds] == [1]
+    assert [r["g"] for r in o.hot_keys(hot, ["g"], 500).collect()] == [1]
 
 
 def test_quantiles_of_split_groups(hot):
