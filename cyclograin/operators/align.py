@@ -244,9 +244,12 @@ def verdict(
     strict_ok = (F.col("matched_strict") >= STRICT_ROWS) & (F.col("matched_strict") / F.col("proc_rows") >= STRICT_RATIO)
     ratio_ok = F.coalesce(F.abs(F.col("ratio_median") - 1.0) <= IDENTITY_BAND, F.lit(False))
     row_ok = F.col("matched_ratio") >= GOOD_RATIO
+    no_raw = F.coalesce(F.col("raw_rows"), F.lit(0)) == 0
+    s = s.withColumn("tol_used", F.when(~no_raw, F.col("tol_used")))
     identity = F.when(strict_ok & ratio_ok, "pass").when(strict_ok, "fail").otherwise("unverifiable")
     status = (
-        F.when(strict_ok & ratio_ok & row_ok, "pass")
+        F.when(no_raw, "fail_mapping")
+        .when(strict_ok & ratio_ok & row_ok, "pass")
         .when(strict_ok & ratio_ok, "fail_mapping")
         .when(strict_ok, "fail_identity")
         .otherwise("unverifiable")

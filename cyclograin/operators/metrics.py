@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclograin.operators.ordered import key_join
 from cyclograin.functions import delta_pct, rmse
 from cyclograin.operators.ranks import quantiles, with_average_rank
 
@@ -33,13 +34,14 @@ def macro_rmse(df: DataFrame, by: Sequence[str], entity: str, y: str = "y", pred
 def entity_map(
     per_entity: DataFrame, by: Sequence[str], entity: str, value: str, out: str = "per_entity", limit: int = 10_000
 ) -> DataFrame:
-    """One map per run for result archives; refuses runs whose entities belong in a child table."""
-    w = F.count(F.lit(1))
-    sizes = per_entity.groupBy(*by).agg(w.alias("__n"))
-    ok = F.when(F.col("__n") > limit, F.raise_error(F.lit("too many entities for a map, keep the table")).isNull())
-    d = per_entity.join(sizes.filter(ok.otherwise(F.lit(True))), list(by))
+    """Maps entity -> value per run for result archives, about ``limit`` entities in a row.
+
+    A run with more entities gets several rows, numbered by ``part``; none is refused or cut.
+    """
+    sizes = per_entity.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(limit))).alias("__parts"))
+    d = key_join(per_entity, sizes, by).withColumn("part", F.pmod(F.hash(entity), F.col("__parts")).cast("int"))
     pairs = F.array_sort(F.collect_list(F.struct(F.col(entity).cast("string"), F.col(value))))
-    return d.groupBy(*by).agg(F.map_from_entries(pairs).alias(out))
+    return d.groupBy(*by, "part").agg(F.map_from_entries(pairs).alias(out))
 
 
 def regression_scores(df: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:

@@ -207,13 +207,16 @@ def context_boosting(
 
 def retrieval_predict(
     pool: DataFrame, queries: DataFrame, xs: Sequence[str], y: str, id_col: str, strategy: str = "knn",
-    k: int = 50, n_clusters: int = 10, cap: int = 2048, alpha: float = 1.0, seed: int = 0,
+    k: int = 50, n_clusters: int = 10, cap: int | None = None, alpha: float = 1.0, seed: int = 0,
 ) -> DataFrame:
     """Group the queries, build one context per group from the pool, fit one ridge per group.
 
     ``knn``: union of the neighbours of every query of the group; ``cluster``: rows nearest to
-    the group's centre; ``random``: one uniform sample for all.
+    the group's centre; ``random``: one uniform sample for all. The last two need ``cap``, the
+    size of a context; the neighbours are all used unless a cap is given.
     """
+    if cap is None and strategy != "knn":
+        raise ValueError(f"strategy {strategy!r} needs a context size")
     p = pool.withColumns({"id": F.col(id_col), "vec": as_vector(xs)})
     q = queries.withColumns({"id": F.col(id_col), "vec": as_vector(xs)})
     if strategy == "random":
@@ -227,7 +230,8 @@ def retrieval_predict(
         if strategy == "knn":
             got = knn(q.select("id", "vec"), p.select("id", "vec"), k)
             members = got.join(q.select("id", "cluster"), "id").select("cluster", F.col("neighbor").alias("id")).distinct()
-            members = context_sample(members, ["cluster"], ["id"], cap, seed)
+            if cap is not None:
+                members = context_sample(members, ["cluster"], ["id"], cap, seed)
         elif strategy == "cluster":
             centres = [c.tolist() for c in model.clusterCenters()]
             members = nearest_to_centroids(p, centres, cap).select("cluster", F.col("neighbor").alias("id"))

@@ -336,12 +336,11 @@ def apply_gate(
     ``lam`` is a number or a table with the columns of the key and ``lam_star``.
     """
     operator, _ = POSTPROCESSORS[mode]
-    d = operator(df, keys, order, pred, "__proj")
     v = violation_ratio(df, keys, order, pred).select(*keys, "violation")
     if isinstance(lam, DataFrame):
         v = attach(v, lam, [c for c in lam.columns if c in keys])
     else:
         v = v.withColumn("lam_star", F.lit(float(lam)))
-    d = attach(d, v, keys)
-    value = F.when(F.col("violation") <= F.col("lam_star"), F.col("__proj")).otherwise(F.col(pred))
-    return d.withColumn(out, value).drop("__proj", "violation", "lam_star")
+    passing = v.filter(F.col("violation") <= F.col("lam_star")).select(*keys)
+    projected = operator(key_join(df, passing, keys, "left_semi"), keys, order, pred, out)
+    return projected.unionByName(key_join(df, passing, keys, "left_anti").withColumn(out, F.col(pred)))

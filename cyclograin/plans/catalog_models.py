@@ -73,8 +73,7 @@ def _(spark, sf):
     f"""WITH {LI}, r AS (SELECT unit, min(x1) AS lo, max(x1) AS hi FROM li WHERE NOT is_test GROUP BY unit),
     z AS (SELECT li.*, 2 * (x1 - lo) / (hi - lo) - 1 AS z FROM li JOIN r USING (unit)),
     f AS (SELECT *, z - first_value(z) OVER ({LI_W}) AS zf FROM z),
-    tr AS (SELECT f.*, CAST(sd AS INTEGER) AS seed FROM f, (SELECT unnest([0, 1]) AS sd) WHERE NOT is_test
-      QUALIFY row_number() OVER (PARTITION BY unit, sd ORDER BY ('0x' || substr(md5(sd || '|context|' || {LIDH}), 1, 15))::BIGINT, {LIDS}) <= 2048),
+    tr AS (SELECT f.*, CAST(sd AS INTEGER) AS seed FROM f, (SELECT unnest([0, 1]) AS sd) WHERE NOT is_test),
     te AS (SELECT f.*, CAST(sd AS INTEGER) AS seed FROM f, (SELECT unnest([0, 1]) AS sd) WHERE is_test),
     m1 AS (SELECT unit, seed, avg(y) - covar_pop(z, y) * count(*) / (var_pop(z) * count(*) + 1) * avg(z) AS b0, covar_pop(z, y) * count(*) / (var_pop(z) * count(*) + 1) AS ba FROM tr GROUP BY ALL),
     {ridge2("m2", "tr", "unit, seed", "z", "zf", "y", 1.0)}
@@ -84,14 +83,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return evaluate.evaluate_linear(
-        lines(spark, sf), ["unit"], "entity", LI_ORDER, LID, ["x1"], "y", ["raw", "srl"], (0, 1), 2048
+        lines(spark, sf), ["unit"], "entity", LI_ORDER, LID, ["x1"], "y", ["raw", "srl"], (0, 1)
     )
 
 
 @query("l7_evaluate_history")
 def _(spark, sf):
     return evaluate.evaluate_linear(
-        lines(spark, sf), ["unit"], "entity", LI_ORDER, LID, LI_X, "y", ["raw", "srl", "history"], (0, 1, 2), 2048
+        lines(spark, sf), ["unit"], "entity", LI_ORDER, LID, LI_X, "y", ["raw", "srl", "history"], (0, 1, 2)
     )
 
 
@@ -522,8 +521,9 @@ def _(spark, sf):
 
 @query(
     "l24_nearest_distance_ratio",
-    f"""WITH {EM}, n AS (SELECT q.id, min(list_distance(q.vec, p.vec)) AS d FROM em q JOIN em p ON q.id <> p.id GROUP BY q.id), s AS (SELECT * FROM em ORDER BY {_h("distances", "id")}, id LIMIT 1500),
-    pr AS (SELECT list_distance(a.vec, b.vec) AS d FROM s a JOIN s b ON a.id < b.id), st AS (SELECT avg(d) AS mean_distance, quantile_cont(d, 0.01) AS radius FROM pr)
+    f"""WITH {EM}, n AS (SELECT q.id, min(list_distance(q.vec, p.vec)) AS d FROM em q JOIN em p ON q.id <> p.id GROUP BY q.id), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ('0x' || substr(md5(k || '|distances|' || id), 1, 15))::BIGINT, id) AS r, count(*) OVER (PARTITION BY k) AS n
+      FROM em, (SELECT unnest(range(4)) AS k)),
+    pr AS (SELECT list_distance(a.vec, b.vec) AS d FROM s a JOIN s b ON a.k = b.k AND b.r = a.r % a.n + 1 AND a.id <> b.id), st AS (SELECT avg(d) AS mean_distance, quantile_cont(d, 0.01) AS radius FROM pr)
     SELECT (SELECT avg(d) FROM n) AS mean_nearest, mean_distance, radius, (SELECT avg(d) FROM n) / mean_distance AS ratio FROM st""",
     "mean_nearest mean_distance radius ratio",
 )

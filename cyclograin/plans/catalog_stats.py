@@ -267,6 +267,63 @@ def _(spark, sf):
     return d.select("event_id", *[f"p__{m}" for m in modes])
 
 
+# the projection in SQL: min over starts up to i of the max over ends from i of the mean in between
+ISO = f"""{PR}, ia AS (SELECT event_id, unit, entity, y, p, ts, row_number() OVER ({EV_W}) AS t FROM pr),
+    ipm AS (SELECT j.unit, j.entity, j.t AS j, k.t AS k, avg(k.p) OVER (PARTITION BY j.unit, j.entity, j.t ORDER BY k.t) AS m
+      FROM ia j JOIN ia k ON j.unit = k.unit AND j.entity = k.entity AND k.t >= j.t),
+    isx AS (SELECT unit, entity, j, k AS i, max(m) OVER (PARTITION BY unit, entity, j ORDER BY k DESC) AS m FROM ipm),
+    iso AS (SELECT ia.*, f.iso, f.last_fit FROM ia JOIN (
+      SELECT a.unit, a.entity, a.i, a.iso, c.m AS last_fit FROM (SELECT unit, entity, i, min(m) AS iso FROM isx GROUP BY ALL) a
+      JOIN (SELECT unit, entity, k, min(m) AS m FROM ipm GROUP BY ALL) c ON a.unit = c.unit AND a.entity = c.entity AND a.i = c.k) f
+      ON ia.unit = f.unit AND ia.entity = f.entity AND ia.t = f.i)"""
+
+
+@query(
+    "w21_iso_postprocessors",
+    f"""WITH {ISO} SELECT event_id, iso AS p__iso, last_fit AS p__iso_causal FROM iso""",
+    "p__iso p__iso_causal",
+)
+def _(spark, sf):
+    d = monotone.postprocess(predictions(spark, sf), EV_KEYS, EV_ORDER, "p", ["iso", "iso_causal"])
+    return d.select("event_id", "p__iso", "p__iso_causal")
+
+
+@query(
+    "g2_g5_iso_records",
+    f"""WITH {ISO}, r AS (SELECT unit, entity, count(*) AS n, avg(abs(p - iso)) AS corr_mag, sqrt(avg((y - p) * (y - p))) AS rmse_none,
+      sqrt(avg((y - iso) * (y - iso))) AS rmse_iso FROM iso GROUP BY unit, entity)
+    SELECT *, (rmse_iso - rmse_none) / greatest(rmse_none, 1e-12) * 100 AS delta_iso FROM r""",
+    "corr_mag rmse_none rmse_iso delta_iso", 5,
+)
+def _(spark, sf):
+    d = monotone.postprocess(predictions(spark, sf), EV_KEYS, EV_ORDER, "p", ["iso"])
+    return trajectory.entity_records(d, EV_KEYS, EV_ORDER, "y", "p", {"iso": "p__iso"}).select(
+        *EV_KEYS, "n", "corr_mag", "rmse_none", "rmse_iso", "delta_iso"
+    )
+
+
+@query(
+    "l26_iso_gate",
+    f"""WITH {ISO}, a AS (SELECT *, p - lag(p) OVER ({EV_W}) AS d FROM iso), v AS (SELECT unit, entity, {VIOLATION} AS v FROM a GROUP BY ALL)
+    SELECT event_id, CASE WHEN v <= 0.98 THEN iso ELSE p END AS gated FROM a JOIN v USING (unit, entity)""",
+    "gated",
+)
+def _(spark, sf):
+    return monotone.apply_gate(predictions(spark, sf), EV_KEYS, EV_ORDER, "p", 0.98, "iso").select("event_id", "gated")
+
+
+@query(
+    "m2_entity_map",
+    f"""WITH {PR}, e AS (SELECT unit, entity, count(*) AS n FROM pr GROUP BY ALL)
+    SELECT unit, count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_rows FROM e GROUP BY unit""",
+)
+def _(spark, sf):
+    per = predictions(spark, sf).groupBy("unit", "entity").agg(F.count(F.lit(1)).alias("n"))
+    maps = metrics.entity_map(per, ["unit"], "entity", "n", limit=7)
+    total = F.aggregate(F.map_values("per_entity"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return maps.groupBy("unit").agg(F.sum(F.size("per_entity")).alias("n_entities"), F.sum(total).alias("n_rows"))
+
+
 @query(
     "l26_apply_gate",
     f"""WITH {PR}, a AS (SELECT *, p - lag(p) OVER ({EV_W}) AS d, min(p) OVER ({EV_W}) AS c FROM pr),

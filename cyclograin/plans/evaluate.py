@@ -38,10 +38,12 @@ def missing_anchor(
 
 def evaluate_linear(
     df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], ids: Sequence[str], xs: Sequence[str],
-    y: str, views: Sequence[str], seeds: Sequence[int] = (0,), cap: int | None = 2048, alpha: float = 1.0,
+    y: str, views: Sequence[str], seeds: Sequence[int] = (0,), cap: int | None = None, alpha: float = 1.0,
     normalise: str = "source", is_test: str = "is_test",
 ) -> DataFrame:
-    """Normalise, build views, sample contexts, fit and score: all units and seeds in one plan per view.
+    """Normalise, build views, fit and score: all units and seeds in one plan per view.
+
+    ``cap`` makes the fit use a random sample of so many rows per unit and seed; by default it uses all.
 
     One set of moment matrices over the widest set of columns serves every view: a view is
     a sub-matrix. Rows are read once for the sampled contexts and once for the held-out
@@ -63,8 +65,9 @@ def evaluate_linear(
 
     every = [*xs, *[f"{x}__{f}" for f in families for x in xs]]
     seed_rows = F.explode(F.array(*[F.lit(s) for s in seeds]))
-    source = featured(d.filter(~F.col(is_test))).withColumn("seed", seed_rows)
+    source = featured(d.filter(~F.col(is_test)))
     if cap is not None:
+        source = source.withColumn("seed", seed_rows)
         source = sampling.context_sample_by(source, [*unit, "seed"], "seed", ids, cap)
     place = {c: i for i, c in enumerate(every)}
     sets = F.array(
@@ -76,7 +79,11 @@ def evaluate_linear(
             for n in views
         ]
     )
-    m = linear.moments(source, [*unit, "seed"], every, y).withColumn("__v", F.explode(sets))
+    if cap is None:  # without a sample every seed has the same fit, so rows are not copied per seed
+        m = linear.moments(source, unit, every, y).withColumn("seed", seed_rows)
+    else:
+        m = linear.moments(source, [*unit, "seed"], every, y)
+    m = m.withColumn("__v", F.explode(sets))
     models = linear.fit(m.select(*unit, "seed", "m", "__v.view", "__v.keep"), alpha, F.col("keep"))
     held = linear.moments(featured(d.filter(F.col(is_test))), keys, every, y)
     return linear.score(held, models, [*unit, "seed", "view"], unit)

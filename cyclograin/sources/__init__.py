@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cyclograin.functions import finite
 from cyclograin.operators.attach import attach, scratch_path
 from cyclograin.operators.filters import strict_rows, three_sigma_rows
 from cyclograin.operators.ordered import Ordered, ordinal
-from cyclograin.schema import CURVES, FEATURES_16, RUNS, clean_numeric, series_csv_schema
+from cyclograin.schema import CURVE_POINT, CURVES, FEATURES_16, RUNS, clean_numeric, series_csv_schema
 
 __all__ = [
     "append_runs", "dataset_summary", "export_csv", "file_manifest", "label_only", "load_series", "metrics_wide",
@@ -120,7 +121,12 @@ def write_scored_points(df: DataFrame, path: str, partition: Sequence[str] = ("u
 
 
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CURVES).parquet(path)
+    """Curve table with NaN and infinite readings inside the points as NULL."""
+
+    def point(p: Column) -> Column:
+        return F.struct(*[finite(p[f.name]).alias(f.name) for f in CURVE_POINT.fields])
+
+    return spark.read.schema(CURVES).parquet(path).withColumn("pts", F.transform("pts", point))
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -138,3 +138,13 @@ def test_slices_equal_one_pass(spark):
     for c in ("e", "proc_row", "raw_row", "tol", "n_raw"):
         assert want[c].fillna(-1).tolist() == got[c].fillna(-1).tolist(), c
     assert [list(x) for x in want["rungs"]] == [list(x) for x in got["rungs"]]
+
+
+def test_gaps_in_stored_curves_become_null(spark, tmp_path):
+    from cyclograin import sources
+
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1, [(0.0, 4.0, 3.0, 0.0), (1.0, nan, inf, 1.0), (2.0, 4.0, 3.2, 2.0)]), ("b", 1, None)]
+    spark.createDataFrame(rows, sources.CURVES).write.parquet(str(tmp_path / "curves"))
+    got = {r["entity"]: r["pts"] for r in sources.read_curves(spark, str(tmp_path / "curves")).collect()}
+    assert got["b"] is None and [tuple(p) for p in got["a"]][1] == (1.0, None, None, 1.0)
