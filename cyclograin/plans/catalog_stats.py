@@ -714,7 +714,36 @@ def _(spark, sf):
     return inference.rank_sum_stats(events(spark, sf), ["unit"], "is_test", "y").select("unit", "n1", "n2", "u1")
 
 
-@query("t3_mann_whitney")
+# null distributions in SQL: ranks are taken or not, one after another, and states with the same sum are counted together
+SIGNED = """ways(k, s, c) AS (SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL
+      SELECT k + 1, s + t * (k + 1), sum(c) FROM ways, (SELECT unnest([0, 1]) AS t) x WHERE k < 50 GROUP BY k + 1, s + t * (k + 1))"""
+PAIRED = f"""w AS (SELECT a.arm, a.rmse, a.rmse - b.rmse AS d FROM runs a JOIN runs b USING (unit, seed) WHERE b.arm = 'click' AND a.arm <> 'click'),
+    z AS (SELECT arm, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp FROM (SELECT *, {_RK.format(g='arm', c='abs(d)')} AS r FROM w WHERE d <> 0) GROUP BY arm),
+    pv AS (SELECT arm, least(1.0, 2 * sum(c) / power(2, max(n))) AS p FROM z JOIN ways ON k = n AND s <= round(least(wp, n * (n + 1) / 2.0 - wp)) GROUP BY arm)"""
+
+
+@query(
+    "t2_signed_rank_p",
+    f"""WITH RECURSIVE {RUNS}, {SIGNED}, {PAIRED} SELECT arm, p FROM pv""",
+    "p",
+)
+def _(spark, sf):
+    r = runs(spark, sf)
+    base = r.filter("arm = 'click'").select("unit", "seed", F.col("rmse").alias("b"))
+    d = r.filter("arm <> 'click'").join(base, ["unit", "seed"])
+    return inference.paired_wilcoxon(d, ["arm"], "rmse", "b").select("arm", "p")
+
+
+@query(
+    "t3_mann_whitney",
+    f"""WITH RECURSIVE {RUNS}, ways(k, j, s, c) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+      SELECT k + 1, j + t, s + t * (k + 1), sum(c) FROM ways, (SELECT unnest([0, 1]) AS t) x WHERE k < 16 GROUP BY k + 1, j + t, s + t * (k + 1)),
+    a AS (SELECT unit, arm, {_RK.format(g='unit', c='rmse')} AS r FROM runs WHERE arm IN ('click', 'view')),
+    u AS (SELECT unit, count(*) FILTER (arm = 'click') AS n1, count(*) FILTER (arm <> 'click') AS n2, sum(r) FILTER (arm = 'click') - n1 * (n1 + 1) / 2.0 AS u1 FROM a GROUP BY unit)
+    SELECT unit, n1, n2, u1, CAST(0 AS DOUBLE) AS ties, least(1.0, 2 * sum(c) FILTER (s - j * (j + 1) / 2 >= round(greatest(u1, n1 * n2 - u1))) / sum(c)) AS p
+    FROM u JOIN ways ON k = n1 + n2 AND j = n1 GROUP BY unit, n1, n2, u1""",
+    "u1 p",
+)
 def _(spark, sf):
     r = runs(spark, sf).filter(F.col("arm").isin("click", "view")).withColumn("first", F.col("arm") == "click")
     return inference.mann_whitney(r, ["unit"], "first", "rmse")
@@ -855,7 +884,13 @@ def _(spark, sf):
     return both.withColumn("lam", F.greatest(F.least("lam", F.lit(1e9)), F.lit(-1e9)))
 
 
-@query("t11_compare_methods")
+@query(
+    "t11_compare_methods",
+    f"""WITH RECURSIVE {RUNS}, {SIGNED}, {PAIRED}
+    SELECT arm, avg(rmse) AS mean, coalesce(stddev_samp(rmse), 0) AS std, max(p) AS p, avg(d) AS mean_diff,
+      avg(CASE WHEN d > 0 THEN 1.0 ELSE 0 END) AS win_rate, count(*) AS n_pairs FROM w JOIN pv USING (arm) GROUP BY arm""",
+    "mean std p mean_diff win_rate",
+)
 def _(spark, sf):
     return inference.compare_methods(runs(spark, sf), ["unit", "seed"], "arm", "rmse", "click")
 
