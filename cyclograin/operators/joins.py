@@ -15,7 +15,7 @@ from cyclograin.operators.ordered import Ordered, ordinal
 
 def grid(*dims: DataFrame) -> DataFrame:
     """Experiment grid: the product of small dimension tables (never of data tables)."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dims)
+    return reduce(lambda a, b: a.crossJoin(b), dims)
 
 
 def pending(configs: DataFrame, runs: DataFrame, keys: Sequence[str], error: str = "error") -> DataFrame:

@@ -41,7 +41,8 @@ def register_estimator(name: str, task: str, factory: Callable[[int], object]) -
 
 
 def primary_metric(name: str) -> str:
-    return "rmse" if ESTIMATORS[name][0] == "regression" else "accuracy"
+    """The score by which backbones are compared; of both, more is better."""
+    return "r2" if ESTIMATORS[name][0] == "regression" else "accuracy"
 
 
 def fit_predict(
@@ -79,7 +80,8 @@ def out_of_fold(
     df: DataFrame, fold: str, n_folds: int, xs: Sequence[str], y: str, backbone: str, seed: int = 0,
     out: str = "oof", proba: str | None = None,
 ) -> DataFrame:
-    """Every row predicted by the model that did not see its fold."""
+    """Every row predicted by the model that did not see its fold; the folds are computed once."""
+    df = settled(df)
     parts = [
         fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), xs, y, backbone, seed, out, proba)
         for f in range(n_folds)

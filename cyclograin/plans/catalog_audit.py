@@ -8,6 +8,7 @@ from cyclograin import sources
 from cyclograin.functions import hash_key
 from cyclograin.operators import align, curves, filters, joins, normalize, sampling, trajectory
 from cyclograin.operators.ordered import Ordered, ordinal
+from cyclograin.operators.ranks import quantiles
 from cyclograin.plans import bindings
 from cyclograin.plans.bindings import (
     CU, DO, EV, EV_ALL, EV_KEYS, EV_ORDER, EV_W, LI, PR, RUNS,
@@ -426,7 +427,7 @@ def _(spark, sf):
     "ours published delta",
 )
 def _(spark, sf):
-    published = events(spark, sf).groupBy("unit").agg(F.percentile("y", F.lit(0.5)).alias("pub"))
+    published = quantiles(events(spark, sf), ["unit"], {"pub": ("y", 0.5)})
     return joins.against_published(runs(spark, sf), published, ["unit"], "rmse", "pub")
 
 

@@ -540,8 +540,16 @@ def _(spark, sf):
 
 # streams ------------------------------------------------------------------------------------------
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    s = streaming.read_table_stream(spark, sf, "events.parquet", schema)
+    """The events replayed in four arrivals of two files each, one arrival per micro-batch."""
+    e = table(spark, sf, "events")
+    at = F.col("ts").cast("timestamp").cast("double")
+    cuts = e.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
+    path = sources.scratch_path(spark, "arrivals")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = e if low is None else e.filter(at >= low)
+        part = part if high is None else part.filter(at < high)
+        part.repartition(2).write.mode("append").parquet(path)
+    s = streaming.read_table_stream(spark, path, "*.parquet", e.schema, 2)
     return s.select(
         F.col("user_id").alias("entity"), "ts", "event_id", F.col("value").alias("y"), F.col("value").alias("x1"),
         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("g1"),
