@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cyclograin.functions import rmse
-from cyclograin.operators import filters, inference, joins, metrics, monotone, normalize, sampling, trajectory, windows
+from cyclograin.operators import (
+    filters, inference, joins, metrics, monotone, normalize, ordered, sampling, trajectory, windows,
+)
 from cyclograin.plans.bindings import (
     DO, EV, EV_ALL, EV_KEYS, EV_ORDER, EV_W, LI, LI_KEYS, LI_ORDER, LI_W, PR, RUNS,
     doc_features, events, lines, predictions, runs, table,
@@ -278,6 +280,27 @@ ISO = f"""{PR}, ia AS (SELECT event_id, unit, entity, y, p, ts, row_number() OVE
       ON ia.unit = f.unit AND ia.entity = f.entity AND ia.t = f.i)"""
 
 
+_GAPPED = f"""{EV}, k AS (SELECT event_id, ts, y, CASE WHEN entity % 3 <> 0 THEN unit END AS k FROM ev)"""
+_K_W = "PARTITION BY k ORDER BY ts, event_id"
+
+
+@query(
+    "w1_o1_null_keys",
+    f"""WITH {_GAPPED} SELECT event_id, k, CAST(row_number() OVER ({_K_W}) - 1 AS INTEGER) AS t, coalesce(lag(y) OVER ({_K_W}), -1) AS before,
+      min(y) OVER ({_K_W}) AS low, avg(y) OVER ({_K_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5, count(*) OVER (PARTITION BY k) AS n FROM k""",
+    "before low mean5",
+)
+def _(spark, sf):
+    """Rows with a NULL key are a series of their own, also when every series is cut into chunks."""
+    e = events(spark, sf)
+    d = e.select("event_id", "ts", "y", F.when(F.col("entity") % 3 != 0, F.col("unit")).alias("k"))
+    chunked = ordered.Ordered(d, ["k"], ["ts", "event_id"], max_rows=max(50, d.count() // 20)).with_scans(
+        t=ordered.ordinal(), before=ordered.prev("y"), low=ordered.running_min("y"), mean5=ordered.rolling_avg("y", 5),
+        n=ordered.total(F.count(F.lit(1))),
+    )
+    return chunked.select("event_id", "k", "t", F.coalesce("before", F.lit(-1.0)).alias("before"), "low", "mean5", "n")
+
+
 @query(
     "w21_iso_postprocessors",
     f"""WITH {ISO} SELECT event_id, iso AS p__iso, last_fit AS p__iso_causal FROM iso""",
