@@ -132,6 +132,32 @@ def brute(queries, pool, k, same=None):
     return out
 
 
+@pytest.mark.parametrize("exclude", [None, "entity"])
+def test_few_cells_are_visited_in_few_dimensions(spark, monkeypatch, exclude):
+    """Entities are clusters of their own, so with exclusion the own cell holds nothing admissible."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 2)) * 50
+    rows = [(i, [float(x) for x in centre[i % 60] + rng.normal(size=2)], i % 60) for i in range(2400)]
+    d = spark.createDataFrame(rows, "id long, vec array<double>, entity long")
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 40)
+    routed, plain = [], neighbors._block_join
+    cells_of = []
+
+    def counted(q, p, cells, *rest):
+        routed.append(q.count())
+        cells_of.append(len(cells.pivots))
+        return plain(q, p, cells, *rest)
+
+    monkeypatch.setattr(neighbors, "_block_join", counted)
+    got = {}
+    for r in neighbors.knn(d, d, 3, exclude=exclude).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+    sample = rows[::97]
+    want = brute(sample, rows, 3, None if exclude is None else "entity")
+    assert {i: [n for _, n in sorted(got[i])] for i, _, _ in sample} == want
+    assert sum(routed) <= (0.1 if exclude is None else 0.25) * len(rows) * cells_of[0]
+
+
 @pytest.fixture(scope="module")
 def cloud(spark):
     """Clustered points, a third of them exact copies of one vector."""
