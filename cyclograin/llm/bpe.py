@@ -34,7 +34,7 @@ from cyclograin.operators.attach import settled
 
 #: words in the automaton at most
 LEXICON = 50_000
-COUNT_CHUNK = 1 << 23
+COUNT_CHUNK = 1 << 21
 #: words longer than this many bytes are merged one by one with a heap
 LONG = 256
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
