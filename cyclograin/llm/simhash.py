@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cyclograin.llm import textkit
@@ -178,14 +177,17 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, the one with the smallest id; columns unchanged.
 
-    Of rows that share that id, the one with the smallest fingerprint and row hash stays; rows with
-    a null id stay.
+    Of rows that share that id, the one with the smallest row hash stays; rows with a null id stay.
     """
     groups = near_duplicates(docs, id_col, text_col, threshold)
     lost = settled(groups.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_lost")).distinct())
-    kept = docs.join(lost, F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
-    repeated = settled(docs.groupBy(F.col(id_col).alias("_id")).count().filter("count > 1 and _id is not null").select("_id"))
-    single = kept.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
-    again = kept.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
-    first = W.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return single.unionByName(again.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    kept = rows.join(lost, F.col("_id") == F.col("_lost"), "left_anti")
+    ids = docs.select(F.col(id_col).cast("long").alias("_twice")).filter("_twice is not null")
+    repeated = settled(ids.groupBy("_twice").count().filter("count > 1").select("_twice"))
+    if repeated.isEmpty():  # the usual case needs no second reading of the documents
+        return kept.select("_row.*")
+    single = kept.join(repeated, F.col("_id") == F.col("_twice"), "left_anti")
+    again = kept.join(repeated, F.col("_id") == F.col("_twice"), "left_semi")
+    first = again.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return single.select("_row.*").unionByName(first.select("_row.*"))
