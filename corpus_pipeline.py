@@ -20,9 +20,11 @@ LEAST_SCORE = 0.1
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no known language: without letters, or far from every learned profile."""
-    found = langid.predict(docs, langid.learn(docs), "text", [f"`{c}`" for c in docs.columns if c != "text"] + ["text"])
+    # the row travels as one value, so no column of the documents can clash with the prediction's
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text").alias("read"))
+    found = langid.predict(packed, langid.learn(docs), "read", ["row"])
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
