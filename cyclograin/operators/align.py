@@ -246,6 +246,7 @@ def verdict(
     row_ok = F.col("matched_ratio") >= GOOD_RATIO
     no_raw = F.coalesce(F.col("raw_rows"), F.lit(0)) == 0
     s = s.withColumn("tol_used", F.when(~no_raw, F.col("tol_used")))
+    # The identity and status texts.
     identity = F.when(strict_ok & ratio_ok, "pass").when(strict_ok, "fail").otherwise("unverifiable")
     status = (
         F.when(no_raw, "fail_mapping")

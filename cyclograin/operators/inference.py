@@ -262,6 +262,7 @@ def select_config(estimates: DataFrame, by: Sequence[str], config: str, est: str
     tie = F.col("gap") < F.col("pooled_se")
     return d.select(
         *by, F.when(tie, F.lit(default)).otherwise(F.col("best")).alias("selected"),
+        # The two reasons.
         F.when(tie, "tie->default").otherwise("clear-min").alias("reason"), "gap", "pooled_se",
     )
 

@@ -114,6 +114,7 @@ def availability_audit(
     unmapped = F.when(gap > 0, F.concat(F.lit("unmapped_rows="), gap.cast("string")))
     early = F.when(F.col("raw_min") <= window, F.concat(F.lit("min_raw_cycle="), F.col("raw_min").cast("string")))
     bad = F.filter(F.array(unmapped, early), lambda v: v.isNotNull())
+    # The status and violation texts.
     status = (
         F.when(F.coalesce("__ex", F.lit(False)), "excluded_identity")
         .when(F.col("__map").isNull(), "no_raw_curve_data")

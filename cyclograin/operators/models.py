@@ -147,6 +147,7 @@ def stack_classification(
     return got.withColumn("pred", argmax(F.col("proba")))
 
 
+# The defaults of rounds, shares and sizes below.
 def context_boosting(
     train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], backbone: str = "rf",
     strategy: str = "prune", n_rounds: int = 3, prune_ratio: float = 0.1, relabel_conf: float = 0.85,

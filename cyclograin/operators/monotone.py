@@ -297,7 +297,7 @@ def smooth_isotonic(df, keys, order, y: str, out: str, max_rows: int | None = No
     return isotonic(d, keys, order, "__smooth", out, max_rows).drop("__smooth")
 
 
-# mode name -> (operator, reads only the past)
+# The mode names. Mode name -> (operator, reads only the past).
 POSTPROCESSORS = {
     "none": (lambda df, keys, order, y, out: df.withColumn(out, F.col(y)), True),
     "iso": (isotonic, False),

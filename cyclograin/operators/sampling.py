@@ -100,6 +100,7 @@ def coverage_sample(
     seed: int = 0, y: str = "y", stage: str = "stage", n_bins: int = 10,
 ) -> DataFrame:
     """Context selection covering labels, stages, entities or labels within entities."""
+    # The mode names.
     if mode == "random":
         return context_sample(df, unit, ids, cap, seed)
     if mode == "soh_strat":
