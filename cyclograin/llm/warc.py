@@ -1,10 +1,11 @@
 """WARC archives through a chunked record table.
 
-Writing: every task streams its records into gzip members of its own archive file, payloads in
-slices. Reading: archives are streamed into rows (record, chunk number, bytes), each with the
-length and digest of the payload so far; no record is ever held whole, and the row of the last
-chunk carries the payload's length and digest. Records with equal payloads are stored once: the one
-with the largest id is a response, the others are revisit records that refer to it.
+A record is rows of the table: record id, chunk number, bytes. Writing: pages are cut into chunk rows
+inside the JVM, and every task streams these rows into gzip members of its own archive file, one chunk
+at a time. Reading: archives are streamed into such rows again, each with the length and digest
+of the payload so far; no record is ever held whole in Python, and the row of the last chunk carries
+the payload's length and digest. Records with equal payloads are stored once: the one with the
+largest id is a response, the others are revisit records that refer to it.
 
 Files are opened through ``pyarrow.fs``, so the archive folder may be any place that it reaches
 (local paths, ``file:``, ``hdfs:``, object stores). A file's name holds the task's attempt; the
@@ -75,29 +76,39 @@ class _Archive:
         self._member([_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")])])
 
     def _member(self, parts) -> None:
-        squeeze = zlib.compressobj(5, zlib.DEFLATED, 31)
-        for part in [*parts, b"\r\n\r\n"]:
-            view = memoryview(part)
-            for at in range(0, len(view), CHUNK):
-                self.out.write(squeeze.compress(view[at : at + CHUNK]))
-        self.out.write(squeeze.flush())
-
-    def add(self, ident, uri: str | None, payload: bytes, refers_to) -> None:
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        body = [http, payload] if refers_to is None else [http]
+        self.begin()
+        for part in parts:
+            self.put(part)
+        self.end()
+
+    def begin(self) -> None:
+        self.squeeze = zlib.compressobj(5, zlib.DEFLATED, 31)
+
+    def put(self, part: bytes) -> None:
+        self.out.write(self.squeeze.compress(part))
+
+    def end(self) -> None:
+        self.put(b"\r\n\r\n")
+        self.out.write(self.squeeze.flush())
+
+    def head(self, ident, uri: str | None, size: int, digest: bytes, refers_to) -> None:
+        """Open a record: its headers and those of the HTTP response, which a revisit keeps."""
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
         lines = [
             ("WARC-Type", "response" if refers_to is None else "revisit"),
             ("WARC-Record-ID", f"<{_NAME}{'' if ident is None else ident}>"),
             ("WARC-Date", DATE),
-            ("WARC-Payload-Digest", "sha1:" + base32(hashlib.sha1(payload).digest())),
+            ("WARC-Payload-Digest", "sha1:" + base32(digest)),
             ("Content-Type", "application/http; msgtype=response"),
-            ("Content-Length", str(sum(map(len, body)))),
+            ("Content-Length", str(len(http) + (size if refers_to is None else 0))),
         ]
         if uri is not None:
             lines.append(("WARC-Target-URI", _one_line(uri)))
         if refers_to is not None:
             lines += [("WARC-Refers-To", f"<{_NAME}{refers_to}>"), ("WARC-Profile", PROFILE)]
-        self._member([_header(lines), *body])
+        self.begin()
+        self.put(_header(lines))
+        self.put(http)
         self.records += 1
 
     def close(self) -> tuple[str, int]:
@@ -105,36 +116,58 @@ class _Archive:
         return self.uri, self.records
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Write the archives; the manifest ``path, records`` of the files. Ids are whole numbers.
+def to_chunks(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, least: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table of pages; a record's rows follow one another in order.
 
-    Payloads of at least ``least`` bytes that occur more than once are stored once.
+    Columns ``id, uri, refers_to, payload_bytes, digest`` are those of the record, ``data`` is empty for
+    revisits. Payloads of at least ``least`` bytes that occur more than once are stored once.
     """
     again = settled(roles(pages, id_col, payload_col, least))
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).alias("p")
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
     same = F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.digest") == F.col("a.digest"))
-    rows = rows.join(again.alias("a"), same, "left").select("p.id", "p.uri", "a.refers_to", "p.payload")
+    rows = rows.alias("p").join(again.alias("a"), same, "left").select("p.*", "a.refers_to")
+    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length("body") / F.lit(chunk)).cast("int") - 1)
+    rows = rows.withColumn("body", body).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    part = F.substring(F.col("body"), F.col("chunk_no") * chunk + 1, F.lit(chunk))
+    return rows.select("id", "uri", "refers_to", "payload_bytes", "digest", "chunk_no", (F.col("chunk_no") == last).alias("last"), part.alias("data"))
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> DataFrame:
+    """Write archives from chunk rows in the order in which each partition has them.
+
+    Returns the settled manifest ``path, records``. Ids are whole numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number, archive, size = 0, None, 0
         done: list[tuple[str, int]] = []
-        for piece, payloads in textkit.chunks(batches, "payload"):
-            for ident, uri, refers, data in zip(*(c.to_pylist() for c in piece.columns[:3]), payloads, strict=True):
+        for piece, parts in textkit.chunks(batches, "data"):
+            for (ident, uri, refers, n, digest, at, last), data in zip(zip(*(c.to_pylist() for c in piece.columns[:7]), strict=True), parts, strict=True):
                 if archive is None:
                     archive = _Archive(folder, f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz")
-                archive.add(ident, uri, data, refers)
+                if at == 0:
+                    archive.head(ident, uri, n, digest, refers)
+                archive.put(data)
                 size += len(data)
-                if size >= FILE_BYTES:
-                    done.append(archive.close())
-                    number, archive, size = number + 1, None, 0
+                if last:
+                    archive.end()
+                    if size >= FILE_BYTES:
+                        done.append(archive.close())
+                        number, archive, size = number + 1, None, 0
         if archive is not None:
             done.append(archive.close())
         yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in done], pa.string()), "records": pa.array([d[1] for d in done], pa.int64())})
 
-    return settled(rows.mapInArrow(run, "path string, records long"))
+    return settled(chunks.select("id", "uri", "refers_to", "payload_bytes", "digest", "chunk_no", "last", "data").mapInArrow(run, "path string, records long"))
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Write the archives of pages; the manifest of the files."""
+    return write_chunks(to_chunks(pages, id_col, uri_col, payload_col, least, chunk), folder)
 
 
 _CHUNKS = (

@@ -19,7 +19,9 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ b", "same"), (2, None, "same"), (7, "http://c", "same"), (3, "u", None), (4, "u", ""), (5, "x\ny", big), (6, "u", "WARC/1.1\r\n\r\n")]
     rows += [(None, "n", "same"), (9, "r", "twice"), (9, "r", "twice"), (10, "r", "twice")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
-    files = warc.write(pages, str(tmp_path / "warc"))
+    files = warc.write(pages, str(tmp_path / "warc"), chunk=100_000)
+    cut = warc.to_chunks(pages, "page_id", "url", "html", chunk=100_000).filter("id = 5")
+    assert cut.count() == 20 and cut.selectExpr("max(octet_length(data)) AS n").first()["n"] == 100_000
     chunks = warc.read(spark, files, 1 << 16)
     got = sorted((tuple(r) for r in warc.summary(chunks).drop("uri").collect()), key=str)
     largest = {"same": 7, "": 4, "twice": 10}
