@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,10 +133,32 @@ def read_curves(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file below a path, hashed where the files are read."""
+    """Size and SHA-256 of every file below a path.
+
+    Spark lists the files; tasks stream their bytes in blocks, so a file may have any size. Folders
+    must be reachable by ``pyarrow.fs`` (local paths, HDFS, object stores).
+    """
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return d.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [_sha256(p) for p in batch.column(0).to_pylist()]
+            names = [p.rsplit("/", 1)[-1] for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), batch.column(1), pa.array(digests, pa.string())], names=["file", "bytes", "sha256"]
+            )
+
+    return d.select("path", "length").mapInArrow(run, "file string, bytes long, sha256 string")
+
+
+def _sha256(uri: str, block: int = 1 << 20) -> str:
+    # Spark writes local paths with a single slash
+    fs, path = pafs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    digest = hashlib.sha256()
+    with fs.open_input_stream(path, compression=None) as stream:
+        while part := stream.read(block):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def dataset_summary(df: DataFrame, unit: str, entity: str, y: str, is_test: str = "is_test") -> DataFrame:

@@ -92,9 +92,15 @@ def smoothing_step(y: str, width: int = 5) -> tuple[Step, list[str]]:
 
 def stream_scan(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str], step: Step, outputs: Sequence[str],
-    watermark: str | None = None,
+    watermark: str | None = None, idle_ms: int | None = None,
 ) -> DataFrame:
-    """Apply a row step along each entity of a stream: one output row per input row."""
+    """Apply a row step along each entity of a stream: one output row per input row.
+
+    With a ``watermark`` and ``idle_ms`` the state of an entity leaves once the watermark is that far
+    beyond its last row; a row that comes later still begins a new series.
+    """
+    if idle_ms is not None and watermark is None:
+        raise ValueError("state can only expire by a watermark")
     keys = list(keys)
     src = df.select(*keys, F.col(ts).cast("timestamp").alias(ts), tie, *[F.col(c).cast("double").alias(c) for c in cols])
     if watermark:
@@ -115,6 +121,9 @@ def stream_scan(
     columns = [f.name for f in schema.fields]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, tie], kind="stable")
         last, memory = (-(1 << 62), -(1 << 62)), {}
         if state.exists:
@@ -129,11 +138,14 @@ def stream_scan(
                 last = at
             made.append({**dict(zip(keys, key, strict=True)), ts: row[ts], tie: row[tie], "late": late, **values})
         state.update((last[0], last[1], json.dumps(memory)))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(last[0] // 1_000_000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(made, columns=columns)
         yield out.astype({o: "float64" for o in outputs})
 
     return src.groupBy(*keys).applyInPandasWithState(
-        run, schema, state_schema, "append", GroupStateTimeout.NoTimeout
+        run, schema, state_schema, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -115,6 +115,21 @@ def test_stream_smoothing_equals_batch(spark, replay, tmp_path):
     assert streaming.differences(batch, on_time, ["event_id"], ["y__cummin", "y__causal_sm", "y__iso_causal"]).count() == 0
 
 
+def test_idle_state_leaves_by_the_watermark(spark, tmp_path):
+    batches = [[(1, "2024-01-01", 1, 5.0)], [(2, "2024-03-01", 2, 1.0)], [(2, "2024-03-02", 3, 2.0)], [(2, "2024-03-03", 5, 2.0)], [(1, "2024-03-04", 4, 7.0)]]
+    for rows in batches:
+        d = spark.createDataFrame(rows, "entity long, s string, event_id long, x1 double")
+        d.select("entity", F.to_timestamp("s").alias("ts"), "event_id", "x1").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.createDataFrame([], "entity long, ts timestamp, event_id long, x1 double").schema
+    s = streaming.read_table_stream(spark, str(tmp_path / "in"), "*.parquet", schema)
+    step, out = streaming.history_step(["x1"])
+    d = streaming.stream_scan(s, ["entity"], "ts", "event_id", ["x1"], step, out, "1 day", 86_400_000)
+    got = {r["event_id"]: r for r in streaming.run_to_table(d, str(tmp_path / "rows"), str(tmp_path / "ck")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and not any(r["late"] for r in got.values())
+    # entity 2 stays in memory, entity 1 was forgotten and begins anew
+    assert got[3]["x1__from_first"] == 1.0 and got[4]["x1__from_first"] == 0.0
+
+
 def test_late_rows_are_flagged(spark, tmp_path):
     schema = "entity long, ts timestamp, event_id long, x1 double"
     for i, rows in enumerate(([(1, "2024-01-02", 1, 5.0)], [(1, "2024-01-01", 2, 9.0), (1, "2024-01-03", 3, 7.0)])):
