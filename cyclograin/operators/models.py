@@ -49,8 +49,15 @@ def fit_predict(
     train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, backbone: str, seed: int = 0,
     out: str = "pred", proba: str | None = None,
 ) -> DataFrame:
-    """Train on one table, add predictions (and class probabilities) to another."""
+    """Train on one table, add predictions (and class probabilities) to another.
+
+    Boosting has a two-class estimator only; more classes are fitted one against the rest.
+    """
     task, factory = ESTIMATORS[backbone]
+    if isinstance(factory(seed), GBTClassifier):
+        found = train.select(F.col(y).cast("double").alias("__c")).distinct().orderBy("__c").collect()
+        if len(found) > 2:
+            return _one_against_rest(train, test, xs, y, factory, [r["__c"] for r in found], seed, out, proba)
     assembler = VectorAssembler(inputCols=list(xs), outputCol="__features")
     estimator = factory(seed).setFeaturesCol("__features").setLabelCol("__label").setPredictionCol(out)
     label = F.col(y).cast("double").alias("__label")
@@ -62,6 +69,25 @@ def fit_predict(
     return got.drop(*drop)
 
 
+def _one_against_rest(train, test, xs, y: str, factory, classes: list[float], seed: int, out: str, proba: str | None) -> DataFrame:
+    """One boosted model per class (classes are few); the largest probability wins, the smaller class on ties."""
+    assembler = VectorAssembler(inputCols=list(xs), outputCol="__features")
+    source = settled(assembler.transform(train.select(*xs, F.col(y).cast("double").alias("__y"))).select("__features", "__y"))
+    got = assembler.transform(test)
+    for i, c in enumerate(classes):
+        estimator = factory(seed).setFeaturesCol("__features").setLabelCol("__label").setPredictionCol(f"__cls{i}")
+        estimator = estimator.setProbabilityCol(f"__prob{i}").setRawPredictionCol(f"__raw{i}")
+        got = estimator.fit(source.withColumn("__label", (F.col("__y") == c).cast("double"))).transform(got)
+    names = [f"__{kind}{i}" for kind in ("cls", "prob", "raw") for i in range(len(classes))]
+    got = got.withColumn("__s", F.array(*[vector_to_array(f"__prob{i}")[1] for i in range(len(classes))]))
+    best = F.array_position("__s", F.array_max("__s")).cast("int")
+    got = got.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in classes]), best))
+    if proba:
+        total = F.aggregate("__s", F.lit(0.0), lambda a, b: a + b)
+        got = got.withColumn(proba, F.transform("__s", lambda s: s / total))
+    return got.drop("__features", "__s", *names)
+
+
 def per_unit(
     df: DataFrame, unit: str, run: Callable[[DataFrame], DataFrame], is_test: str = "is_test"
 ) -> DataFrame:

@@ -124,6 +124,18 @@ def test_anchored_scores_equal_refit_on_rows(spark, sf):
         assert got == pytest.approx(want, rel=1e-6)
 
 
+def test_boosting_with_three_classes(spark):
+    from cyclograin.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(i % 3 + 0.2 * rng.normal()), float(rng.normal()), i % 3) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    got = models.fit_predict(d.filter("id < 200"), d.filter("id >= 200"), ["a", "b"], "y", "gbdt", proba="p").toPandas()
+    assert list(got.columns) == ["id", "a", "b", "y", "pred", "p"]
+    assert (got["pred"] == got["y"]).mean() > 0.9
+    np.testing.assert_allclose([sum(p) for p in got["p"]], 1.0)
+
+
 def brute(queries, pool, k, same=None):
     out = {}
     for qi, (qid, qv, qx) in enumerate(queries):
