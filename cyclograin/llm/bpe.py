@@ -44,27 +44,23 @@ _NONE = np.int64(1 << 40)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-_CLASSES: list[np.ndarray] = []
-
-
 def classes() -> np.ndarray:
-    if not _CLASSES:
-        table = np.full(0x110002, OTHER, dtype=np.uint8)
-        for c in range(0x110000):
-            kind = unicodedata.category(chr(c))[0]
-            if kind == "L":
-                table[c] = LETTER
-            elif kind == "N":
-                table[c] = NUMBER
-        table[WHITE] = SPACE
-        table[[BREAK, SPECIAL]] = EDGE
-        _CLASSES.append(table)
-    return _CLASSES[0]
-
-
-def token_starts(codes: np.ndarray) -> np.ndarray:
+    """The class of every code point and of the two marks; made once, on the driver."""
+    table = np.full(0x110002, OTHER, dtype=np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
+            table[c] = LETTER
+        elif kind == "N":
+            table[c] = NUMBER
+    table[WHITE] = SPACE
+    table[[BREAK, SPECIAL]] = EDGE
+    return table
+
+
+def token_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Positions where pre-tokens begin in an array of code points (with breaks between texts)."""
-    kind = classes()[codes]
+    kind = kinds[codes]
     n = len(codes)
     start = np.ones(n, dtype=bool)
     start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == EDGE)
@@ -93,7 +89,7 @@ def token_starts(codes: np.ndarray) -> np.ndarray:
 class Pretokens:
     """Distinct pre-tokens of a chunk of texts, and every text as a run of their numbers."""
 
-    def __init__(self, texts: list[bytes | None], special: bytes):
+    def __init__(self, texts: list[bytes | None], special: bytes, kinds: np.ndarray):
         parts, ends, n = [], [], 0
         for raw in texts:
             text = raw or b""
@@ -109,16 +105,20 @@ class Pretokens:
             ends.append(n)
         codes = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         del parts
-        at = token_starts(codes)
-        width = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).astype(np.int64)
+        at = token_starts(codes, kinds)
         edge = codes >= BREAK
+        width = np.ones(len(codes), dtype=np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += codes >= least
         width[edge] = 1
-        place = np.concatenate(([0], np.cumsum(width)))
-        shown = np.where(edge, 0, codes).astype("<u4")
-        self.buf = np.frombuffer(shown.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), dtype=np.uint8)
         first = codes[at]
-        starts = place[at]
-        stops = np.append(starts[1:], place[-1])
+        starts = np.cumsum(np.add.reduceat(width, at, dtype=np.int64)) if len(at) else np.empty(0, np.int64)
+        stops, starts = starts, np.concatenate(([0], starts[:-1])) if len(at) else starts
+        del width
+        codes = codes.copy()
+        codes[edge] = 0
+        self.buf = np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+        del codes, edge
         hashes = textkit.word_hashes(self.buf, starts, stops)
         # the marks hash like a zero byte and get numbers of their own
         hashes[first == SPECIAL] = 1
@@ -157,15 +157,14 @@ class Vocabulary:
         self.of_byte = np.zeros(256, dtype=np.int64)
         for ch, b in byte_of.items():
             self.of_byte[b] = vocab[ch]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
-        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
-        self.rank = np.array([self.pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
-        self.merged = np.array([self.pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
-        self.merged_of_rank = np.zeros(len(self.keys) + 1, dtype=np.int64)
-        self.merged_of_rank[self.rank] = self.merged
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], dtype=np.int64)
+        #: pairs of ids in ascending order with the rank of their merge, and what each merge makes
+        self.rank = np.argsort(keys, kind="stable")
+        self.keys = keys[self.rank]
+        self.merged_of_rank = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        self.decimal = [str(i) for i in range(size)]
+        self.kinds = classes()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -177,21 +176,28 @@ class Vocabulary:
         tok = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
         n = len(tok)
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(p[0], i, tok[i], tok[i + 1]) for i in range(n - 1) if (p := self.pairs.get(tok[i] << 20 | tok[i + 1]))]
+
+        def rank(a: int, b: int) -> int:
+            key = a << 20 | b
+            k = int(np.searchsorted(self.keys, key))
+            return int(self.rank[k]) if k < len(self.keys) and self.keys[k] == key else -1
+
+        first = self.ranks(np.array(tok[:-1], dtype=np.int64), np.array(tok[1:], dtype=np.int64)).tolist()
+        heap = [(r, i, tok[i], tok[i + 1]) for i, r in enumerate(first) if r < _NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or tok[i] != a or j >= n or tok[j] != b:
                 continue
-            tok[i] = self.pairs[a << 20 | b][1]
+            tok[i] = int(self.merged_of_rank[r])
             alive[j] = False
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] < n and (p := self.pairs.get(tok[x] << 20 | tok[after[x]])):
-                    heapq.heappush(heap, (p[0], x, tok[x], tok[after[x]]))
+                if x >= 0 and after[x] < n and (r := rank(tok[x], tok[after[x]])) >= 0:
+                    heapq.heappush(heap, (r, x, tok[x], tok[after[x]]))
         return [t for t, live in zip(tok, alive, strict=True) if live]
 
     def merge(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +396,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        pre = Pretokens(texts, self.special)
+        pre = Pretokens(texts, self.special, self.vocabulary.kinds)
         n = len(pre.starts)
         counts, ids_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
         plain = ~(pre.is_break | pre.is_special)
@@ -419,10 +425,11 @@ class Encoder:
 
 def word_counts(docs: DataFrame, text_col: str, special: bytes) -> DataFrame:
     """``word, n`` for every distinct pre-token of all texts."""
+    kinds = docs.sparkSession.sparkContext.broadcast(classes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in textkit.chunks(batches, "text", COUNT_CHUNK):
-            pre = Pretokens(texts, special)
+            pre = Pretokens(texts, special, kinds.value)
             n = np.bincount(pre.inverse, minlength=len(pre.starts))
             keep = np.flatnonzero(~(pre.is_break | pre.is_special))
             words = [pre.word(i) for i in keep.tolist()]
@@ -450,33 +457,22 @@ def frequent_words(docs: DataFrame, text_col: str, special: bytes = b"", size: i
     return [bytes(r["word"]) for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
-
-
 class Codec:
-    """A vocabulary and a compiled lexicon at hand in every worker."""
+    """A vocabulary (broadcast: its size is fixed) and a compiled lexicon at hand in every worker."""
 
     def __init__(self, docs: DataFrame, text_col: str, vocabulary_path: str, size: int = LEXICON):
         vocabulary = Vocabulary(vocabulary_path)
         special = next(iter(vocabulary.special), b"")
         words = frequent_words(docs, text_col, special, size)
-        tag = uuid.uuid4().hex
-        folder = tempfile.mkdtemp(prefix="lexicon-")
-        self.vocabulary_name, self.lexicon_name = f"vocabulary-{tag}.json", f"lexicon-{tag}.bin"
-        compile_lexicon(words, vocabulary, f"{folder}/{self.lexicon_name}")
-        with open(vocabulary_path, "rb") as src, open(f"{folder}/{self.vocabulary_name}", "wb") as dst:
-            dst.write(src.read())
+        self.lexicon_name = f"lexicon-{uuid.uuid4().hex}.bin"
+        path = f"{tempfile.mkdtemp(prefix='lexicon-')}/{self.lexicon_name}"
+        compile_lexicon(words, vocabulary, path)
         context = docs.sparkSession.sparkContext
-        for name in (self.vocabulary_name, self.lexicon_name):
-            context.addFile(f"{folder}/{name}")
+        context.addFile(path)
+        self.vocabulary = context.broadcast(vocabulary)
 
     def encoder(self) -> Encoder:
-        """The worker's encoder, loaded once."""
-        key = (self.vocabulary_name, self.lexicon_name)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Encoder(Vocabulary(SparkFiles.get(key[0])), Lexicon(SparkFiles.get(key[1])))
-        return _LOADED[key]
+        return Encoder(self.vocabulary.value, Lexicon(SparkFiles.get(self.lexicon_name)))
 
 
 def encode(docs: DataFrame, codec: Codec, text_col: str, carry: list[str]) -> DataFrame:
@@ -496,7 +492,7 @@ def decode(tokens: DataFrame, codec: Codec, ids_col: str, carry: list[str]) -> D
     """``carry`` with ``decoded``: the text of each row's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = codec.encoder().vocabulary
+        token = codec.vocabulary.value
         for batch in batches:
             out = [token.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
@@ -510,7 +506,7 @@ def round_trip(docs: DataFrame, codec: Codec, text_col: str, carry: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec.encoder()
-        decimal = [str(i) for i in range(len(encoder.vocabulary.token))]
+        decimal = encoder.vocabulary.decimal
         for piece, texts in textkit.chunks(batches, "_text"):
             n, ids_sha, text_sha = [], [], []
             for ids in encoder.encode(texts):

@@ -29,13 +29,11 @@ PROFILE = 400
 RANKED = 300
 UNKNOWN = "und"
 PIECE = 1 << 19
-_LETTERS: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
-    return _LETTERS[0]
+def letters() -> np.ndarray:
+    """Whether each code point is a letter; made once, on the driver."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -47,12 +45,12 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return np.concatenate((c[~space], two[~(space[:-1] & space[1:])], three[~space[1:-1]]))
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def gram_counts(text: str, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys in ascending order and their counts."""
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for at in range(0, len(text), PIECE):
         codes = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        letter = _letters()[np.minimum(codes, 0x10FFFF)]
+        letter = is_letter[codes]
         padded = np.full(len(codes) + 2, 32, dtype=np.uint32)
         padded[1:-1] = np.where(letter, codes, 32)
         inner = padded != 32
@@ -72,6 +70,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 
     That is all the driver ever holds. Equal counts are ranked by key.
     """
+    is_letter = docs.sparkSession.sparkContext.broadcast(letters())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in textkit.chunks(batches, "text"):
@@ -79,7 +78,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
             for lang, text in zip(piece.column(0).to_pylist(), texts, strict=True):
                 of.setdefault(lang, []).append(textkit.decoded(text))
             for lang, parts in of.items():
-                keys, counts = gram_counts("\n".join(parts))
+                keys, counts = gram_counts("\n".join(parts), is_letter.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"]
                 )
@@ -98,7 +97,7 @@ class Profiles:
     """Profiles as one sorted key array and a matrix of ranks."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int = PROFILE):
-        self.size = size
+        self.size, self.is_letter = size, letters()
         self.langs = sorted({r[0] for r in rows})
         column = {lang: i for i, lang in enumerate(self.langs)}
         self.keys = np.unique(np.array([r[1] for r in rows], dtype=np.int64))
@@ -107,7 +106,7 @@ class Profiles:
             self.ranks[np.searchsorted(self.keys, key), column[lang]] = rank
 
     def judge(self, text: str) -> tuple[str, float]:
-        keys, counts = gram_counts(text)
+        keys, counts = gram_counts(text, self.is_letter)
         if len(keys) == 0 or not self.langs:
             return UNKNOWN, 0.0
         top = np.argsort(-counts, kind="stable")[:RANKED]

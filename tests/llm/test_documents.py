@@ -107,7 +107,7 @@ def test_language_matches_brute_force(spark, sf):
 
 def test_language_pieces_and_held_out_accuracy(spark, monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 1000)
-    keys, counts = langid.gram_counts("abc déf " * 500)
+    keys, counts = langid.gram_counts("abc déf " * 500, langid.letters())
     assert len(keys) and counts.sum() > 500
     sf = "/root/testdata/sf0.01"
     got = queries.op3_language_id(spark, sf).join(queries.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
