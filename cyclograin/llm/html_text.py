@@ -66,16 +66,23 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: a name after one of these says what the page has, not what the element is
-_ABOUT = {"has", "with", "no", "without", "is", "open", "closed"}
+#: what follows one of these in a name says what the page has, not what the element is
+_ABOUT = {"has", "with", "no", "without", "is"}
+_STATES = {"open", "closed", "enabled", "disabled"}
+#: an element named like furniture that holds this share of a page's text is its frame
+FRAME = 0.8
 
 
 def _names(value: str) -> set[str]:
     out: set[str] = set()
     for name in value.split():
         parts = [p.lower() for p in _PARTS.findall(name)]
-        if parts and parts[0] not in _ABOUT and parts[-1] not in _ABOUT:
-            out.update(parts)
+        if parts and parts[-1] in _STATES:
+            continue
+        for part in parts:
+            if part in _ABOUT:
+                break
+            out.add(part)
     return out
 
 
@@ -173,7 +180,7 @@ def _values(attrs: str) -> dict[str, str]:
 def _cut(page: Page) -> list[bool]:
     """Whether each node is left out, itself or with an ancestor."""
     n = len(page.tag)
-    flagged, comment, names_of = [False] * n, [False] * n, [set()] * n
+    flagged, comment, names_of, by_name = [False] * n, [False] * n, [set()] * n, [False] * n
     for i in range(1, n):
         attrs = page.attrs[i]
         noisy = page.tag[i] in FURNITURE
@@ -182,9 +189,10 @@ def _cut(page: Page) -> list[bool]:
             names = _names(values.get("class", "") + " " + values.get("id", ""))
             names_of[i] = names
             comment[i] = bool(names & COMMENTS)
-            noisy = noisy or comment[i] or bool(names & NAMES) or values.get("role", "").lower() in ROLES
+            by_name[i] = bool(names & NAMES) and not noisy and not comment[i]
+            noisy = noisy or comment[i] or by_name[i] or values.get("role", "").lower() in ROLES
             if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or ("style" in values and _HIDDEN.search(values["style"])):
-                noisy = True
+                noisy, by_name[i] = True, False
         flagged[i] = noisy
     # pages name their outer elements after what these hold; what holds an article is not furniture
     holds = [False] * n
@@ -196,6 +204,17 @@ def _cut(page: Page) -> list[bool]:
             holds[page.parent[i]] = True
         if page.tag[i] in ("html", "body"):
             flagged[i] = False
+    if any(by_name) and not holds[0]:
+        size = [0] * n
+        for node, text in page.events:
+            size[node] += len(text or "")
+        for i in range(n - 1, 0, -1):
+            if flagged[i] and not by_name[i]:
+                size[i] = 0
+            size[page.parent[i]] += size[i]
+        for i in range(1, n):
+            if by_name[i] and size[i] >= FRAME * size[0]:
+                flagged[i] = False
     inside = [False] * n
     out = [False] * n
     for i in range(1, n):

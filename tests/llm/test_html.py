@@ -57,6 +57,15 @@ def test_articles_between_furniture():
         assert html_text.main_text(page) == "\n".join(blocks), page
 
 
+def test_frames_named_after_what_they_hold():
+    rng = random.Random(6)
+    blocks = [sentence(rng, 40) for _ in range(4)]
+    body = "<div class='text'>" + "".join(f"<p>{b}</p>" for b in blocks) + "</div>"
+    side = '<div class="sidebar"><p>%s</p></div>' % sentence(rng, 9)
+    for frame in ("page with-sidebar", "layout-with-sidebar", "no-ads", "sidebar-open", "header-wrap"):
+        assert html_text.main_text(f'<body class="x"><div class="{frame}">{body}{side}</div></body>') == "\n".join(blocks), frame
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "only &lt;text&gt; &amp; more&nbsp;here"), (4, "<p>a<p>b"), (5, "<div>" * 50000 + "deep"), (6, "<p"), (7, "<a href='x>y</a>"), (8, "<ul><li>" * 3)]
     docs = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, html string, text string")
