@@ -57,6 +57,8 @@ NAMES = {
 }
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: elements of running text: names never cut them
+PROSE = HEADINGS | {"p"}
 CONTAINERS = {"article", "main"}
 
 _TOKEN = re.compile(
@@ -71,6 +73,10 @@ _ABOUT = {"has", "with", "no", "without", "is"}
 _STATES = {"open", "closed", "enabled", "disabled"}
 #: an element named like furniture that holds this share of a page's text is its frame
 FRAME = 0.8
+#: a container with an id like furniture is furniture with this share of linked characters, or without
+#: a heading and below so many characters a tag
+LINKED = 1 / 3
+SPARSE = 100
 
 
 def _names(value: str) -> set[str]:
@@ -177,23 +183,60 @@ def _values(attrs: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(attrs)}
 
 
+def _looks(page: Page) -> list[bool]:
+    """Whether the text of each node looks like furniture: mostly linked, or sparse and without a heading."""
+    n = len(page.tag)
+    chars, linked, tags, headed, in_link = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
+    for node, text in page.events:
+        if text:
+            size = len("".join(text.split()))
+            chars[node] += size
+            linked[node] += size * in_link[node]
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        chars[up] += chars[i]
+        linked[up] += linked[i]
+        tags[up] += tags[i] + 1
+        headed[up] = headed[up] or headed[i] or page.tag[i] in HEADINGS
+    return [linked[i] >= LINKED * chars[i] or (not headed[i] and chars[i] < SPARSE * max(tags[i], 1)) for i in range(n)]
+
+
 def _cut(page: Page) -> list[bool]:
     """Whether each node is left out, itself or with an ancestor."""
     n = len(page.tag)
     flagged, comment, names_of, by_name = [False] * n, [False] * n, [set()] * n, [False] * n
+    by_id: list[int] = []
     for i in range(1, n):
         attrs = page.attrs[i]
         noisy = page.tag[i] in FURNITURE
         if attrs and attrs != "/":
             values = _values(attrs)
-            names = _names(values.get("class", "") + " " + values.get("id", ""))
+            classes = _names(values.get("class", ""))
+            names = set() if page.tag[i] in PROSE else classes | _names(values.get("id", ""))
             names_of[i] = names
             comment[i] = bool(names & COMMENTS)
             by_name[i] = bool(names & NAMES) and not noisy and not comment[i]
+            if (comment[i] or by_name[i]) and not noisy and not classes & (NAMES | COMMENTS):
+                by_id.append(i)
             noisy = noisy or comment[i] or by_name[i] or values.get("role", "").lower() in ROLES
             if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or ("style" in values and _HIDDEN.search(values["style"])):
                 noisy, by_name[i] = True, False
+                if by_id and by_id[-1] == i:
+                    by_id.pop()
+            elif by_id and by_id[-1] == i and values.get("role", "").lower() in ROLES:
+                by_id.pop()
         flagged[i] = noisy
+    if by_id:  # headings lend their words to ids: in an article these count only where the text agrees
+        looks, within = _looks(page), [False] * n
+        some = any(t in CONTAINERS for t in page.tag)
+        for i in range(1, n):
+            within[i] = within[page.parent[i]] or page.tag[i] in CONTAINERS
+        for i in by_id:
+            if not looks[i] and (within[page.parent[i]] or not some):
+                flagged[i] = comment[i] = by_name[i] = False
+                names_of[i] = set()
     # pages name their outer elements after what these hold; what holds an article is not furniture
     holds = [False] * n
     for i in range(n - 1, 0, -1):
@@ -221,7 +264,7 @@ def _cut(page: Page) -> list[bool]:
         up = page.parent[i]
         inside[i] = inside[up] or (page.tag[i] in CONTAINERS and not out[up])
         noisy = flagged[i] and not (holds[i] and not comment[i])
-        if noisy and inside[up] and (page.tag[i] == "header" or names_of[i] & {"header"}) and not comment[i]:
+        if noisy and inside[up] and page.tag[i] not in HEADINGS and (page.tag[i] == "header" or names_of[i] & {"header"}) and not comment[i]:
             noisy = False  # an article's own header: only its headings belong to the text
             page.tag[i] = "#header"
         under_header = page.tag[up] == "#header" or page.tag[up] == "#header-part"

@@ -73,3 +73,16 @@ def test_edge_cases(spark):
     assert got[1] == got[2] == "" and got[3] == "only <text> & more here" and got[4] == "a\nb" and got[5] == "deep" and len(got) == len(rows)
     assert html_text.extract(docs.limit(0), "html", ["page_id"]).count() == 0
     assert html_text.main_text("<article><header><h1>Head</h1><i>by me</i></header><p>one<br>two <i>th</i>ree</p></article>") == "Head\none two three"
+
+
+def test_names_do_not_cut_running_text():
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    inner = (
+        f"<h2 id='related-work'>Related</h2><p>{a}</p><h2 id='search'>Searching</h2><p class='notice-period'>{b}</p>"
+        f"<h2 class='section-header'>Part</h2><p>{c}</p><section id='discussion'><h3>Discussed</h3><p>{d}</p></section><section id='search-share'><p>{e}</p></section>"
+        "<div id='share'><a href='/a'>one</a> <a href='/b'>two</a></div><div class='comments'><p>so long a reply</p></div>"
+    )
+    want = "\n".join(["Related", a, "Searching", b, "Part", c, "Discussed", d, e])
+    for frame in ("<article>%s</article>", "<main><article>%s</article></main>", "<div class='text'>%s</div>"):
+        assert html_text.main_text("<body>" + frame % inner + "</body>") == want, frame
