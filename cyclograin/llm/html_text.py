@@ -4,9 +4,10 @@ A tolerant parser builds the DOM of a page; menus, headers, footers, sidebars, n
 scripts, styles and reader comments are cut out by element, role and name. For every remaining
 node the composite density is computed: characters per tag, adjusted for the share of linked
 characters and tags. A node's density sum adds up its children's densities; the node with the largest
-sum holds the article. The least density on its path up to the body is the threshold: an enclosing
-article or main element on that path is taken whole; without one, every subtree that reaches the
-threshold gives its own node of largest sum.
+sum holds the article. The least density on its path up to the body is the threshold: every subtree
+that reaches it gives its own node of largest sum, or the whole subtree where it is an article or stands
+beside the path. The outermost article on the path is taken whole (without one, the outermost main
+element), and of a main element around it the headings, paragraphs and own text too.
 
 Edge cases: null, empty and text-free pages give the empty text; unclosed and misnested tags are
 closed where the next block begins or the page ends; nesting of any depth is handled without
@@ -320,32 +321,38 @@ def _chosen(page: Page, out: list[bool]) -> list[bool]:
     # a node without children carries its own density
     weight = [max(sums[i], density[i]) if sums[i] == 0 else sums[i] for i in range(n)]
     top = max(inner, key=lambda i: (weight[i], -i))
-    threshold, i, container = density[top], top, None
-    while i:
-        if page.tag[i] in CONTAINERS:
-            container = i if container is None or page.tag[i] == "article" and page.tag[container] != "article" else container
-        if page.tag[i] in ("body", "html"):
-            break
+    threshold, i, path = density[top], top, []
+    while i and page.tag[i] not in ("body", "html"):
+        path.append(i)
         if density[i] > 0:
             threshold = min(threshold, density[i])
         i = page.parent[i]
-    if container is not None:
-        keep[container] = True
+    best = list(range(n))
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        if not out[i] and (weight[best[i]], -best[i]) > (weight[best[up]], -best[up]) and best[up] != 0:
+            best[up] = best[i]
+    # the outermost article on the path is whole, or the outermost main where there is no article
+    holding = [i for i in path if page.tag[i] == "article"] or [i for i in path if page.tag[i] in CONTAINERS]
+    for i in inner:
+        if density[i] >= threshold and page.tag[i] not in ("#root", "html", "body") and i not in path:
+            keep[i if page.tag[i] in CONTAINERS or page.parent[i] in path else best[i]] = True
+    if holding:
+        keep[holding[-1]] = True
     else:
-        last = list(range(n))
-        best = list(range(n))
-        for i in range(n - 1, 0, -1):
-            up = page.parent[i]
-            last[up] = max(last[up], last[i])
-            if not out[i] and (weight[best[i]], -best[i]) > (weight[best[up]], -best[up]) and best[up] != 0:
-                best[up] = best[i]
-        for i in inner:
-            if density[i] >= threshold and page.tag[i] not in ("#root", "html", "body"):
-                keep[best[i]] = True
-        keep[top] = True
+        for i in path:
+            keep[best[i]] = True
+    keep[top] = True
+    # beside the article a main element still holds its headings and its own text
+    around = set(path[path.index(holding[-1]) + 1 :]) if holding else set()
+    while around and page.tag[max(around, key=path.index)] not in CONTAINERS:
+        around.remove(max(around, key=path.index))
+    for i in range(1, n):
+        if page.parent[i] in around and page.tag[i] in PROSE:
+            keep[i] = True
     for i in range(1, n):
         keep[i] = keep[i] or keep[page.parent[i]]
-    return [k and not o for k, o in zip(keep, out, strict=True)]
+    return [(k or i in around) and not o for i, (k, o) in enumerate(zip(keep, out, strict=True))]
 
 
 def main_text(source: str) -> str:

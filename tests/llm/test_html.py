@@ -86,3 +86,16 @@ def test_names_do_not_cut_running_text():
     want = "\n".join(["Related", a, "Searching", b, "Part", c, "Discussed", d, e])
     for frame in ("<article>%s</article>", "<main><article>%s</article></main>", "<div class='text'>%s</div>"):
         assert html_text.main_text("<body>" + frame % inner + "</body>") == want, frame
+
+
+def test_articles_side_by_side_and_nested():
+    rng = random.Random(9)
+    many, c, lead = [sentence(rng, 60) for _ in range(8)], sentence(rng, 90), sentence(rng, 60)
+    first = "<article>" + "".join(f"<p>{p}</p>" for p in many) + "</article>"
+    links = "<ul>" + "<li><a href='/a'>some link</a>" * 8 + "</ul>"
+    page = f"<body><main><h1>Top</h1><p>{lead}</p>{first}<article><p>{c}</p></article>{links}</main></body>"
+    assert html_text.main_text(page) == "\n".join(["Top", lead, *many, c])
+    page = f"<body>{links}<article><h1>Top</h1><p>{lead}</p>{first}<article><p>{c}</p></article></article></body>"
+    assert html_text.main_text(page) == "\n".join(["Top", lead, *many, c])
+    page = f"<body>{links}{first}<article><p>{c}</p></article></body>"
+    assert html_text.main_text(page) == "\n".join([*many, c])
