@@ -547,7 +547,8 @@ def _event_stream(spark, sf):
     path = sources.scratch_path(spark, "arrivals")
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = e if low is None else e.filter(at >= low)
-        part = part if high is None else part.filter(at < high)
+        # rows without a time are the first of their entity, as in batch order
+        part = part if high is None else part.filter((at < high) | (at.isNull() if low is None else F.lit(False)))
         part.repartition(2).write.mode("append").parquet(path)
     s = streaming.read_table_stream(spark, path, "*.parquet", e.schema, 2)
     return s.select(

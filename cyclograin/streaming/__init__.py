@@ -124,14 +124,15 @@ def stream_scan(
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, tie], kind="stable")
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, tie], kind="stable", na_position="first")
         last, memory = (-(1 << 62), -(1 << 62)), {}
         if state.exists:
             ns, t, blob = state.get
             last, memory = (ns, t), json.loads(blob)
         made = []
         for row in pdf.to_dict("records"):
-            at = (int(pd.Timestamp(row[ts]).value), int(row[tie]))
+            # a row without a time comes before all others, as in Spark's ascending order
+            at = (-(1 << 62) if pd.isna(row[ts]) else int(pd.Timestamp(row[ts]).value), int(row[tie]))
             late = at <= last
             values = dict.fromkeys(outputs) if late else step(memory, row)
             if not late:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cyclograin import sources, streaming
 from cyclograin.operators import filters, joins, monotone, windows
+from cyclograin.plans import catalog
 from cyclograin.plans.bindings import events
 from cyclograin.schema import FEATURES_16
 
@@ -142,3 +143,15 @@ def test_late_rows_are_flagged(spark, tmp_path):
     on_time, late = streaming.split_late(got)
     assert [r["event_id"] for r in late.collect()] == [2]
     assert on_time.filter("event_id = 3").first()["x1__from_first"] == 2.0
+
+
+def test_replayed_events_keep_rows_without_a_time(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e = e.withColumn("ts", F.when(F.col("event_id") % 10 != 3, F.col("ts")))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    n = e.count()
+    assert e.filter(F.col("ts").isNull()).count() > 10
+    q = catalog.all_queries()
+    got = q["x4_batch_equals_stream"].run(spark, str(tmp_path)).first()
+    assert (got["n_rows"], got["n_different"]) == (n, 0)
+    assert q["x2_stream_fill"].run(spark, str(tmp_path)).count() == n
