@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, lm, sharding, simhash, vectors, warc
+from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, lm, nra, pii, sharding, simhash, vectors, warc
 from cyclograin.operators.attach import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,86 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     codec = bpe.Codec(docs, "text", vocabulary_path())
     return bpe.round_trip(docs, codec, "text", ["doc_id"])
+
+
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def _matches(kind: str, order: int, pattern: str, test: str = "TRUE", tail: str = "m") -> str:
+    """Spans of one pattern in SQL: places follow from the lengths of what lies between the matches."""
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {order} AS ord, stop - len({tail}) AS start, stop
+FROM (SELECT doc_id, ms[i] AS m, list_sum([len(x) for x in ps[1:i]]) + list_sum([len(x) for x in ms[1:i]]) AS stop
+      FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i
+            FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps
+                  FROM documents WHERE regexp_matches(text, '{pattern}'))))
+WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""len({_DIGITS}) BETWEEN 14 AND 19 AND list_sum([
+    CASE WHEN (len({_DIGITS}) - j) % 2 = 0 THEN {_DIGITS}[j]::INT
+         ELSE ({_DIGITS}[j]::INT * 2) - CASE WHEN {_DIGITS}[j]::INT > 4 THEN 9 ELSE 0 END END
+    for j in range(1, len({_DIGITS}) + 1)]) % 10 = 0"""
+_ID = "regexp_extract(m, '[A-Za-z0-9]+(-[A-Za-z0-9]+)*$')"
+_ID_TEST = f"len(replace({_ID}, '-', '')) <= 34 AND len(regexp_replace({_ID}, '[^0-9]', '', 'g')) >= 5"
+_PII = [
+    _matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    _matches("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len([x for x in string_split(m, '.') if len(ltrim(x, '0')) > 3 OR x::HUGEINT > 255]) = 0"),
+    _matches("card", 2, r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+    _matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 10 AND 15"),
+    _matches("url", 4, r"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20/@?#\"<>]+@[A-Za-z0-9.-]+[^\x00-\x20\"<>]*"),
+    *[_matches("account", 5, rf"(?i:\b{cue})[ \t:=#.]{{1,4}}[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*", _ID_TEST, _ID) for cue in pii.CUES],
+]
+ORACLE["op12_pii"] = f"""
+WITH s AS ({" UNION ".join(_PII)}
+), a AS (
+  SELECT doc_id, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip,
+         count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) FILTER (ord < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
+@query
+def op13_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE["op13_nra_search"] = f"""
+WITH d AS (
+  SELECT doc_id, {_TERMS} AS w FROM documents
+), i AS (
+  SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL
+), c AS (
+  SELECT count(*) AS n_docs, sum(len(w)) AS total FROM d WHERE len(w) > 0
+), p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM i) GROUP BY ALL
+), f AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs
+), s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN p USING (t) JOIN f USING (t), c GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 10
+"""

@@ -144,6 +144,14 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), np.concatenate(([0], np.cumsum(lengths)))
 
 
+def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> pa.Array:
+    """The words of a buffer as one Arrow array, so that Arrow counts and looks them up by their bytes."""
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    data = buf[table[buf]]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def decoded(raw: bytes | None) -> str:
     """A text as Python characters; bytes that are no UTF-8 become replacement characters."""
     return (raw or b"").decode("utf-8", "replace")
