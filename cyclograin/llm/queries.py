@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, lm, nra, pii, sharding, simhash, vectors, warc
+from cyclograin.llm import bpe, decontamination, html_text, langid, licenses, lm, nra, phrases, pii, sharding, simhash, vectors, warc
 from cyclograin.operators.attach import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,51 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, codec, "text", ["doc_id"])
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+ORACLE["op11_phrases"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, array_to_string(part, ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, k, w[i:i + k - 1] AS part
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS r(k) WHERE len(w) >= k))
+  GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS s FROM g WHERE k > 1 AND f >= 100
+), dropped AS (
+  SELECT DISTINCT lang, part AS phrase FROM (
+    SELECT lang, f, unnest([array_to_string(s[1:k - 1], ' '), array_to_string(s[2:k], ' ')]) AS part FROM c) x
+  WHERE f >= (SELECT max(f) FROM g WHERE g.lang = x.lang AND g.phrase = x.part)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, array_to_string(s[1:j], ' ') AS head, array_to_string(s[j + 1:k], ' ') AS rest
+  FROM c, range(1, 5) AS r(j) WHERE j < k AND (c.lang, c.phrase) NOT IN (SELECT (lang, phrase) FROM dropped)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, h.f AS l, t.f AS r, n, j,
+         CAST((1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM cuts JOIN g h ON h.lang = cuts.lang AND h.phrase = head
+            JOIN g t ON t.lang = cuts.lang AND t.phrase = rest
+            JOIN n ON n.lang = cuts.lang
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS low FROM scored
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+         phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+  FROM weakest WHERE low = 1
+) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), "text", ["doc_id"])
