@@ -41,7 +41,9 @@ from cyclograin.operators.attach import scratch_path, settled
 
 LONGEST = 5
 #: words a task adds up before it passes counts on
-COUNT_WORDS = 1 << 21
+COUNT_WORDS = 1 << 19
+#: words in a row of the encoded texts, about
+ROW_WORDS = 1 << 16
 CHUNK = 1 << 22
 #: phrases in a partition of a stream, about
 STREAM_ROWS = 500_000
@@ -121,10 +123,11 @@ class Vocabulary:
 def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``ids`` of the frequent words in reading order, cut by -1 at rare words and ends of pieces."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = "int" if vocabulary.words.rows < 1 << 31 else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for piece, texts in textkit.chunks(batches, "_text", CHUNK):
+        known, stored = shared.value, np.int32 if kind == "int" else np.int64
+        for piece, texts in textkit.chunks(batches, "_text"):
             word, code, lang, langs, first = _words(piece, texts)
             keys, back = np.unique(lang * max(1, len(word)) + code, return_inverse=True)
             of_lang, of_word = np.divmod(keys, max(1, len(word)))
@@ -135,22 +138,32 @@ def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             alone = ~cut & np.append(True, cut[:-1]) & np.append(cut[1:], True)
             ids = np.where(alone, -1, ids)
             cut = ids < 0
-            ids = np.append(ids[~(cut & np.append(False, cut[:-1]))], -1)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], names=["ids"])
+            ids = np.append(ids[~(cut & np.append(False, cut[:-1]))], -1).astype(stored)
+            # rows end at cuts, the first behind each multiple of the wanted length
+            cuts = np.flatnonzero(ids < 0)
+            ends = cuts[np.searchsorted(cuts, np.append(np.arange(ROW_WORDS, len(ids), ROW_WORDS), len(ids) - 1))] + 1
+            places = pa.array(np.unique(np.append(0, ends)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(places, pa.array(ids))], names=["ids"])
 
-    return settled(rows.mapInArrow(run, "ids array<long>"))
+    return settled(rows.mapInArrow(run, f"ids array<{kind}>"))
 
 
 def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The encoded texts of a task in pieces of some million words."""
+    """The encoded texts of a task in pieces of ``COUNT_WORDS`` words; each ends with a cut."""
     held, size = [], 0
     for batch in batches:
         for row in range(batch.num_rows):
-            held.append(batch.column(0)[row].values.to_numpy())
-            size += len(held[-1])
-            if size >= COUNT_WORDS:
-                yield np.concatenate(held)
-                held, size = [], 0
+            ids = batch.column(0)[row].values.to_numpy().astype(np.int64)
+            while size + len(ids) >= COUNT_WORDS:
+                # the next cut after the wanted length, so that no run is split
+                rest = ids[max(0, COUNT_WORDS - size) :]
+                cuts = np.flatnonzero(rest < 0)[:1]
+                end = len(ids) - len(rest) + (int(cuts[0]) + 1 if len(cuts) else len(rest))
+                whole, held, size, ids = np.concatenate([*held, ids[:end]]), [], 0, ids[end:]
+                yield whole
+            if len(ids):
+                held.append(ids)
+                size += len(ids)
     if held:
         yield np.concatenate(held)
 
