@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclograin.operators.attach import settled
+from cyclograin.operators.attach import key_join, settled
 from cyclograin.operators.inference import spearman
-from cyclograin.operators.ordered import Ordered, has_hot_key, key_join, ordinal
+from cyclograin.operators.ordered import Ordered, has_hot_key, ordinal
 from cyclograin.operators.ranks import quantiles
 
 # Tolerance ladder, search window and thresholds of the alignment rule.
@@ -102,7 +102,7 @@ def _align_whole(left: DataFrame, right: DataFrame, keys: list[str], rungs: list
             *keys, F.transform("__s", lambda p: p[row]).alias(f"{row}s"), F.transform("__s", lambda p: p[value]).alias(f"{value}s")
         )
 
-    d = packed(right, "proc_row", "__b").join(packed(left, "__r", "__a"), keys, "left")
+    d = key_join(packed(right, "proc_row", "__b"), packed(left, "__r", "__a"), keys, "left")
     none = F.array().cast(T.ArrayType(T.DoubleType()))
     d = d.withColumn("__a", F.coalesce("__as", none)).withColumn("__m", match("__a", "__bs"))
 
@@ -130,7 +130,7 @@ def _align_in_steps(
     proc = settled(Ordered(right, keys, ["proc_row"], size).with_scans(__i=ordinal()).select("*", slices))
     n_raw = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"))
     n_proc = proc.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_proc"))
-    sizes = settled(n_proc.join(n_raw, keys, "left").na.fill(0, ["n_raw"]))
+    sizes = settled(key_join(n_proc, n_raw, keys, "left").na.fill(0, ["n_raw"]))
     state = sizes.withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(len(rungs) - 1))))
     state = settled(state.withColumns({"at_proc": F.lit(0).cast("bigint"), "at_raw": F.lit(0).cast("bigint")}))
     group = [*keys, "rung"]
@@ -170,15 +170,15 @@ def _align_in_steps(
         here = F.floor(F.col("at_raw") / size)
         want_raw = open_.withColumn("__c", F.explode(F.array(here, here + 1)))
         want_proc = open_.withColumn("__c", F.floor(F.col("at_proc") / size))
-        a = raw.join(F.broadcast(want_raw), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_raw"))
-        b = proc.join(F.broadcast(want_proc), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_proc"))
+        a = key_join(raw, F.broadcast(want_raw), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_raw"))
+        b = key_join(proc, F.broadcast(want_proc), [*keys, "__c"]).filter(F.col("__i") >= F.col("at_proc"))
         a = a.select(*group, "__i", "__a")
         # fresh column identities on one side: both sides stem from the same state table
         b = b.select(*[F.col(c).alias(c) for c in (*group, "__i", "__b", "at_raw", "n_raw")])
         got = settled(a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(run, schema))
         steps.append(got.filter(~F.col("state")).drop("state"))
         moved = got.filter("state").select(*group, F.col("proc_at").alias("__p"), F.col("raw_at").alias("__q"))
-        d = state.join(F.broadcast(moved), group, "left")
+        d = key_join(state, F.broadcast(moved), group, "left")
         d = d.withColumns({"at_proc": F.coalesce("__p", "at_proc"), "at_raw": F.coalesce("__q", "at_raw")})
         state = settled(d.drop("__p", "__q"))
     if steps:
@@ -186,19 +186,19 @@ def _align_in_steps(
     else:
         pairs = proc.sparkSession.createDataFrame([], T.StructType(schema.fields[:-1]))
     counts = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
-    tried = state.select(*group, "n_proc", "n_raw").join(counts, group, "left").na.fill(0, ["m"])
+    tried = key_join(state.select(*group, "n_proc", "n_raw"), counts, group, "left").na.fill(0, ["m"])
     good = F.min(F.when(F.col("m") / F.col("n_proc") >= GOOD_RATIO, F.col("rung")))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("rung", "m"))), lambda s: s["m"])
     choice = tried.groupBy(*keys).agg(
         F.coalesce(good, F.lit(len(rungs) - 1)).alias("rung"), packed.alias("__m"), F.first("n_raw").alias("n_raw")
     )
     choice = settled(choice)
-    mine = pairs.join(F.broadcast(choice.select(*group)), group).select(
+    mine = key_join(pairs, F.broadcast(choice.select(*group)), group).select(
         *keys, F.col("proc_at").alias("__i"), F.col("raw_at")
     )
-    d = proc.join(mine, [*keys, "__i"], "left").join(F.broadcast(choice), keys)
+    d = key_join(key_join(proc, mine, [*keys, "__i"], "left"), F.broadcast(choice), keys)
     a = raw.select(*keys, F.col("__i").alias("raw_at"), F.col("__r").alias("raw_row"), F.col("__a").alias("raw_value"))
-    d = d.join(a, [*keys, "raw_at"], "left")
+    d = key_join(d, a, [*keys, "raw_at"], "left")
     tol = F.try_element_at(F.array(*[F.lit(t) for t in rungs]), F.col("rung") + 1)
     return d.select(
         *keys, "proc_row", "raw_row", F.col("__b").alias("proc_value"), "raw_value", tol.alias("tol"),
@@ -232,7 +232,7 @@ def verdict(
     )
     q = quantiles(d, keys, {"dev_median": ("__dev", 0.5), "dev_p99": ("__dev", 0.99), "ratio_median": ("__ratio", 0.5)})
     rho = spearman(d, keys, "__raw", "proc_value", min_n=3).select(*keys, "rho")
-    s = stats.join(q, list(keys)).join(rho, list(keys), "left")
+    s = key_join(key_join(stats, q, keys), rho, keys, "left")
     strict = F.try_element_at("__rungs", F.least(F.size("__rungs"), F.lit(n_strict)))
     s = s.withColumns(
         {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that both sides have; NULL is a key like any other. ``how`` is no full or right join."""
+    if not keys:
+        return a.crossJoin(b)
+    own = {k: f"__k{i}" for i, k in enumerate(keys)}
+    other = b.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], *[f"`{c}`" for c in b.columns if c not in own])
+    same = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in own.items()])
+    return a.join(other, same, how).drop(*own.values())
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a lookup (one row per key) onto a big table.
+    """Join a lookup (one row per key) onto a big table; NULL is a key like any other.
 
     No side is forced to be broadcast: adaptive execution does so when the lookup, once it is
     computed, is below the session's threshold. Otherwise the join is a shuffle whose hot
     keys adaptive skew handling splits against their single lookup row.
     """
-    return big.join(small, list(keys), how)
+    if not keys:
+        return big.crossJoin(F.broadcast(small))  # a lookup without keys is one row
+    return key_join(big, small, keys, how)
 
 
 def attach_global(big: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclograin.functions import col
+from cyclograin.operators.attach import key_join
 from cyclograin.operators.ranks import quantiles
 
 Points = str | Column
@@ -254,7 +255,7 @@ def difference_scalar(
         F.max(F.when(F.col(cycle) == c, F.struct("grid", "grid_share"))).alias(n)
         for c, n in ((early, "__a"), (late, "__b"))
     ]
-    d = lengths.join(g.groupBy(*entity).agg(*pick), list(entity), "left")
+    d = key_join(lengths, g.groupBy(*entity).agg(*pick), entity, "left")
     share = F.least(F.coalesce(F.col("__a.grid_share"), F.lit(0.0)), F.coalesce(F.col("__b.grid_share"), F.lit(0.0)))
     diff = F.filter(F.zip_with("__b.grid", "__a.grid", lambda b, a: b - a), lambda v: v.isNotNull())
     d = d.withColumns({"share": share, "__d": diff})
@@ -297,7 +298,7 @@ def charge_readings(df: DataFrame, entity: Sequence[str], cycle: str, ah: str, e
 def reconcile(ours: DataFrame, released: DataFrame, entity: Sequence[str], cols: Sequence[str], limit: float = 0.01) -> DataFrame:
     """Relative deviation per column between two sources and whether all stay within the limit."""
     r = released.select(*entity, *[F.col(c).alias(f"__r_{c}") for c in cols])
-    d = ours.join(r, list(entity))
+    d = key_join(ours, r, entity)
     dev = {f"{c}_dev": F.abs(F.col(c) - F.col(f"__r_{c}")) / F.abs(F.col(f"__r_{c}")) for c in cols}
     d = d.withColumns(dev)
     ok = F.lit(True)

@@ -13,7 +13,7 @@ from cyclograin.functions.stats import (
     rank_sum_p_col,
     signed_rank_p_col,
 )
-from cyclograin.operators.attach import attach, settled
+from cyclograin.operators.attach import attach, key_join, settled
 from cyclograin.operators.ordered import Ordered, ordinal, total
 from cyclograin.operators.ranks import quantiles, top_n, with_average_rank
 from cyclograin.operators.sampling import bootstrap_draws
@@ -55,7 +55,7 @@ def signed_rank_stats(df: DataFrame, by: Sequence[str], a: str, b: str, max_rows
     )
     ties = nz.groupBy(*by, "__abs").agg(F.count(F.lit(1)).alias("c"))
     ties = ties.groupBy(*by).agg(F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
-    return basic.join(w, list(by), "left").join(ties, list(by), "left").na.fill(0, ["w_plus", "n_used", "ties"])
+    return key_join(key_join(basic, w, by, "left"), ties, by, "left").na.fill(0, ["w_plus", "n_used", "ties"])
 
 
 def paired_wilcoxon(df: DataFrame, by: Sequence[str], a: str, b: str, max_rows: int | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def rank_sum_stats(df: DataFrame, by: Sequence[str], is_first: str, value: str,
     )
     ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
     ties = ties.groupBy(*by).agg(F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
-    return u.join(ties, list(by))
+    return key_join(u, ties, by)
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], is_first: str, value: str, max_rows: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def bootstrap_interval(
     means = bootstrap_means(items, group, order, value, n_boot, seed)
     ci = quantiles(means, group, {"ci_lo": ("mean", tail), "ci_hi": ("mean", 1.0 - tail)}, bounded=True)
     stats = items.groupBy(*group).agg(F.avg(value).alias("mean_diff"), F.count(value).alias("n_entities"))
-    return stats.join(ci, list(group))
+    return key_join(stats, ci, group)
 
 
 def bootstrap_decision(
@@ -135,7 +135,7 @@ def relative_bootstrap(
     """Interval of 100 * (mean(ours) - mean(theirs)) / mean(theirs) under two-sample resampling."""
     a = bootstrap_means(ours, group, order, value, n_boot, seed).withColumnRenamed("mean", "__a")
     b = bootstrap_means(theirs, group, order, value, n_boot, seed + 1).withColumnRenamed("mean", "__b")
-    d = a.join(b, [*group, "b"]).withColumn("delta", (F.col("__a") - F.col("__b")) / F.col("__b") * 100.0)
+    d = key_join(a, b, [*group, "b"]).withColumn("delta", (F.col("__a") - F.col("__b")) / F.col("__b") * 100.0)
     return quantiles(d, group, {"ci_lo": ("delta", 0.025), "ci_hi": ("delta", 0.975)}, bounded=True)
 
 
@@ -151,7 +151,7 @@ def majority_vote(votes: DataFrame, by: Sequence[str], decision: str) -> DataFra
 
 def randomisation_p(observed: DataFrame, null: DataFrame, by: Sequence[str], stat: str) -> DataFrame:
     """(1 + #{null <= observed}) / (M + 1), with the null's median and range."""
-    d = null.join(observed.withColumnRenamed(stat, "__obs"), list(by)) if by else null.crossJoin(
+    d = key_join(null, observed.withColumnRenamed(stat, "__obs"), by) if by else null.crossJoin(
         F.broadcast(observed.withColumnRenamed(stat, "__obs"))
     )
     counts = [
@@ -184,7 +184,7 @@ def gate_trace(
     )
     points = grid.select(*by, F.posexplode("__grid").alias("__slot", "lam"))
     w = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
-    t = points.join(cells, [*by, "__slot"], "left").withColumns(
+    t = key_join(points, cells, [*by, "__slot"], "left").withColumns(
         {
             "n": F.coalesce(F.sum("__c").over(w), F.lit(0)),
             "harm": F.coalesce(F.sum("__h").over(w), F.lit(0)),
@@ -234,7 +234,7 @@ def gate_policies(
 def compare_methods(df: DataFrame, pair: Sequence[str], method: str, score: str, baseline: str) -> DataFrame:
     """Every method against the baseline on shared pairs: summary and signed-rank test."""
     base = df.filter(F.col(method) == baseline).select(*pair, F.col(score).alias("__base"))
-    d = df.filter(F.col(method) != baseline).join(base, list(pair))
+    d = key_join(df.filter(F.col(method) != baseline), base, pair)
     guard = df.agg(F.count_if(F.col(method) == baseline).alias("__has"))
     d = d.crossJoin(F.broadcast(guard))
     d = d.filter(

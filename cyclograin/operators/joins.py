@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclograin.operators.attach import attach
+from cyclograin.operators.attach import attach, key_join
 from cyclograin.operators.inference import spearman
 from cyclograin.operators.ordered import Ordered, ordinal
 
@@ -21,7 +21,7 @@ def grid(*dims: DataFrame) -> DataFrame:
 def pending(configs: DataFrame, runs: DataFrame, keys: Sequence[str], error: str = "error") -> DataFrame:
     """Configurations without a successful run; failed ones are retried."""
     done = runs.filter(F.col(error).isNull()).select(*keys)
-    return configs.join(done, list(keys), "left_anti")
+    return key_join(configs, done, keys, "left_anti")
 
 
 def pair_arms(df: DataFrame, keys: Sequence[str], arm: str, value: str, arms: Sequence[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def availability_audit(
         if t is None:
             d = d.withColumn(name, F.lit(name != "__ex"))
         else:
-            d = d.join(t.select(*keys).distinct().withColumn(name, F.lit(True)), list(keys), "left")
+            d = key_join(d, t.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
     gap = F.col("n_scored") - F.col("n_mapped")
     unmapped = F.when(gap > 0, F.concat(F.lit("unmapped_rows="), gap.cast("string")))
     early = F.when(F.col("raw_min") <= window, F.concat(F.lit("min_raw_cycle="), F.col("raw_min").cast("string")))
@@ -132,11 +132,11 @@ def prefix_agreement(
     """Rank correlation and largest relative deviation of two sequences matched by position."""
     pa = Ordered(a.select(*keys, *order, F.col(value).alias("__a")), keys, order).with_scans(__t=ordinal())
     pb = Ordered(b.select(*keys, *order, F.col(value).alias("__b")), keys, order).with_scans(__t=ordinal())
-    d = pa.select(*keys, "__t", "__a").join(pb.select(*keys, "__t", "__b"), [*keys, "__t"])
+    d = key_join(pa.select(*keys, "__t", "__a"), pb.select(*keys, "__t", "__b"), [*keys, "__t"])
     d = d.filter(F.col("__a").isNotNull() & F.col("__b").isNotNull())
     dev = F.abs(F.col("__a") - F.col("__b")) / F.greatest(F.abs("__b"), F.lit(1e-12))
     rho = spearman(d, keys, "__a", "__b", min_n=2)
-    return rho.join(d.groupBy(*keys).agg(F.max(dev).alias("max_dev")), list(keys))
+    return key_join(rho, d.groupBy(*keys).agg(F.max(dev).alias("max_dev")), keys)
 
 
 def scenarios(costs: DataFrame, cost: str, power_watt: Sequence[float], carbon: Sequence[float]) -> DataFrame:
@@ -154,7 +154,7 @@ def gain_with_statistics(
     gains: DataFrame, stats: DataFrame, keys: Sequence[str], gain: str, statistic: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Join per-entity gains with label-free statistics and correlate them by rank."""
-    d = gains.join(stats, list(keys))
+    d = key_join(gains, stats, keys)
     return spearman(d, by, statistic, gain)
 
 

@@ -13,7 +13,7 @@ precision. A row with a NULL among its features or label counts nowhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclograin.operators.attach import attach
+from cyclograin.operators.attach import attach, key_join
 
 ARRAY = T.ArrayType(T.DoubleType())
 #: features up to which the matrix is one built-in aggregate
 CODEGEN_WIDTH = 4
-#: bytes of matrices that a task holds before it passes them on
-HELD_BYTES = 64 * 1024 * 1024
+#: bytes of finished matrices in an Arrow batch
+HELD_BYTES = 8 * 1024 * 1024
 
 
 def moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, out: str = "m") -> DataFrame:
@@ -36,7 +36,7 @@ def moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, out: st
 
     Its first row and column hold the row count and the means, the rest the co-moments about the
     means. Narrow designs are one built-in aggregate. Wide ones are computed per task with matrix
-    products first, so a task sends one matrix per group however many rows it has.
+    products first, so a task sends at most one matrix per group and batch, and few rows as they are.
     """
     cols = [*xs, y]
     plain = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)]
@@ -51,58 +51,114 @@ def moments(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, out: st
             flat += [F.col(f"__m{i}"), *[F.col(f"__c{min(i, j)}_{max(i, j)}") * F.col("__n") for j in range(k)]]
         return src.groupBy(*by).agg(*aggs).select(*by, F.array(*flat).alias(out))
 
-    def matrices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
-        rows = np.column_stack([batch.column(len(by) + i).to_numpy() for i in range(len(z))])
-        for key, at in _groups(batch, len(by)):
-            part = rows[at]
-            mean = part.mean(axis=0)
-            part = part - mean
-            g = np.empty((len(z) + 1, len(z) + 1))
-            g[0, 0], g[0, 1:], g[1:, 0], g[1:, 1:] = len(at), mean, mean, part.T @ part
-            yield key, g
+    return pool(_grouped_rows(src, by, len(z), out), by, out, len(z))
 
-    partial = _combined(src, by, out, matrices)
-    return pool(partial, by, out)
 
+def _runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, int, int]]:
+    """Keys (the first columns; NULL is a key) of a batch and where each run of equal keys begins and ends."""
+    if not n_keys:
+        yield (), 0, batch.num_rows
+        return
+    keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True))
+    start = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[start]:
+            yield keys[start], start, i
+            start = i
 
-def _groups(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Keys (the first columns; NULL is a key) of a batch and their row numbers."""
-    keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True)) if n_keys else [()] * batch.num_rows
-    number: dict[tuple, int] = {}
-    codes = np.fromiter((number.setdefault(k, len(number)) for k in keys), dtype=np.int64, count=len(keys))
-    order = np.argsort(codes, kind="stable")
-    cuts = np.cumsum(np.bincount(codes, minlength=len(number)))[:-1]
-    yield from zip(number, np.split(order, cuts), strict=True) if number else ()
 
+def _of_rows(rows: np.ndarray) -> np.ndarray:
+    """The moment matrix of rows [*xs, y]."""
+    k = rows.shape[1] + 1
+    mean = rows.mean(axis=0)
+    part = rows - mean
+    g = np.empty((k, k))
+    g[0, 0], g[0, 1:], g[1:, 0], g[1:, 1:] = len(rows), mean, mean, part.T @ part
+    return g
 
-def _combined(
-    df: DataFrame, by: Sequence[str], out: str, matrices: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray]]]
-) -> DataFrame:
-    """Merge the matrices that each task sees, by key, in bounded memory."""
+
+def _grouped_rows(df: DataFrame, by: Sequence[str], width: int, out: str) -> DataFrame:
+    """Rows of a key that stand together, as one matrix where that is smaller than the rows themselves.
+
+    Rows are brought together inside each task, without an exchange. A piece is ``width`` + 1 squared numbers
+    (a matrix) or a multiple of ``width`` (rows); no number is both, so the length tells which.
+    """
     schema = T.StructType([*df.select(*by).schema.fields, T.StructField(out, ARRAY)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, np.ndarray] = {}
-        kinds: list[pa.DataType] = []
-        size = 0
+        for batch in batches:
+            rows = np.column_stack([batch.column(len(by) + i).to_numpy() for i in range(width)])
+            keys, pieces = [], []
+            for key, a, b in _runs(batch, len(by)):
+                part = rows[a:b]
+                keys.append(key)
+                pieces.append(part.ravel() if (b - a) * width < (width + 1) ** 2 else _of_rows(part).ravel())
+            if pieces:
+                yield _pieces(keys, pieces, batch.schema.types[: len(by)], schema.names)
+
+    near = df.sortWithinPartitions(*by) if by else df
+    return near.mapInArrow(run, schema)
+
+
+def _pieces(keys: list[tuple], pieces: list[np.ndarray], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cols = [pa.array(c, kind) for c, kind in zip(zip(*keys, strict=True), kinds, strict=True)]
+    ends = np.cumsum([0, *map(len, pieces)])
+    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pieces))))
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _one_per_key(df: DataFrame, by: Sequence[str], out: str, width: int | None) -> DataFrame:
+    """Merge the pieces of each run of equal keys; a task holds one matrix and a few megabytes of finished ones.
+
+    ``width`` is that of rows among the pieces; without it all are matrices.
+    """
+    schema = df.select(*by, out).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        loose: list[np.ndarray] = []
+        keys, done, size, kinds = [], [], 0, []
 
-        def flush() -> pa.RecordBatch:
-            cols = [pa.array(c, kind) for c, kind in zip(zip(*kept, strict=True), kinds, strict=True)]
-            cols.append(pa.array([g.ravel() for g in kept.values()], pa.list_(pa.float64())))
-            return pa.RecordBatch.from_arrays(cols, names=[*by, out])
+        def settle() -> None:
+            nonlocal held
+            if loose:
+                g = _of_rows(np.concatenate(loose))
+                held = g if held is None else merged(held, g)
+                loose.clear()
 
         for batch in batches:
             kinds = batch.schema.types[: len(by)]
-            for key, g in matrices(batch):
-                old = kept.get(key)
-                kept[key] = g if old is None else merged(old, g)
-                size += g.nbytes if old is None else 0
-                if size > HELD_BYTES:
-                    yield flush()
-                    kept.clear()
-                    size = 0
-        if kept:
-            yield flush()
+            column = batch.column(len(by))
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            empty = column.is_null().to_numpy(zero_copy_only=False)
+            for now, a, b in _runs(batch, len(by)):
+                if now != key or (held is None and not loose):
+                    settle()
+                    if held is not None:
+                        keys.append(key)
+                        done.append(held.ravel())
+                        size += held.nbytes
+                    key, held = now, None
+                    if size > HELD_BYTES:
+                        yield _pieces(keys, done, kinds, schema.names)
+                        keys, done, size = [], [], 0
+                for i in range(a, b):
+                    piece = values[offsets[i] : offsets[i + 1]]
+                    if empty[i] or not len(piece):
+                        continue
+                    if width and len(piece) % width == 0:
+                        loose.append(piece.reshape(-1, width))
+                        if len(loose) > 4096:
+                            settle()
+                    else:
+                        g = _square(piece)
+                        held = g if held is None else merged(held, g)
+        settle()
+        if held is not None:
+            keys.append(key)
+            done.append(held.ravel())
+        if done:
+            yield _pieces(keys, done, kinds, schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -141,20 +197,18 @@ def _square(v) -> np.ndarray:
     return g.reshape(k, k)
 
 
-def pool(m: DataFrame, by: Sequence[str], out: str = "m") -> DataFrame:
-    """Matrices merged to a coarser grouping: in each task first, then per group."""
-    by = list(by)
-
-    def matrices(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
-        values = batch.column(len(by)).to_pylist()
-        for key, at in _groups(batch, len(by)):
-            for i in at.tolist():
-                if values[i] is not None:
-                    yield key, _square(values[i])
+def pool(m: DataFrame, by: Sequence[str], out: str = "m", width: int | None = None) -> DataFrame:
+    """One matrix per key of a coarser grouping: merged in each task first, then over all tasks.
 
-    first = _combined(m.select(*by, out), by, out, matrices)
-    placed = first.repartition(*by) if by else first.repartition(1)
-    return _combined(placed, by, out, matrices)
+    Pieces are brought together by sorting, so a task holds one matrix however many keys it has, and a key
+    that many tasks share sends one matrix from each. ``width`` allows rows of that width among the pieces.
+    """
+    by = list(by)
+    pieces = m.select(*by, out)
+    if width is None:
+        pieces = _one_per_key(pieces.sortWithinPartitions(*by) if by else pieces, by, out, None)
+    placed = pieces.repartition(*by).sortWithinPartitions(*by) if by else pieces.repartition(1)
+    return _one_per_key(placed, by, out, width)
 
 
 @F.pandas_udf(ARRAY)
@@ -238,7 +292,7 @@ def score(
 
     ``on`` names the columns both tables share when there are several models per unit.
     """
-    d = per_entity.join(model.select(*by, "beta"), list(on or by))
+    d = key_join(per_entity, model.select(*by, "beta"), on or by)
     d = d.withColumns({"__sse": sse_column("m", "beta"), "__n": n_rows()})
     return d.groupBy(*by).agg(
         F.sqrt(F.sum("__sse") / F.sum("__n")).alias("rmse_overall"),
@@ -320,7 +374,7 @@ def select_alpha(
     best = cv.groupBy(*unit).agg(
         F.min_by("alpha", F.struct("cv_rmse", "alpha")).alias("alpha"), F.min("cv_rmse").alias("cv_rmse")
     )
-    return best.join(whole.withColumnRenamed("__all", "m"), list(unit)).withColumn(
+    return key_join(best, whole.withColumnRenamed("__all", "m"), unit).withColumn(
         "beta", ridge_column("m", F.col("alpha"))
     ).drop("m")
 
@@ -379,7 +433,7 @@ def anchored_scores(
     A draw costs one small matrix product per entity: the series themselves are not touched.
     """
     a = anchors.withColumnRenamed(entity, "ref")
-    d = maps.join(a, [*unit, "ref"]).join(per_entity, [*unit, entity])
+    d = key_join(key_join(maps, a, [*unit, "ref"]), per_entity, [*unit, entity])
     moved = shift_moments("m", len(xs), range(len(xs)), [F.col(f"{x}__first") for x in xs])
     d = d.select(*unit, draw, entity, is_test, moved.alias("m"))
     source = pool(d.filter(~F.col(is_test)).select(*unit, draw, "m"), [*unit, draw])
@@ -404,7 +458,7 @@ def permutation_importance(
     d = with_hash_rank(d, groups, [*ids, "repeat"], seed, "slot", "__to")
     donors = with_hash_rank(d.select(*groups, *ids, *xs), groups, [*ids, "repeat"], seed + 1, "donor", "__to")
     donors = donors.select(*groups, "__to", *[F.col(x).alias(f"__d_{x}") for x in xs])
-    d = d.join(donors, [*groups, "__to"])
+    d = key_join(d, donors, [*groups, "__to"])
     sq = {x: F.col("__e") - F.col("beta")[i + 1] * (F.col(f"__d_{x}") - F.col(x)) for i, x in enumerate(xs)}
     aggs = [F.avg(e * e).alias(f"__p_{x}") for x, e in sq.items()]
     per = d.groupBy(*groups, entity).agg(F.avg(F.col("__e") * F.col("__e")).alias("__base"), *aggs)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclograin.operators.ordered import key_join
 from cyclograin.functions import delta_pct, rmse
+from cyclograin.operators.attach import key_join
 from cyclograin.operators.ranks import quantiles, with_average_rank
 
 
@@ -162,8 +162,8 @@ def bias_diversity(df: DataFrame, by: Sequence[str], y: str, p: str, q: str) ->
 def selection_regret(picked: DataFrame, scores: DataFrame, by: Sequence[str], config: str, score: str) -> DataFrame:
     """Score of the picked configuration minus the best one."""
     best = scores.groupBy(*by).agg(F.min(score).alias("best"), F.min_by(config, score).alias("oracle"))
-    mine = picked.join(scores, [*by, config]).select(*by, config, F.col(score).alias("got"))
-    d = mine.join(best, list(by))
+    mine = key_join(picked, scores, [*by, config]).select(*by, config, F.col(score).alias("got"))
+    d = key_join(mine, best, by)
     return d.withColumn("regret", F.col("got") - F.col("best"))
 
 
@@ -203,7 +203,7 @@ def adjacent_ties(summary: DataFrame, by: Sequence[str], name: str) -> DataFrame
 
 
 def archive_deviation(now: DataFrame, archived: DataFrame, keys: Sequence[str], value: str, limit: float) -> DataFrame:
-    d = now.join(archived.withColumnRenamed(value, "__old"), list(keys))
+    d = key_join(now, archived.withColumnRenamed(value, "__old"), keys)
     gap = F.abs(F.col(value) - F.col("__old"))
     return d.agg(F.max(gap).alias("max_dev"), F.count_if(gap > limit).alias("n_over"), F.count(F.lit(1)).alias("n"))
 
@@ -250,7 +250,7 @@ def single_protocol(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def retrospective(decisions: DataFrame, scores: DataFrame, by: Sequence[str], arm: str, score: str) -> DataFrame:
     """Rule decision against the post-hoc winner: hit, miss or abstain."""
     winner = scores.groupBy(*by).agg(F.min_by(arm, F.struct(score, arm)).alias("winner"))
-    d = decisions.join(winner, list(by))
+    d = key_join(decisions, winner, by)
     outcome = F.when(F.col("decision") == "abstain", "abstain").when(
         F.col("decision") == F.col("winner"), "hit"
     ).otherwise("miss")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cyclograin.functions import hash_key, rmse
 from cyclograin.operators import linear, metrics
-from cyclograin.operators.attach import attach, attach_global, settled
+from cyclograin.operators.attach import attach, attach_global, key_join, settled
 from cyclograin.operators.neighbors import as_vector, knn, nearest_to_centroids
 from cyclograin.operators.ordered import Ordered, ordinal
 from cyclograin.operators.ranks import quantiles
@@ -339,7 +339,7 @@ def physical_reference(
     early = early.withColumn("__ratio", F.col(y) / F.col("__rel"))
     eta = quantiles(early, unit, {"eta": ("__ratio", 0.5)})
     enough = early.groupBy(*unit).agg(F.count(F.lit(1)).alias("calib_rows")).filter(F.col("calib_rows") >= min_rows)
-    eta = eta.join(enough, list(unit))
+    eta = key_join(eta, enough, unit)
     scored = d.filter(F.col(is_test) & (F.col(position) >= window))
     audit = scored.groupBy(*unit, entity).agg(
         F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col(raw_row).isNull()).alias("n_unmapped"),
@@ -348,7 +348,7 @@ def physical_reference(
     reason = F.when(F.col("n_unmapped") > 0, "unmapped_rows").when(F.col("n_missing") > 0, "missing_reading").otherwise("scored")
     audit = audit.withColumn("status", reason)
     good = audit.filter(F.col("status") == "scored").select(*unit, entity)
-    points = attach(scored.join(good, [*unit, entity], "left_semi"), eta, unit)
+    points = attach(key_join(scored, good, [*unit, entity], "left_semi"), eta, unit)
     return points.withColumn("pred", F.col("eta") * F.col("__rel")).drop("__rel"), audit
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclograin.operators import windows
-from cyclograin.operators.attach import attach, settled
-from cyclograin.operators.ordered import Ordered, following, key_join, last_valid, ordinal
+from cyclograin.operators.attach import attach, key_join, settled
+from cyclograin.operators.ordered import Ordered, following, last_valid, ordinal
 from cyclograin.operators.trajectory import violation_ratio
 
 MAX_ROUNDS = 10_000

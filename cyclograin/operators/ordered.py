@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclograin.functions import array_median
+from cyclograin.operators.attach import key_join
 from cyclograin.schema import require_columns
 
 MAX_ROWS_PER_TASK = 2_000_000
@@ -100,14 +100,6 @@ def total(aggregate: Column) -> Scan:
     return Scan("total", aggregate)
 
 
-def key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on columns that both sides have; NULL is a key like any other."""
-    own = {k: f"__k{i}" for i, k in enumerate(keys)}
-    other = b.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], *[f"`{c}`" for c in b.columns if c not in own])
-    same = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in own.items()])
-    return a.join(other, same, how).drop(*own.values())
-
-
 def input_bytes(df: DataFrame) -> int:
     """Total size of the tables a plan reads, as stored."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cyclograin.functions import rmse
 from cyclograin.operators import ordered as o
+from cyclograin.operators.attach import key_join
 from cyclograin.operators.ordered import Ordered
 from cyclograin.operators.ranks import quantiles, top_n, with_average_rank
 
@@ -152,12 +153,12 @@ def early_slope(df, unit, entity: str, order, y: str, choices: Sequence[int] = (
         pick = F.when(F.col("shortest") >= c, F.lit(c)).otherwise(pick)
     window = shortest.withColumn("n_early", pick.cast("int"))
     heads = top_n(df.select(*keys, *order, y), keys, [F.col(c) for c in order], max(choices), "__r")
-    heads = heads.join(window.select(*unit, "n_early"), list(unit))
+    heads = key_join(heads, window.select(*unit, "n_early"), unit)
     heads = heads.filter(F.col("__r") <= F.col("n_early")).withColumn("__t", F.col("__r") - 1)
     slope = heads.groupBy(*keys).agg(
         F.regr_slope(F.col(y), F.col("__t").cast("double")).alias("slope"), F.first("n_early").alias("n_early")
     )
-    return slope.join(ends.drop("n"), keys)
+    return key_join(slope, ends.drop("n"), keys)
 
 
 def self_ratio(df, keys, order, parts: Sequence[str], out: str = "ratio", max_rows: int | None = None) -> DataFrame:

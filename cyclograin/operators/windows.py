@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclograin.operators import ordered as o
-from cyclograin.operators.attach import attach
+from cyclograin.operators.attach import attach, key_join
 from cyclograin.operators.ranks import quantiles
 
 FAMILIES = ("lag1", "diff1", "from_first", "from_roll5")
@@ -93,7 +93,7 @@ def mispaired_lift(
     """
     anchors = first_rows(df, [*unit, entity], order, cols)
     anchors = anchors.withColumnRenamed(entity, "ref")
-    anchored = ref_map.join(anchors, [*unit, "ref"])
+    anchored = key_join(ref_map, anchors, [*unit, "ref"])
     d = attach(df, anchored, [*unit, entity])
     return d.withColumns(
         {f"{c}__{suffix}": F.col(c) - F.col(f"{c}__first") for c in cols}

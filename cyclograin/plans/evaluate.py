@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cyclograin.functions import delta_pct, rmse
 from cyclograin.operators import inference, linear, metrics, normalize, sampling, windows
-from cyclograin.operators.attach import attach, settled
+from cyclograin.operators.attach import attach, key_join, settled
 from cyclograin.operators.ordered import Ordered, first, ordinal, total
 
 
@@ -108,7 +108,7 @@ def context_ladder(
             ctx = sampling.coverage_sample(staged, unit, entity, ids, mode, cap, seed, y)
         m = linear.moments(ctx, unit, xs, y)
         one = linear.score(held, linear.fit(m, alpha), unit)
-        one = one.join(m.select(*unit, linear.n_rows().cast("bigint").alias("n_context")), list(unit))
+        one = key_join(one, m.select(*unit, linear.n_rows().cast("bigint").alias("n_context")), unit)
         one = one.withColumn("sampler", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
