@@ -41,10 +41,10 @@ from cyclograin.operators.attach import scratch_path, settled
 
 LONGEST = 5
 #: words a task adds up before it passes counts on
-COUNT_WORDS = 1 << 19
+COUNT_WORDS = 1 << 18
 #: words in a row of the encoded texts, about
 ROW_WORDS = 1 << 16
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: phrases in a partition of a stream, about
 STREAM_ROWS = 500_000
 PART_WORDS = 1 << 20
