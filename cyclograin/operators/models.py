@@ -7,17 +7,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclograin.functions import hash_key, rmse
-from cyclograin.operators import linear, metrics
+from cyclograin.operators import boosting, linear, metrics
 from cyclograin.operators.attach import attach, attach_global, key_join, settled
 from cyclograin.operators.neighbors import as_vector, knn, nearest_to_centroids
 from cyclograin.operators.ordered import Ordered, ordinal
@@ -25,16 +25,16 @@ from cyclograin.operators.ranks import quantiles
 from cyclograin.operators.sampling import context_sample, kfold
 
 ESTIMATORS: dict[str, tuple[str, Callable[[int], object]]] = {
-    "gbdt_reg": ("regression", lambda seed: GBTRegressor(maxIter=20, maxDepth=4, seed=seed)),
+    "gbdt_reg": ("regression", lambda seed: boosting.Params(n_trees=20, depth=4)),
     "rf_reg": ("regression", lambda seed: RandomForestRegressor(numTrees=20, maxDepth=6, seed=seed)),
-    "gbdt": ("classification", lambda seed: GBTClassifier(maxIter=10, maxDepth=3, seed=seed)),
+    "gbdt": ("classification", lambda seed: boosting.Params(n_trees=10, depth=3)),
     "rf": ("classification", lambda seed: RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed)),
     "logistic": ("classification", lambda seed: LogisticRegression(maxIter=50, regParam=1e-3)),
 }
 
 
 def register_estimator(name: str, task: str, factory: Callable[[int], object]) -> None:
-    """Add a backbone: ``factory(seed)`` returns an MLlib estimator."""
+    """Add a backbone: ``factory(seed)`` returns an MLlib estimator or the size of boosted trees."""
     if task not in ("regression", "classification"):
         raise ValueError(f"unknown task {task!r}")
     ESTIMATORS[name] = (task, factory)
@@ -49,17 +49,14 @@ def fit_predict(
     train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, backbone: str, seed: int = 0,
     out: str = "pred", proba: str | None = None,
 ) -> DataFrame:
-    """Train on one table, add predictions (and class probabilities) to another.
-
-    Boosting has a two-class estimator only; more classes are fitted one against the rest.
-    """
+    """Train on one table, add predictions (and class probabilities) to another."""
     task, factory = ESTIMATORS[backbone]
-    if isinstance(factory(seed), GBTClassifier):
-        found = train.select(F.col(y).cast("double").alias("__c")).distinct().orderBy("__c").collect()
-        if len(found) > 2:
-            return _one_against_rest(train, test, xs, y, factory, [r["__c"] for r in found], seed, out, proba)
+    estimator = factory(seed)
+    if isinstance(estimator, boosting.Params):
+        fitted = boosting.fit(train, [], xs, y, estimator, task == "classification")
+        return boosting.predict(test, fitted, [], out, proba)
     assembler = VectorAssembler(inputCols=list(xs), outputCol="__features")
-    estimator = factory(seed).setFeaturesCol("__features").setLabelCol("__label").setPredictionCol(out)
+    estimator = estimator.setFeaturesCol("__features").setLabelCol("__label").setPredictionCol(out)
     label = F.col(y).cast("double").alias("__label")
     model = estimator.fit(assembler.transform(train.select(*xs, label)))
     got = model.transform(assembler.transform(test))
@@ -69,23 +66,13 @@ def fit_predict(
     return got.drop(*drop)
 
 
-def _one_against_rest(train, test, xs, y: str, factory, classes: list[float], seed: int, out: str, proba: str | None) -> DataFrame:
-    """One boosted model per class (classes are few); the largest probability wins, the smaller class on ties."""
-    assembler = VectorAssembler(inputCols=list(xs), outputCol="__features")
-    source = settled(assembler.transform(train.select(*xs, F.col(y).cast("double").alias("__y"))).select("__features", "__y"))
-    got = assembler.transform(test)
-    for i, c in enumerate(classes):
-        estimator = factory(seed).setFeaturesCol("__features").setLabelCol("__label").setPredictionCol(f"__cls{i}")
-        estimator = estimator.setProbabilityCol(f"__prob{i}").setRawPredictionCol(f"__raw{i}")
-        got = estimator.fit(source.withColumn("__label", (F.col("__y") == c).cast("double"))).transform(got)
-    names = [f"__{kind}{i}" for kind in ("cls", "prob", "raw") for i in range(len(classes))]
-    got = got.withColumn("__s", F.array(*[vector_to_array(f"__prob{i}")[1] for i in range(len(classes))]))
-    best = F.array_position("__s", F.array_max("__s")).cast("int")
-    got = got.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in classes]), best))
-    if proba:
-        total = F.aggregate("__s", F.lit(0.0), lambda a, b: a + b)
-        got = got.withColumn(proba, F.transform("__s", lambda s: s / total))
-    return got.drop("__features", "__s", *names)
+def fit_predict_units(
+    df: DataFrame, unit: Sequence[str], xs: Sequence[str], y: str, params: boosting.Params = boosting.Params(),
+    is_test: str = "is_test", classify: bool = False, out: str = "pred", proba: str | None = None,
+) -> DataFrame:
+    """Boosted trees of every unit, fitted together on its source rows, applied to its test rows."""
+    fitted = boosting.fit(df.filter(~F.col(is_test)), unit, xs, y, params, classify)
+    return boosting.predict(df.filter(F.col(is_test)), fitted, unit, out, proba)
 
 
 def per_unit(
@@ -106,8 +93,17 @@ def out_of_fold(
     df: DataFrame, fold: str, n_folds: int, xs: Sequence[str], y: str, backbone: str, seed: int = 0,
     out: str = "oof", proba: str | None = None,
 ) -> DataFrame:
-    """Every row predicted by the model that did not see its fold; the folds are computed once."""
+    """Every row predicted by the model that did not see its fold; the folds are computed once.
+
+    Boosted trees of all folds grow together, each fold a unit of its own.
+    """
     df = settled(df)
+    task, factory = ESTIMATORS[backbone]
+    params = factory(seed)
+    if isinstance(params, boosting.Params):
+        others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))
+        fitted = boosting.fit(df.withColumn("__held", F.explode(others)), ["__held"], xs, y, params, task == "classification")
+        return boosting.predict(df.withColumn("__held", F.col(fold)), fitted, ["__held"], out, proba).drop("__held")
     parts = [
         fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), xs, y, backbone, seed, out, proba)
         for f in range(n_folds)

@@ -31,6 +31,57 @@ def _score(model: str, src: str, by: str, pred: str, y: str = "y", extra: str =
       SELECT {by}, entity, sum(({y} - ({pred})) * ({y} - ({pred}))) AS s, count(*) AS n FROM {src} JOIN {model} USING ({by}) GROUP BY {by}, entity) GROUP BY {by}"""
 
 
+def boosted_sql(xs: list[str], n_trees: int, depth: int, n_bins: int, min_leaf: int, rate: float, src: str = "li", by: str = "unit", y: str = "y", carry: str = "entity") -> str:
+    """Boosted regression trees in SQL: a chain of tables, one per level of each tree, ending in ``done``.
+
+    ``b`` holds the bins of all rows; the labels are whole steps, as in the operator.
+    """
+    long = " UNION ALL ".join(f"SELECT {by}, {i} AS f, CAST({x} AS DOUBLE) AS v FROM tr" for i, x in enumerate(xs))
+    bins = ", ".join(
+        f"(SELECT count(*) FROM edges e WHERE e.{by} = s.{by} AND e.f = {i} AND e.v < s.{x}) AS x{i}" for i, x in enumerate(xs)
+    )
+    ctes = [
+        f"tr AS (SELECT * FROM {src} WHERE NOT is_test AND {y} IS NOT NULL)",
+        f"vc AS MATERIALIZED (SELECT {by}, f, v, count(*) AS c FROM ({long}) WHERE v IS NOT NULL GROUP BY ALL)",
+        f"""edges AS MATERIALIZED (SELECT {by}, f, v FROM (SELECT *, sum(c) OVER (PARTITION BY {by}, f ORDER BY v) AS hi,
+          sum(c) OVER (PARTITION BY {by}, f) AS n, max(v) OVER (PARTITION BY {by}, f) AS top FROM vc)
+          WHERE floor(hi * {n_bins} / n) > floor((hi - c) * {n_bins} / n) AND v < top)""",
+        f"""base AS MATERIALIZED (SELECT {by}, mid, coalesce(nullif(greatest(hi - mid, mid - lo) / 1048576, 0), 1.0) AS step FROM
+          (SELECT {by}, floor(avg({y}) * 1000000.0 + 0.5) / 1000000.0 AS mid, min({y}) AS lo, max({y}) AS hi FROM tr GROUP BY {by}))""",
+        f"""b0 AS MATERIALIZED (SELECT s.{by}, {carry}, is_test, {y} AS y, mid, step, CAST(floor(({y} - mid) / step + 0.5) AS BIGINT) AS q,
+          CAST(0 AS BIGINT) AS score, 0 AS node, {bins} FROM {src} s JOIN base USING ({by}))""",
+    ]
+    now = "b0"
+    for t in range(n_trees):
+        for level in range(depth):
+            k = f"t{t}l{level}"
+            hist = " UNION ALL ".join(
+                f"SELECT {by}, node, {i} AS f, x{i} AS bin, sum(q - score) AS g, count(*) AS n FROM {now} WHERE NOT is_test AND node >= {2**level - 1} GROUP BY {by}, node, x{i}"
+                for i in range(len(xs))
+            )
+            left = f"(PARTITION BY {by}, node, f ORDER BY bin)"
+            whole = f"(PARTITION BY {by}, node, f)"
+            ctes.append(f"""{k} AS MATERIALIZED (SELECT *, CAST(floor({rate} * gl / nl + 0.5) AS BIGINT) AS vl, CAST(floor({rate} * (gt - gl) / (nt - nl) + 0.5) AS BIGINT) AS vr FROM (
+              SELECT *, gl::DOUBLE * gl::DOUBLE / nl + (gt - gl)::DOUBLE * (gt - gl)::DOUBLE / (nt - nl) - gt::DOUBLE * gt::DOUBLE / nt AS gain FROM (
+                SELECT {by}, node, f, bin, sum(g) OVER {left} AS gl, sum(n) OVER {left} AS nl, sum(g) OVER {whole} AS gt, sum(n) OVER {whole} AS nt FROM ({hist}))
+              WHERE nl >= {min_leaf} AND nt - nl >= {min_leaf}) WHERE gain > 0
+              QUALIFY row_number() OVER (PARTITION BY {by}, node ORDER BY gain DESC, f, bin) = 1)""")
+            # the value of the node reached so far travels in the row until the tree is finished
+            x = "CASE s.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(xs))) + " END"
+            root = f"(SELECT CAST(floor({rate} * sum(q - score) / count(*) + 0.5) AS BIGINT) FROM {now} z WHERE NOT z.is_test AND z.{by} = d.{by})" if level == 0 else "d.val"
+            cols = "".join(f", d.x{i}" for i in range(len(xs)))
+            ctes.append(f"""n{k} AS MATERIALIZED (SELECT d.{by}, d.{carry}, d.is_test, d.y, d.mid, d.step, d.q, d.score{cols},
+              CASE WHEN s.f IS NULL THEN d.node ELSE 2 * d.node + 1 + CASE WHEN {x} > s.bin THEN 1 ELSE 0 END END AS node,
+              CASE WHEN s.f IS NULL THEN {root} WHEN {x} > s.bin THEN s.vr ELSE s.vl END AS val
+              FROM {now} d LEFT JOIN {k} s ON s.{by} = d.{by} AND s.node = d.node)""")
+            now = f"n{k}"
+        cols = "".join(f", x{i}" for i in range(len(xs)))
+        ctes.append(f"e{t} AS MATERIALIZED (SELECT {by}, {carry}, is_test, y, mid, step, q, score + val AS score, 0 AS node{cols} FROM {now})")
+        now = f"e{t}"
+    ctes.append(f"done AS (SELECT {by}, {carry}, is_test, y, mid + step * score AS pred FROM {now})")
+    return ", ".join(ctes)
+
+
 LIDH = " || '|' || ".join(LID)
 
 
@@ -87,6 +138,25 @@ def _(spark, sf):
     )
 
 
+def _boosted_view(view: str, xs: list[str]) -> str:
+    return f"""SELECT *, '{view}' AS view FROM (SELECT unit, sqrt(sum(s) / sum(n)) AS rmse_overall, avg(sqrt(s / n)) AS rmse_macro, count(*) AS n_entities FROM (
+      SELECT unit, entity, sum((y - pred) * (y - pred)) AS s, count(*) AS n FROM (WITH {boosted_sql(xs, 3, 3, 32, 20, 0.1, "f")} SELECT * FROM done WHERE is_test)
+      GROUP BY unit, entity) GROUP BY unit)"""
+
+
+@query(
+    "l7_evaluate_boosted",
+    f"""WITH {LI}, r AS (SELECT unit, min(x1) AS lo, max(x1) AS hi FROM li WHERE NOT is_test GROUP BY unit),
+    z AS (SELECT li.*, 2 * (x1 - lo) / (hi - lo) - 1 AS z FROM li JOIN r USING (unit)),
+    f AS MATERIALIZED (SELECT *, z - first_value(z) OVER ({LI_W}) AS zf FROM z)
+    {_boosted_view("raw", ["z"])} UNION ALL {_boosted_view("srl", ["z", "zf"])}""",
+    "rmse_overall rmse_macro",
+)
+def _(spark, sf):
+    few = boosting.Params(n_trees=3, depth=3)
+    return evaluate.evaluate_boosted(lines(spark, sf), ["unit"], "entity", LI_ORDER, ["x1"], "y", ["raw", "srl"], few)
+
+
 @query("l7_evaluate_history")
 def _(spark, sf):
     return evaluate.evaluate_linear(
@@ -391,61 +461,8 @@ def _backbone(spark, sf, name):
     return models.per_unit(lines(spark, sf), "unit", run)
 
 
-def boosted_sql(xs: list[str], n_trees: int, depth: int, n_bins: int, min_leaf: int, rate: float, src: str = "li", by: str = "unit", y: str = "y") -> str:
-    """Boosted regression trees in SQL: a chain of tables, one per level of each tree, ending in ``done``.
-
-    ``b`` holds the bins of all rows; the labels are whole steps, as in the operator.
-    """
-    long = " UNION ALL ".join(f"SELECT {by}, {i} AS f, CAST({x} AS DOUBLE) AS v FROM tr" for i, x in enumerate(xs))
-    bins = ", ".join(
-        f"(SELECT count(*) FROM edges e WHERE e.{by} = s.{by} AND e.f = {i} AND e.v < s.{x}) AS x{i}" for i, x in enumerate(xs)
-    )
-    ctes = [
-        f"tr AS (SELECT * FROM {src} WHERE NOT is_test AND {y} IS NOT NULL)",
-        f"vc AS MATERIALIZED (SELECT {by}, f, v, count(*) AS c FROM ({long}) WHERE v IS NOT NULL GROUP BY ALL)",
-        f"""edges AS MATERIALIZED (SELECT {by}, f, v FROM (SELECT *, sum(c) OVER (PARTITION BY {by}, f ORDER BY v) AS hi,
-          sum(c) OVER (PARTITION BY {by}, f) AS n, max(v) OVER (PARTITION BY {by}, f) AS top FROM vc)
-          WHERE floor(hi * {n_bins} / n) > floor((hi - c) * {n_bins} / n) AND v < top)""",
-        f"""base AS MATERIALIZED (SELECT {by}, mid, coalesce(nullif(greatest(hi - mid, mid - lo) / 1048576, 0), 1.0) AS step FROM
-          (SELECT {by}, floor(avg({y}) * 1000000.0 + 0.5) / 1000000.0 AS mid, min({y}) AS lo, max({y}) AS hi FROM tr GROUP BY {by}))""",
-        f"""b0 AS MATERIALIZED (SELECT s.{by}, is_test, {y} AS y, mid, step, CAST(floor(({y} - mid) / step + 0.5) AS BIGINT) AS q,
-          CAST(0 AS BIGINT) AS score, 0 AS node, {bins} FROM {src} s JOIN base USING ({by}))""",
-    ]
-    now = "b0"
-    for t in range(n_trees):
-        for level in range(depth):
-            k = f"t{t}l{level}"
-            hist = " UNION ALL ".join(
-                f"SELECT {by}, node, {i} AS f, x{i} AS bin, sum(q - score) AS g, count(*) AS n FROM {now} WHERE NOT is_test AND node >= {2**level - 1} GROUP BY {by}, node, x{i}"
-                for i in range(len(xs))
-            )
-            left = f"(PARTITION BY {by}, node, f ORDER BY bin)"
-            whole = f"(PARTITION BY {by}, node, f)"
-            ctes.append(f"""{k} AS MATERIALIZED (SELECT *, CAST(floor({rate} * gl / nl + 0.5) AS BIGINT) AS vl, CAST(floor({rate} * (gt - gl) / (nt - nl) + 0.5) AS BIGINT) AS vr FROM (
-              SELECT *, gl::DOUBLE * gl::DOUBLE / nl + (gt - gl)::DOUBLE * (gt - gl)::DOUBLE / (nt - nl) - gt::DOUBLE * gt::DOUBLE / nt AS gain FROM (
-                SELECT {by}, node, f, bin, sum(g) OVER {left} AS gl, sum(n) OVER {left} AS nl, sum(g) OVER {whole} AS gt, sum(n) OVER {whole} AS nt FROM ({hist}))
-              WHERE nl >= {min_leaf} AND nt - nl >= {min_leaf}) WHERE gain > 0
-              QUALIFY row_number() OVER (PARTITION BY {by}, node ORDER BY gain DESC, f, bin) = 1)""")
-            # the value of the node reached so far travels in the row until the tree is finished
-            x = "CASE s.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(xs))) + " END"
-            root = f"(SELECT CAST(floor({rate} * sum(q - score) / count(*) + 0.5) AS BIGINT) FROM {now} z WHERE NOT z.is_test AND z.{by} = d.{by})" if level == 0 else "d.val"
-            cols = "".join(f", d.x{i}" for i in range(len(xs)))
-            ctes.append(f"""n{k} AS MATERIALIZED (SELECT d.{by}, d.is_test, d.y, d.mid, d.step, d.q, d.score{cols},
-              CASE WHEN s.f IS NULL THEN d.node ELSE 2 * d.node + 1 + CASE WHEN {x} > s.bin THEN 1 ELSE 0 END END AS node,
-              CASE WHEN s.f IS NULL THEN {root} WHEN {x} > s.bin THEN s.vr ELSE s.vl END AS val
-              FROM {now} d LEFT JOIN {k} s ON s.{by} = d.{by} AND s.node = d.node)""")
-            now = f"n{k}"
-        cols = "".join(f", x{i}" for i in range(len(xs)))
-        ctes.append(f"e{t} AS MATERIALIZED (SELECT {by}, is_test, y, mid, step, q, score + val AS score, 0 AS node{cols} FROM {now})")
-        now = f"e{t}"
-    ctes.append(f"done AS (SELECT {by}, is_test, y, mid + step * score AS pred FROM {now})")
-    return ", ".join(ctes)
-
-
 def _boosted(spark, sf, params):
-    d = lines(spark, sf)
-    fitted = boosting.fit(d.filter(~F.col("is_test")), ["unit"], LI_X, "y", params)
-    return models.pooled_rmse(boosting.predict(d.filter("is_test"), fitted, ["unit"]), ["unit"], "y", "pred")
+    return models.pooled_rmse(models.fit_predict_units(lines(spark, sf), ["unit"], LI_X, "y", params), ["unit"], "y", "pred")
 
 
 @query(
@@ -472,8 +489,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = doc_features(spark, sf).withColumn("is_test", F.col("doc_id") % 4 == 0)
     few = boosting.Params(n_trees=10, depth=3)
-    fitted = boosting.fit(d.filter(~F.col("is_test")), [], ["x1", "x2", "x3"], "y", few, classify=True)
-    got = boosting.predict(d.filter("is_test"), fitted, [], proba="proba")
+    got = models.fit_predict_units(d, [], ["x1", "x2", "x3"], "y", few, classify=True)
     return got.select("doc_id", "y", F.col("pred").cast("int").alias("pred"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclograin.functions import delta_pct, rmse
-from cyclograin.operators import inference, linear, metrics, normalize, sampling, windows
+from cyclograin.operators import boosting, inference, linear, metrics, normalize, sampling, windows
 from cyclograin.operators.attach import attach, key_join, settled
 from cyclograin.operators.ordered import Ordered, first, ordinal, total
 
@@ -89,6 +89,39 @@ def evaluate_linear(
     return linear.score(held, models, [*unit, "seed", "view"], unit)
 
 
+def evaluate_boosted(
+    df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], xs: Sequence[str], y: str,
+    views: Sequence[str], params: boosting.Params = boosting.Params(), normalise: str = "source", is_test: str = "is_test",
+) -> DataFrame:
+    """The boosted arm: per view one model for every unit, all units together; overall and entity-macro error.
+
+    Features are built once for all views and written; the models read the columns of their view.
+    """
+    keys = [*unit, entity]
+    d = df.select(*keys, is_test, *dict.fromkeys([*order, *xs, y]))
+    if normalise == "source":
+        d = normalize.source_minmax(d, unit, xs, is_test)
+    elif normalise == "entity":
+        d = normalize.entity_minmax(d, keys, order, xs)
+    elif normalise != "none":
+        raise ValueError(f"unknown normalisation {normalise!r}")
+    families = [f for f in (*windows.FAMILIES, "from_early") if any(f in windows.VIEWS[v] for v in views)]
+    d = settled(windows.history_features(d, keys, order, xs, families) if families else d)
+    out = None
+    for view in views:
+        cols = windows.view_columns(view, xs)
+        source, held = d.filter(~F.col(is_test)), d.filter(F.col(is_test))
+        got = boosting.predict(held, boosting.fit(source, unit, cols, y, params), unit)
+        square = (F.col(y) - F.col("pred")) * (F.col(y) - F.col("pred"))
+        per = got.groupBy(*keys).agg(F.sum(square).alias("__s"), F.count(square).alias("__n")).filter(F.col("__n") > 0)
+        one = per.groupBy(*unit).agg(
+            F.sqrt(F.sum("__s") / F.sum("__n")).alias("rmse_overall"), F.avg(F.sqrt(F.col("__s") / F.col("__n"))).alias("rmse_macro"),
+            F.count(F.lit(1)).alias("n_entities"),
+        ).withColumn("view", F.lit(view))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def context_ladder(
     df: DataFrame, unit: Sequence[str], entity: str, order: Sequence[str], ids: Sequence[str], xs: Sequence[str],
     y: str, samplers: dict[str, tuple[str, int]], alpha: float = 1.0, seed: int = 0, is_test: str = "is_test",
