@@ -14,9 +14,9 @@ from cyclograin.functions.stats import (
     signed_rank_p_col,
 )
 from cyclograin.operators.attach import attach, key_join, settled
-from cyclograin.operators.ordered import Ordered, ordinal, total
-from cyclograin.operators.ranks import quantiles, top_n, with_average_rank
-from cyclograin.operators.sampling import bootstrap_draws
+from cyclograin.operators.ordered import Ordered, ordinal, running_sum, total
+from cyclograin.operators.ranks import complement_quantiles, quantiles, top_n, with_average_rank
+from cyclograin.operators.sampling import bootstrap_sums
 
 # an interpolated grid point may sit one rounding step beside the value it stands for
 GRID_TOLERANCE = 1e-9
@@ -100,11 +100,12 @@ def indexed(items: DataFrame, group: Sequence[str], order: Sequence[str]) -> Dat
 def bootstrap_means(
     items: DataFrame, group: Sequence[str], order: Sequence[str], value: str, n_boot: int, seed: int = 0
 ) -> DataFrame:
-    """Mean of each bootstrap replicate: one row per (group, b)."""
-    numbered = settled(indexed(items.select(*group, *order, value), group, order))
-    draws = bootstrap_draws(numbered, group, "slot", "size", n_boot, seed)
-    lookup = numbered.select(*group, F.col("slot").alias("pick"), value)
-    return attach(draws, lookup, [*group, "pick"]).groupBy(*group, "b").agg(F.avg(value).alias("mean"))
+    """Mean of each bootstrap replicate: one row per (group, b), in one pass over the items.
+
+    Weights are Poisson, so a replicate's size varies about the group's; one that takes no row has no mean.
+    """
+    sums = bootstrap_sums(items, group, order, value, n_boot, seed)
+    return sums.select(*group, "b", F.try_divide("total", "weight").alias("mean"))
 
 
 def bootstrap_interval(
@@ -165,6 +166,15 @@ def randomisation_p(observed: DataFrame, null: DataFrame, by: Sequence[str], sta
     return out.withColumn("p", (F.col("n_le") + 1.0) / (F.col("n_draws") + 1.0))
 
 
+def _grid(found: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    return found.select(*by, F.array_sort(F.array_distinct(F.array(*measures))).alias("__grid"))
+
+
+def _slot(stat: str) -> Column:
+    """Grid points below the row's statistic."""
+    return F.size(F.filter("__grid", lambda g: F.col(stat) - g > GRID_TOLERANCE))
+
+
 def gate_trace(
     cal: DataFrame, by: Sequence[str], stat: str, harm: str, alpha: float = 0.1, risk: float = 0.1, n_grid: int = 30
 ) -> DataFrame:
@@ -174,14 +184,15 @@ def gate_trace(
     the cumulative counts run over at most ``n_grid`` rows per group.
     """
     measures = {f"__q{i:03d}": (stat, i / (n_grid - 1)) for i in range(n_grid)}
-    grid = quantiles(cal, by, measures).select(
-        *by, F.array_sort(F.array_distinct(F.array(*measures))).alias("__grid")
-    )
-    d = attach(cal, grid, by)
-    slot = F.size(F.filter("__grid", lambda g: F.col(stat) - g > GRID_TOLERANCE))
-    cells = d.withColumn("__slot", slot).groupBy(*by, "__slot").agg(
+    grid = _grid(quantiles(cal, by, measures), by, list(measures))
+    cells = attach(cal, grid, by).withColumn("__slot", _slot(stat)).groupBy(*by, "__slot").agg(
         F.count(F.lit(1)).alias("__c"), F.sum(F.col(harm).cast("int")).alias("__h")
     )
+    return _accepted(grid, cells, by, alpha, risk)
+
+
+def _accepted(grid: DataFrame, cells: DataFrame, by: Sequence[str], alpha: float, risk: float) -> DataFrame:
+    """The trace from the grid of each group and the rows and harms of its cells."""
     points = grid.select(*by, F.posexplode("__grid").alias("__slot", "lam"))
     w = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
     t = key_join(points, cells, [*by, "__slot"], "left").withColumns(
@@ -200,26 +211,52 @@ def gate_calibrate(
     cal: DataFrame, by: Sequence[str], stat: str, harm: str, alpha: float = 0.1, risk: float = 0.1, n_grid: int = 30
 ) -> DataFrame:
     """Largest threshold accepted before the first failure; -infinity when there is none."""
-    t = gate_trace(cal, by, stat, harm, alpha, risk, n_grid)
+    return _largest_accepted(gate_trace(cal, by, stat, harm, alpha, risk, n_grid), by)
+
+
+def _largest_accepted(t: DataFrame, by: Sequence[str]) -> DataFrame:
     best = F.max(F.when(F.col("reached"), F.col("lam")))
     return t.groupBy(*by).agg(F.coalesce(best, F.lit(float("-inf"))).alias("lam_star"))
 
 
+def _covered(values: DataFrame, points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows and harms at or below each grid point (with the grid's tolerance): one scan of values and points."""
+    keys = list(by) or ["__all"]
+    if not by:
+        values, points = values.withColumn("__all", F.lit(0)), points.withColumn("__all", F.lit(0))
+    none = F.lit(None).cast("double")
+    # a value counts for a point up to the tolerance above it; values stand before points at equal places
+    v = values.select(*keys, F.col("__v").alias("__at"), F.lit(0).alias("__kind"), none.alias("__g"), "__c", "__h")
+    zero = F.lit(0).cast("bigint")
+    p = points.select(*keys, (F.col("__g") + GRID_TOLERANCE).alias("__at"), F.lit(1).alias("__kind"), "__g", zero.alias("__c"), zero.alias("__h"))
+    d = Ordered(v.unionByName(p), keys, ["__at", "__kind"]).with_scans(__n=running_sum("__c"), __bad=running_sum("__h"))
+    return d.filter("__kind = 1").select(*by, "__g", "__n", "__bad")
+
+
 def gate_policies(
     cells: DataFrame, unit: str, stat: str, none: str, projected: str, direction: str = "le",
     alpha: float = 0.1, risk: float = 0.1, n_grid: int = 30,
 ) -> DataFrame:
     """Never / always / gated unit means with thresholds calibrated on all other units.
 
-    ``cells`` has one row per entity; it is copied once per other unit (units are few).
+    ``cells`` has one row per entity and is never copied per unit. The grids of all complements come from
+    counted values. Every distinct (unit, statistic, harm) is counted once; a complement's cells are the overall
+    counts in its grid less the unit's own, both found by placing distinct grid points among distinct values.
     """
     sign = 1.0 if direction == "le" else -1.0
     d = cells.withColumns({"__v": F.col(stat) * sign, "__harm": F.col(projected) > F.col(none)})
-    units = d.agg(F.array_sort(F.collect_set(unit)).alias("__units"))
-    cal = d.crossJoin(F.broadcast(units)).withColumn(
-        "__target", F.explode(F.filter("__units", lambda u: u != F.col(unit)))
-    )
-    lam = gate_calibrate(cal, ["__target"], "__v", "__harm", alpha, risk, n_grid)
+    measures = {f"__q{i:03d}": ("__v", i / (n_grid - 1)) for i in range(n_grid)}
+    grid = settled(_grid(complement_quantiles(d, unit, measures), [unit], list(measures)))
+    points = grid.select(unit, F.posexplode("__grid").alias("__slot", "__g"))
+    seen = settled(d.filter(F.col("__v").isNotNull()).groupBy(unit, "__v").agg(F.count(F.lit(1)).alias("__c"), F.sum(F.col("__harm").cast("int")).alias("__h")))
+    overall = _covered(seen.groupBy("__v").agg(F.sum("__c").alias("__c"), F.sum("__h").alias("__h")), points.select("__g").distinct(), [])
+    own = _covered(seen, points.select(unit, "__g"), [unit])
+    both = key_join(key_join(points, overall, ["__g"]), own.withColumnsRenamed({"__n": "__n_own", "__bad": "__bad_own"}), [unit, "__g"])
+    # rows up to each point, as differences between successive points
+    w = Window.partitionBy(unit).orderBy("__slot")
+    both = both.withColumns({"__n": F.col("__n") - F.col("__n_own"), "__bad": F.col("__bad") - F.col("__bad_own")})
+    counted = both.select(unit, "__slot", (F.col("__n") - F.coalesce(F.lag("__n").over(w), F.lit(0))).alias("__c"), (F.col("__bad") - F.coalesce(F.lag("__bad").over(w), F.lit(0))).alias("__h"))
+    lam = _largest_accepted(_accepted(grid, counted, [unit], alpha, risk), [unit]).withColumnRenamed(unit, "__target")
     d = attach(d, lam.withColumnRenamed("__target", unit), [unit])
     apply_it = F.col("__v") - F.col("lam_star") <= GRID_TOLERANCE
     return d.groupBy(unit).agg(

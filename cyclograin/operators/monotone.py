@@ -43,14 +43,20 @@ def pool_blocks(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit_decreasing(y: np.ndarray) -> np.ndarray:
-    if len(y) == 0:
-        return y
-    start, s, n = pool_blocks(y, np.ones(len(y)))
-    return np.repeat(s / n, n.astype(int))
+    """The fit over the known values; unknown ones stay unknown and separate nothing."""
+    known = ~np.isnan(y)
+    out = np.full(len(y), np.nan)
+    if known.any():
+        _, s, n = pool_blocks(y[known], np.ones(int(known.sum())))
+        out[known] = np.repeat(s / n, n.astype(int))
+    return out
 
 
 class CausalFit:
-    """Last value of the fit of every prefix; the block stack is all that is remembered."""
+    """Last value of the fit of every prefix; the block stack is all that is remembered.
+
+    Unknown values stay unknown and change nothing.
+    """
 
     def __init__(self) -> None:
         self.sums: list[float] = []
@@ -59,6 +65,9 @@ class CausalFit:
     def extend(self, y: np.ndarray) -> np.ndarray:
         s, n, out = self.sums, self.counts, np.empty(len(y))
         for i, v in enumerate(y.tolist()):
+            if v != v:
+                out[i] = v
+                continue
             cs, cn = v, 1.0
             while s and s[-1] * cn < cs * n[-1]:
                 cs += s.pop()
@@ -118,7 +127,7 @@ def _whole_series(df: DataFrame, keys, order, y: str, out: str, fit) -> DataFram
 def isotonic(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], y: str, out: str, max_rows: int | None = None
 ) -> DataFrame:
-    """Non-increasing isotonic regression of every trajectory (offline).
+    """Non-increasing isotonic regression of every trajectory (offline); rows without a label stay without a fit.
 
     Pass only the columns you need: rows cross into Python once.
     """
@@ -134,7 +143,7 @@ def isotonic(
 def _isotonic_in_rounds(scan: Ordered, y: str, out: str, max_rows: int) -> DataFrame:
     keys = scan.keys
     rows = settled(scan.with_scans(__pos=ordinal()))
-    blocks = rows.select(
+    blocks = rows.filter(F.col(y).isNotNull()).select(
         *keys, F.col("__pos").cast("bigint").alias("__start"), F.col(y).alias("__sum"), F.lit(1.0).alias("__n")
     )
     schema = blocks.schema
@@ -166,7 +175,7 @@ def _isotonic_in_rounds(scan: Ordered, y: str, out: str, max_rows: int) -> DataF
     )
     placed = key_join(rows, means, [*keys, "__pos"], "left")
     fitted = Ordered(placed, keys, ["__pos"], max_rows).with_scans(**{out: last_valid("__mean")})
-    return fitted.drop("__pos", "__mean")
+    return fitted.withColumn(out, F.when(F.col(y).isNotNull(), F.col(out))).drop("__pos", "__mean")
 
 
 def causal_isotonic(
@@ -174,6 +183,8 @@ def causal_isotonic(
 ) -> DataFrame:
     """Last value of the non-increasing fit of every prefix (online): min over j of mean(y_j..y_t).
 
+    Rows without a label get none and change nothing.
+
     Rows stream through in order; between batches only the block stack of the open series
     is kept, never its rows. A series above ``max_rows`` is worked off in steps instead: each
     step reads one slice of its rows and the top slice of its block stack.
@@ -216,7 +227,8 @@ def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) ->
     next slice below, so neither rows nor stack are ever held whole.
     """
     keys = list(keys)
-    rows = Ordered(df, keys, order, size).with_scans(__pos=ordinal())
+    unknown = df.filter(F.col(y).isNull()).withColumn(out, F.lit(None).cast("double"))
+    rows = Ordered(df.filter(F.col(y).isNotNull()), keys, order, size).with_scans(__pos=ordinal())
     rows = settled(rows.withColumns({"__pos": F.col("__pos").cast("bigint"), "__part": F.floor(F.col("__pos") / size)}))
     zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
     state = settled(
@@ -287,8 +299,10 @@ def _causal_in_steps(df: DataFrame, keys, order, y: str, out: str, size: int) ->
                 F.coalesce("__n", "pend_n").alias("pend_n"), F.coalesce("__t", "top").alias("top"),
             )
         )
+    if not values:
+        return unknown
     fitted = reduce(DataFrame.unionByName, values)
-    return key_join(rows, fitted, [*keys, "__pos"]).select(*df.columns, out)
+    return key_join(rows, fitted, [*keys, "__pos"]).select(*df.columns, out).unionByName(unknown)
 
 
 def smooth_isotonic(df, keys, order, y: str, out: str, max_rows: int | None = None) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclograin.functions import hash_key
+from cyclograin.operators.attach import key_join, settled
 from cyclograin.operators.ordered import (
     MAX_ROWS_PER_TASK,
     Ordered,
     Scan,
     has_hot_key,
-    key_join,
+    last_valid,
     ordinal,
     running_sum,
     total,
@@ -139,3 +140,59 @@ def top_n(
     """First ``n`` rows per group; a fixed ``n`` lets Spark cut each map task to ``n`` rows."""
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+def complement_quantiles(df: DataFrame, unit: str, measures: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact linear-interpolation quantiles over the rows of all *other* units, for every unit.
+
+    ``measures`` is {output: (column, q)}. Rows are never copied per unit: values are counted per unit and
+    overall, and the wanted place among the others is where (rows at or below a value overall) less (those of
+    the unit) passes it. Between two values of the unit that difference follows the overall counts, so a
+    unit meets only its own distinct values and, per output, two rows looked up in one scan of all values.
+    NULL is a unit like any other; units whose complement is empty get NULL.
+    """
+    units = df.select(unit).distinct()
+    out = units
+    by_column: dict[str, dict[str, float]] = {}
+    for name, (c, q) in measures.items():
+        by_column.setdefault(c, {})[name] = q
+    for c, wanted in by_column.items():
+        out = key_join(out, _complement(df.select(unit, F.col(c).cast("double").alias("__v")), units, unit, wanted), [unit], "left")
+    return out
+
+
+def _complement(df: DataFrame, units: DataFrame, unit: str, wanted: dict[str, float]) -> DataFrame:
+    own = settled(value_counts(df, [unit], "__v"))
+    overall = own.groupBy("__v").agg(F.sum("__cnt").alias("__cnt")).withColumn("__all", F.lit(0))
+    # rows up to and including each value, overall and within the unit
+    up = settled(Ordered(overall, ["__all"], ["__v"]).with_scans(__hi=running_sum("__cnt")).drop("__all"))
+    mine = Ordered(own, [unit], ["__v"]).with_scans(__own=running_sum("__cnt")).select(unit, "__v", "__own")
+    sizes = key_join(units, own.groupBy(unit).agg(F.sum("__cnt").alias("__n_own")), [unit], "left")
+    sizes = sizes.crossJoin(F.broadcast(up.agg(F.max("__hi").alias("__n_all"))))
+    n = F.col("__n_all") - F.coalesce("__n_own", F.lit(0))
+    place = {k: F.lit(float(q)) * (n - 1) for k, q in wanted.items()}
+    places = [f(v).cast("bigint") for v in place.values() for f in (F.floor, F.ceil)]
+    sizes = settled(sizes.filter(n > 0).select(unit, F.array(*place.values()).alias("__p"), F.array(*places).alias("__k")))
+    # a unit's values that the place among the others passes by: its last one tells how many rows of the
+    # unit stand before the wanted row, hence that row's place overall
+    others = F.col("__hi") - F.col("__own")
+    d = key_join(key_join(mine, up.select("__v", "__hi"), ["__v"]), sizes.select(unit, "__k"), [unit])
+    passed = d.groupBy(unit).agg(F.array(*[F.max(F.when(others <= F.col("__k")[i], F.col("__own"))) for i in range(len(places))]).alias("__before"))
+    ranked = key_join(sizes, passed, [unit], "left").withColumn(
+        "__rank", F.transform("__k", lambda k, i: k + F.coalesce(F.col("__before")[i], F.lit(0)))
+    )
+    ranked = settled(ranked.select(unit, "__p", "__rank"))
+    ranks = ranked.select(F.explode("__rank").alias("__rank")).distinct()
+    steps = up.select(F.lit(0).alias("__all"), (F.col("__hi") - F.col("__cnt")).alias("__pos"), F.lit(0).alias("__kind"), "__v")
+    asked = ranks.select(F.lit(0).alias("__all"), F.col("__rank").alias("__pos"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__v"))
+    found = Ordered(steps.unionByName(asked), ["__all"], ["__pos", "__kind"]).with_scans(__x=last_valid("__v"))
+    found = found.filter("__kind = 1").select(F.col("__pos").alias("__rank"), "__x")
+    each = ranked.select(unit, "__p", F.posexplode("__rank").alias("__i", "__rank"))
+    values = key_join(each, found, ["__rank"]).groupBy(unit).agg(
+        F.max("__p").alias("__p"), *[F.max(F.when(F.col("__i") == i, F.col("__x"))).alias(f"__x{i}") for i in range(len(places))]
+    )
+    out = {}
+    for i, k in enumerate(wanted):
+        lo, hi = F.col(f"__x{2 * i}"), F.col(f"__x{2 * i + 1}")
+        out[k] = lo + (hi - lo) * (F.col("__p")[i] - F.floor(F.col("__p")[i]))
+    return values.select(unit, *[v.alias(k) for k, v in out.items()])

@@ -240,6 +240,46 @@ def group_kfold(
     return attach(df, placed.select(*unit, entity, (F.col("__r") % k).cast("int").alias(out)), [*unit, entity])
 
 
+#: the prime modulus of the hashed weights
+PRIME = 2_147_483_647
+
+
+def poisson_thresholds(limit: int = 12) -> list[int]:
+    """Values of a uniform draw below :data:`PRIME` at which the Poisson(1) weight rises to 1, 2, ..., ``limit``."""
+    out, p, total = [], math.exp(-1.0), 0.0
+    for k in range(limit):
+        total += p
+        out.append(math.floor(total * PRIME))
+        p /= k + 1
+    return out
+
+
+def poisson_weight(x: Column, b: Column) -> Column:
+    """How often replicate ``b`` takes the row with hash ``x`` (below :data:`PRIME`).
+
+    The row is hashed once; a replicate costs a linear and a quadratic step in 64-bit arithmetic.
+    """
+    line = (((b * 1_103_515_245 + 12_345) % (PRIME - 1) + 1) * x + (b * 214_013 + 2_531_011) % PRIME) % PRIME
+    draw = (line * line + x) % PRIME
+    return sum((draw >= t).cast("int") for t in poisson_thresholds())
+
+
+def bootstrap_sums(
+    items: DataFrame, group: Sequence[str], ids: Sequence[str], value: str, n_boot: int, seed: int = 0
+) -> DataFrame:
+    """``group, b, weight, total``: Poisson bootstrap in one pass over the rows.
+
+    Every row has an independent Poisson(1) weight in every replicate, so nothing is numbered, looked up or
+    gathered: tasks add up their rows per replicate and the exchange moves one row per group, replicate and
+    task. Rows without a value count nowhere.
+    """
+    x = (hash_key(seed, "poisson", *group, *ids) % PRIME).alias("__x")
+    d = items.filter(F.col(value).isNotNull()).select(*group, x, F.col(value).cast("double").alias("__v"))
+    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    d = d.withColumn("__w", poisson_weight(F.col("__x"), F.col("b").cast("long")))
+    return d.groupBy(*group, "b").agg(F.sum("__w").alias("weight"), F.sum(F.col("__w") * F.col("__v")).alias("total"))
+
+
 def bootstrap_draws(
     items: DataFrame, group: Sequence[str], index: str, size: str, n_boot: int, seed: int = 0
 ) -> DataFrame:

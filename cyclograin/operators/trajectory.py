@@ -11,7 +11,7 @@ from cyclograin.functions import rmse
 from cyclograin.operators import ordered as o
 from cyclograin.operators.attach import key_join
 from cyclograin.operators.ordered import Ordered
-from cyclograin.operators.ranks import quantiles, top_n, with_average_rank
+from cyclograin.operators.ranks import complement_quantiles, quantiles, top_n, with_average_rank
 
 
 def with_steps(
@@ -60,17 +60,12 @@ def reference_roughness(df, unit: Sequence[str], keys, order, y: str, max_rows:
 def reference_roughness_elsewhere(df, unit: str, keys, order, y: str, max_rows: int | None = None) -> DataFrame:
     """Leave-one-unit-out reference: the median over the entities of all other units.
 
-    Works on one number per entity, copied once per other unit (units are few).
+    One number per entity; the medians of all complements come from counted values, without copies.
     """
     d = with_steps(df, keys, order, {"__d": y}, max_rows)
     per = d.groupBy(*keys).agg(F.stddev_pop("__d").alias("__r"), F.count(F.lit(1)).alias("__n"))
     per = per.filter(F.col("__n") > 2)
-    units = per.agg(F.array_sort(F.collect_set(unit)).alias("__units"))
-    spread = per.crossJoin(F.broadcast(units)).withColumn(
-        "__target", F.explode(F.filter("__units", lambda u: u != F.col(unit)))
-    )
-    out = quantiles(spread, ["__target"], {"reference": ("__r", 0.5)})
-    return out.withColumnRenamed("__target", unit)
+    return complement_quantiles(per, unit, {"reference": ("__r", 0.5)}).filter(F.col("reference").isNotNull())
 
 
 def entity_records(df, keys, order, y: str, pred: str, modes: dict[str, str], max_rows: int | None = None) -> DataFrame:

@@ -794,20 +794,36 @@ def _entity_diffs(spark, sf):
     return predictions(spark, sf).groupBy("unit", "entity").agg((rmse("y", "q") - rmse("y", "p")).alias("diff"))
 
 
+def _poisson_sql(src: str, group: str, key: str, value: str, n_boot: int, salt: str) -> str:
+    """Poisson bootstrap sums in SQL: table ``ps`` of group, b, weight and total."""
+    weight = " + ".join(f"CAST(h >= {t} AS INTEGER)" for t in sampling.poisson_thresholds())
+    p = sampling.PRIME
+    return f"""px AS (SELECT *, ('0x' || substr(md5({salt} || '|poisson|' || {key}), 1, 15))::BIGINT % {p} AS x FROM {src} WHERE {value} IS NOT NULL),
+  pl AS (SELECT *, (((CAST(b AS BIGINT) * 1103515245 + 12345) % {p - 1} + 1) * x + (CAST(b AS BIGINT) * 214013 + 2531011) % {p}) % {p} AS line FROM px, (SELECT unnest(range({n_boot})) AS b)),
+  pw AS (SELECT *, {weight} AS w FROM (SELECT *, (line * line + x) % {p} AS h FROM pl)),
+  ps AS (SELECT {group}, b, sum(w) AS weight, sum(w * {value}) AS total FROM pw GROUP BY {group}, b)"""
+
+
 @query(
     "t5_bootstrap_decision",
-    f"""{_ITEMS}, {_BOOT.format(seed=3)}, bm AS (SELECT unit, b, avg(diff) AS m FROM dr JOIN it ON dr.unit = it.unit AND dr.pick = it.slot GROUP BY dr.unit, b, it.unit),
-    ci AS (SELECT unit, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM bm GROUP BY unit)
+    f"""{_ITEMS}, {_poisson_sql("it", "unit", "unit || '|' || entity", "diff", 300, "'3'")},
+    ci AS (SELECT unit, quantile_cont(total / nullif(weight, 0), 0.025) AS ci_lo, quantile_cont(total / nullif(weight, 0), 0.975) AS ci_hi FROM ps GROUP BY unit)
     SELECT unit, avg(diff) AS mean_diff, count(*) AS n_entities, max(ci_lo) AS ci_lo, max(ci_hi) AS ci_hi,
-      CASE WHEN max(ci_hi) < 0 THEN 'history' WHEN max(ci_lo) > 0 THEN 'raw' ELSE 'abstain' END AS decision FROM it JOIN ci USING (unit) GROUP BY unit""".replace(
-        "SELECT unit, b, avg(diff)", "SELECT dr.unit, b, avg(diff)"
-    ),
+      CASE WHEN max(ci_hi) < 0 THEN 'history' WHEN max(ci_lo) > 0 THEN 'raw' ELSE 'abstain' END AS decision FROM it JOIN ci USING (unit) GROUP BY unit""",
     "mean_diff ci_lo ci_hi",
 )
 def _(spark, sf):
     return inference.bootstrap_decision(_entity_diffs(spark, sf), ["unit"], ["entity"], "diff", 300, 3)
 
 
+@query(
+    "r15_poisson_weights",
+    f"""{_ITEMS}, {_poisson_sql("it", "unit", "unit || '|' || entity", "diff", 300, "'3'")} SELECT unit, CAST(b AS INTEGER) AS b, CAST(weight AS BIGINT) AS weight FROM ps""",
+)
+def _(spark, sf):
+    return sampling.bootstrap_sums(_entity_diffs(spark, sf), ["unit"], ["entity"], "diff", 300, 3).drop("total")
+
+
 @query(
     "r15_bootstrap_draws",
     f"""{_ITEMS}, {_BOOT.format(seed=3)} SELECT unit, CAST(pick AS INTEGER) AS pick, count(*) AS n FROM dr GROUP BY ALL""",
@@ -820,9 +836,9 @@ def _(spark, sf):
 
 @query(
     "t6_relative_bootstrap",
-    f"""WITH {RUNS}, it AS (SELECT unit, arm, rmse, row_number() OVER (PARTITION BY unit, arm ORDER BY seed) - 1 AS slot, count(*) OVER (PARTITION BY unit, arm) AS size FROM runs WHERE arm IN ('click', 'view')),
-    dr AS (SELECT unit, arm, b, ('0x' || substr(md5(CASE arm WHEN 'click' THEN '7' ELSE '8' END || '|boot|' || unit || '|' || b || '|' || slot), 1, 15))::BIGINT % size AS pick FROM it, (SELECT unnest(range(500)) AS b)),
-    bm AS (SELECT dr.unit, dr.arm, b, avg(rmse) AS m FROM dr JOIN it ON dr.unit = it.unit AND dr.arm = it.arm AND dr.pick = it.slot GROUP BY dr.unit, dr.arm, b),
+    f"""WITH {RUNS}, it AS (SELECT * FROM runs WHERE arm IN ('click', 'view')),
+    {_poisson_sql("it", "unit, arm", "unit || '|' || seed", "rmse", 500, "CASE arm WHEN 'click' THEN '7' ELSE '8' END")},
+    bm AS (SELECT unit, arm, b, total / weight AS m FROM ps WHERE weight > 0),
     d AS (SELECT x.unit, (x.m - z.m) / z.m * 100 AS delta FROM bm x JOIN bm z ON x.unit = z.unit AND x.b = z.b WHERE x.arm = 'click' AND z.arm = 'view')
     SELECT unit, quantile_cont(delta, 0.025) AS ci_lo, quantile_cont(delta, 0.975) AS ci_hi FROM d GROUP BY unit""",
     "ci_lo ci_hi",

@@ -68,24 +68,32 @@ def fill_step(cols: Sequence[str], medians: dict[str, float] | None = None) -> t
 
 
 def smoothing_step(y: str, width: int = 5) -> tuple[Step, list[str]]:
-    """Running minimum, causal mean, minimum of means, and causal isotonic fit."""
+    """Running minimum, causal mean, minimum of means, and causal isotonic fit.
+
+    As in the batch operators an unknown value takes up its place in the mean's window but no more:
+    the running values go on unchanged, and the fit has none for its row.
+    """
+
+    def least(a, b):
+        return b if a is None else a if b is None else min(a, b)
 
     def step(state: dict, row: dict) -> dict:
-        v = float(row[y])
-        state["min"] = min(state.get("min", v), v)
+        v = float(row[y]) if _known(row[y]) else None
+        state["min"] = least(state.get("min"), v)
         state["tail"] = [*state.get("tail", []), v][-width:]
-        mean = sum(state["tail"]) / len(state["tail"])
-        state["minmean"] = min(state.get("minmean", mean), mean)
+        tail = [x for x in state["tail"] if x is not None]
+        mean = sum(tail) / len(tail) if tail else None
+        state["minmean"] = least(state.get("minmean"), mean)
         blocks = state.setdefault("blocks", [])
+        done = {f"{y}__cummin": state["min"], f"{y}__causal_mean": mean, f"{y}__causal_sm": state["minmean"], f"{y}__iso_causal": None}
+        if v is None:
+            return done
         s, n = v, 1
         while blocks and blocks[-1][0] * n < s * blocks[-1][1]:
             ps, pn = blocks.pop()
             s, n = s + ps, n + pn
         blocks.append([s, n])
-        return {
-            f"{y}__cummin": state["min"], f"{y}__causal_mean": mean, f"{y}__causal_sm": state["minmean"],
-            f"{y}__iso_causal": s / n,
-        }
+        return {**done, f"{y}__iso_causal": s / n}
 
     return step, [f"{y}__{m}" for m in ("cummin", "causal_mean", "causal_sm", "iso_causal")]
 
@@ -125,14 +133,14 @@ def stream_scan(
             state.remove()
             return
         pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, tie], kind="stable", na_position="first")
-        last, memory = (-(1 << 62), -(1 << 62)), {}
+        last, memory = (-(1 << 62) - 1, 0), {}
         if state.exists:
             ns, t, blob = state.get
             last, memory = (ns, t), json.loads(blob)
         made = []
         for row in pdf.to_dict("records"):
-            # a row without a time comes before all others, as in Spark's ascending order
-            at = (-(1 << 62) if pd.isna(row[ts]) else int(pd.Timestamp(row[ts]).value), int(row[tie]))
+            # a row without a time or tie-break comes before all others, as in Spark's ascending order
+            at = (-(1 << 62) if pd.isna(row[ts]) else int(pd.Timestamp(row[ts]).value), -(1 << 62) if pd.isna(row[tie]) else int(row[tie]))
             late = at <= last
             values = dict.fromkeys(outputs) if late else step(memory, row)
             if not late:
