@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cyclograin import sources, streaming
-from cyclograin.operators import boosting, filters, linear, models, neighbors, normalize, sampling, trajectory, windows
+from cyclograin.operators import boosting, filters, forest, linear, models, neighbors, normalize, sampling, trajectory, windows
 from cyclograin.operators.attach import settled
 from cyclograin.plans import evaluate
 from cyclograin.plans.bindings import (
@@ -594,6 +594,21 @@ def _(spark, sf):
     return vote.join(neighbors.knn_regress(q, p, 5, "label").withColumnRenamed("pred", "mean"), "id")
 
 
+@query(
+    "j8_forest_knn",
+    f"""WITH {LI} SELECT count(*) AS n_queries, true AS recall_reached, true AS below_a_tenth FROM li WHERE l_orderkey % 100 = 0""",
+)
+def _(spark, sf):
+    d = lines(spark, sf).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    d = settled(d.select("id", "l_orderkey", neighbors.as_vector(LI_X).alias("vec")))
+    q = d.filter("l_orderkey % 100 = 0")
+    index = forest.build(d, exclude="id", n_trees=6)
+    found = forest.search(index, q, 5, exclude="id", probes=1)
+    measured = forest.recall(found, neighbors.knn(q, d, 5, exclude="id")).crossJoin(forest.routed_share(index, q, exclude="id", probes=1))
+    n = q.agg(F.count(F.lit(1)).alias("n_queries"))
+    return n.crossJoin(measured).select("n_queries", (F.col("recall") >= 0.95).alias("recall_reached"), (F.col("share") < 0.1).alias("below_a_tenth"))
+
+
 @query(
     "l19_knn_locality",
     f"""WITH {EM}, f AS (SELECT *, (row_number() OVER (ORDER BY {_h("fold", "id")}, id) - 1) % 3 AS fold FROM em),
