@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cyclograin import sources, streaming
 from cyclograin.operators import boosting, filters, forest, linear, models, neighbors, normalize, sampling, trajectory, windows
 from cyclograin.operators.attach import settled
-from cyclograin.plans import evaluate
+from cyclograin.plans import evaluate, run_matrix
 from cyclograin.plans.bindings import (
     EV, EV_KEYS, EV_ORDER, EV_W, LI, LI_KEYS, LI_ORDER, LI_W, LI_X, PR,
     doc_features, events, lines, predictions, table,
@@ -511,6 +511,47 @@ def _(spark, sf):
     return out
 
 
+# resumable matrix --------------------------------------------------------------------------------
+@query(
+    "run_matrix_resume",
+    f"""WITH {LI}, tr AS (SELECT * FROM li WHERE NOT is_test AND unit < 'r2'), te AS (SELECT * FROM li WHERE is_test AND unit < 'r2'), {ridge2("md", "tr", "unit", "x1", "x4", "y", 1.0)},
+    mn AS (SELECT unit, avg(y) AS m, count(*) AS n FROM tr GROUP BY unit),
+    r AS (SELECT unit, 'mean' AS method, sqrt(avg((y - m) * (y - m))) AS rmse FROM te JOIN mn USING (unit) GROUP BY unit
+      UNION ALL SELECT unit, 'ridge', sqrt(avg((y - b0 - ba * x1 - bb * x4) * (y - b0 - ba * x1 - bb * x4))) FROM te JOIN md USING (unit) GROUP BY unit
+      UNION ALL SELECT unit, 'broken', NULL FROM mn)
+    SELECT unit AS dataset, method, CAST(seed AS INTEGER) AS seed, rmse, CASE WHEN method = 'broken' THEN NULL ELSE n END AS n_train, method = 'broken' AS failed, 6 AS first_rows, 0 AS added
+    FROM r JOIN mn USING (unit), (SELECT unnest([0, 1]) AS seed) WHERE method <> 'ridge' OR seed = 0""",
+    "rmse",
+)
+def _(spark, sf):
+    d = settled(lines(spark, sf))
+
+    def load(unit, seed, noise):
+        mine = d.filter(F.col("unit") == unit)
+        return run_matrix.Dataset("regression", mine.filter(~F.col("is_test")), mine.filter("is_test"), ["x1", "x4"])
+
+    def mean(data, seed):
+        return data.test.crossJoin(F.broadcast(data.train.agg(F.avg("y").alias("pred"))))
+
+    def ridge(data, seed):
+        return linear.predict(data.test, linear.fit(linear.moments(data.train, [], data.xs, "y")), [], data.xs)
+
+    def broken(data, seed):
+        raise RuntimeError("no such backbone")
+
+    path = sources.scratch_path(spark, "matrix")
+    # interrupted after seed 0 of some methods, then completed, then called again
+    units, every = ["r0", "r1"], {"mean": mean, "ridge": ridge, "broken": broken}
+    first = run_matrix.run_matrix(spark, path, load, units, every, seeds=(0,)).count()
+    done = run_matrix.run_matrix(spark, path, load, units, {"mean": mean, "broken": broken}, seeds=(0, 1), retry_failed=False).count()
+    again = run_matrix.run_matrix(spark, path, load, units, {"mean": mean, "broken": broken}, seeds=(0, 1), retry_failed=False)
+    added = again.count() - done
+    return run_matrix.latest(again).select(
+        "dataset", "method", "seed", F.col("metrics")["rmse"].alias("rmse"), "n_train", F.col("error").isNotNull().alias("failed"),
+        F.lit(first).cast("int").alias("first_rows"), F.lit(added).cast("int").alias("added"),
+    )
+
+
 # neighbours ---------------------------------------------------------------------------------------
 EM = "em AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, CAST(label AS INTEGER) AS label FROM embeddings)"
 
