@@ -238,8 +238,12 @@ def _records(stream: io.BufferedIOBase, chunk: int) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of the archives listed in ``manifest(path)``; order within a record is ``chunk_no``."""
+    """The chunked record table of the archives listed in ``manifest(path)``; order within a record is ``chunk_no``.
+
+    Every archive is a task of its own; the manifest is one short row per archive.
+    """
     files = manifest.select("path")
+    n_files = files.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +259,8 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFr
                             rows, size = [], 0
                     yield _batch(rows)
 
-    return files.repartition("path").mapInArrow(run, _CHUNKS)
+    # dealt in turn from one partition, each task gets exactly one; an explicit number is not merged again
+    return files.coalesce(1).repartition(max(1, n_files)).mapInArrow(run, _CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

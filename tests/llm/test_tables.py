@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cyclograin.llm import sharding, vectors, warc
 
@@ -23,6 +24,8 @@ def test_warc_round_trip(spark, tmp_path):
     cut = warc.to_chunks(pages, "page_id", "url", "html", chunk=100_000).filter("id = 5")
     assert cut.count() == 20 and cut.selectExpr("max(octet_length(data)) AS n").first()["n"] == 100_000
     chunks = warc.read(spark, files, 1 << 16)
+    # every archive is read by a task of its own
+    assert chunks.select(F.spark_partition_id()).distinct().count() == files.select("path").distinct().count() > 1
     got = sorted((tuple(r) for r in warc.summary(chunks).drop("uri").collect()), key=str)
     largest = {"same": 7, "": 4, "twice": 10}
     want = []
