@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cyclograin.llm import textkit
@@ -259,8 +259,8 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK) -> DataFr
                             rows, size = [], 0
                     yield _batch(rows)
 
-    # dealt in turn from one partition, each task gets exactly one; an explicit number is not merged again
-    return files.coalesce(1).repartition(max(1, n_files)).mapInArrow(run, _CHUNKS)
+    numbered = files.withColumn("number", F.row_number().over(Window.orderBy("path")) - 1)
+    return numbered.repartitionById(max(1, n_files), "number").select("path").mapInArrow(run, _CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
