@@ -1,70 +1,110 @@
 """Incremental twins of the history features for one row per arrival.
 
-State per entity is small and fixed in size, except for the block stack of the causal
-isotonic fit, which can grow with a steadily falling series. Within a micro-batch the rows
-of an entity are sorted by (event time, tie-break). A row not after the last processed one
-is late: what was already emitted cannot be revised, so it comes out flagged, without values.
+State per entity is typed (doubles and arrays of doubles, no encoded text), small and fixed in
+size, except for the block stack of the causal isotonic fit, which can grow with a steadily
+falling series. Within a micro-batch the rows of an entity are sorted by (event time, tie-break)
+and worked on as arrays. A row not after the last processed one is late: what was already
+emitted cannot be revised, so it comes out flagged, without values.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-Step = Callable[[dict, dict], dict]
+Values = dict[str, np.ndarray]
 
+#: Stands for an unknown time or tie-break, which comes before all others as in Spark's ascending order.
+BEFORE_ALL = -(1 << 63)
 
-def _known(v) -> bool:
-    return v is not None and not (isinstance(v, float) and math.isnan(v))
+
+@dataclass(frozen=True)
+class Step:
+    """What an operator remembers of an entity, and how a run of its rows changes that.
+
+    ``advance(memory, rows)`` gets the state's fields (None for a new entity) and the new rows'
+    columns, NaN where unknown; it returns the fields' new values and the output columns.
+    """
+
+    fields: Sequence[T.StructField]
+    advance: Callable[[dict | None, Values], tuple[dict, Values]]
+
+
+def _number(name: str) -> T.StructField:
+    return T.StructField(name, T.DoubleType())
+
+
+def _list(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.DoubleType()))
+
+
+def _trailing_mean(before: Sequence[float], x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of the known values among the last ``width`` rows; ``before`` holds the rows ahead of ``x``."""
+    ahead = np.full(width - 1, np.nan)
+    if width > 1 and len(before):
+        kept = np.asarray(before, float)[-(width - 1) :]
+        ahead[-len(kept) :] = kept
+    seen = sliding_window_view(np.concatenate([ahead, x]), width)
+    known = ~np.isnan(seen)
+    n = known.sum(axis=1)
+    return np.where(n > 0, np.where(known, seen, 0.0).sum(axis=1) / np.maximum(n, 1), np.nan)
+
+
+def _median_of_known(values: np.ndarray) -> float:
+    known = values[~np.isnan(values)]
+    return float(np.median(known)) if len(known) else np.nan
 
 
 def history_step(cols: Sequence[str], roll: int = 5, early: int = 5) -> tuple[Step, list[str]]:
     """lag1, diff1, from_first, from_roll5 and from_early of each column."""
     families = ("lag1", "diff1", "from_first", "from_roll5", "from_early")
 
-    def step(state: dict, row: dict) -> dict:
-        out = {}
+    def advance(memory: dict | None, rows: Values) -> tuple[dict, Values]:
+        after, out = {}, {}
         for c in cols:
-            x = row[c]
-            s = state.setdefault(c, {"first": x, "last": x, "tail": [], "head": []})
-            if len(s["head"]) < early:
-                s["head"].append(x)
-            s["tail"] = [*s["tail"], x][-roll:]
-            tail = [v for v in s["tail"] if _known(v)]
-            head = [v for v in s["head"] if _known(v)]
-            known = _known(x)
-            out[f"{c}__lag1"] = s["last"]
-            out[f"{c}__diff1"] = x - s["last"] if known and _known(s["last"]) else None
-            out[f"{c}__from_first"] = x - s["first"] if known and _known(s["first"]) else None
-            out[f"{c}__from_roll5"] = x - sum(tail) / len(tail) if known and tail else None
-            out[f"{c}__from_early"] = x - float(np.median(head)) if known and head else None
-            s["last"] = x
-        return out
-
-    return step, [f"{c}__{f}" for c in cols for f in families]
+            x = rows[c]
+            first, last = (x[0], x[0]) if memory is None else (memory[f"{c}_first"], memory[f"{c}_last"])
+            tail, head = ([], []) if memory is None else (memory[f"{c}_tail"], memory[f"{c}_head"])
+            lag = np.concatenate([[last], x[:-1]])
+            start = np.concatenate([head, x[: early - len(head)]])
+            # the anchor settles once the first rows are complete
+            anchor = np.full(len(x), _median_of_known(start))
+            for i in range(min(early - len(head), len(x))):
+                anchor[i] = _median_of_known(start[: len(head) + i + 1])
+            out[f"{c}__lag1"], out[f"{c}__diff1"], out[f"{c}__from_first"] = lag, x - lag, x - first
+            out[f"{c}__from_roll5"] = x - _trailing_mean(tail, x, roll)
+            out[f"{c}__from_early"] = x - anchor
+            after[f"{c}_first"], after[f"{c}_last"] = first, x[-1]
+            after[f"{c}_tail"], after[f"{c}_head"] = np.concatenate([tail, x])[-roll:], start
+        return after, out
+
+    fields = [f(f"{c}_{part}") for c in cols for part, f in (("first", _number), ("last", _number), ("tail", _list), ("head", _list))]
+    return Step(fields, advance), [f"{c}__{f}" for c in cols for f in families]
 
 
 def fill_step(cols: Sequence[str], medians: dict[str, float] | None = None) -> tuple[Step, list[str]]:
     """Forward fill; a leading gap takes the given source median, else 0."""
     medians = medians or {}
 
-    def step(state: dict, row: dict) -> dict:
-        out = {}
+    def advance(memory: dict | None, rows: Values) -> tuple[dict, Values]:
+        after, out = {}, {}
         for c in cols:
-            if _known(row[c]):
-                state[c] = row[c]
-            out[f"{c}__filled"] = state.get(c, medians.get(c, 0.0))
-        return out
+            carried = np.concatenate([[np.nan if memory is None else memory[c]], rows[c]])
+            newest = np.maximum.accumulate(np.where(np.isnan(carried), 0, np.arange(len(carried))))
+            carried = carried[newest]
+            after[c] = carried[-1]
+            out[f"{c}__filled"] = np.where(np.isnan(carried), medians.get(c, 0.0), carried)[1:]
+        return after, out
 
-    return step, [f"{c}__filled" for c in cols]
+    return Step([_number(c) for c in cols], advance), [f"{c}__filled" for c in cols]
 
 
 def smoothing_step(y: str, width: int = 5) -> tuple[Step, list[str]]:
@@ -74,88 +114,98 @@ def smoothing_step(y: str, width: int = 5) -> tuple[Step, list[str]]:
     the running values go on unchanged, and the fit has none for its row.
     """
 
-    def least(a, b):
-        return b if a is None else a if b is None else min(a, b)
-
-    def step(state: dict, row: dict) -> dict:
-        v = float(row[y]) if _known(row[y]) else None
-        state["min"] = least(state.get("min"), v)
-        state["tail"] = [*state.get("tail", []), v][-width:]
-        tail = [x for x in state["tail"] if x is not None]
-        mean = sum(tail) / len(tail) if tail else None
-        state["minmean"] = least(state.get("minmean"), mean)
-        blocks = state.setdefault("blocks", [])
-        done = {f"{y}__cummin": state["min"], f"{y}__causal_mean": mean, f"{y}__causal_sm": state["minmean"], f"{y}__iso_causal": None}
-        if v is None:
-            return done
-        s, n = v, 1
-        while blocks and blocks[-1][0] * n < s * blocks[-1][1]:
-            ps, pn = blocks.pop()
-            s, n = s + ps, n + pn
-        blocks.append([s, n])
-        return {**done, f"{y}__iso_causal": s / n}
-
-    return step, [f"{y}__{m}" for m in ("cummin", "causal_mean", "causal_sm", "iso_causal")]
+    def advance(memory: dict | None, rows: Values) -> tuple[dict, Values]:
+        v = rows[y]
+        m = memory or {"least": np.nan, "least_mean": np.nan, "tail": [], "sums": [], "counts": []}
+        least = np.fmin.accumulate(np.concatenate([[m["least"]], v]))[1:]
+        mean = _trailing_mean(m["tail"], v, width)
+        least_mean = np.fmin.accumulate(np.concatenate([[m["least_mean"]], mean]))[1:]
+        fit = np.full(len(v), np.nan)
+        sums, counts = list(m["sums"]), list(m["counts"])
+        for i in np.flatnonzero(~np.isnan(v)):
+            s, n = float(v[i]), 1.0
+            while sums and sums[-1] * n < s * counts[-1]:
+                s, n = s + sums.pop(), n + counts.pop()
+            sums.append(s)
+            counts.append(n)
+            fit[i] = s / n
+        after = {"least": least[-1], "least_mean": least_mean[-1], "sums": sums, "counts": counts}
+        after["tail"] = np.concatenate([m["tail"], v])[-width:]
+        return after, dict(zip(outputs, (least, mean, least_mean, fit), strict=True))
+
+    outputs = [f"{y}__{m}" for m in ("cummin", "causal_mean", "causal_sm", "iso_causal")]
+    return Step([_number("least"), _number("least_mean"), _list("tail"), _list("sums"), _list("counts")], advance), outputs
 
 
 def stream_scan(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str], step: Step, outputs: Sequence[str],
     watermark: str | None = None, idle_ms: int | None = None,
 ) -> DataFrame:
-    """Apply a row step along each entity of a stream: one output row per input row.
+    """Apply a step along each entity of a stream: one output row per input row.
 
-    With a ``watermark`` and ``idle_ms`` the state of an entity leaves once the watermark is that far
-    beyond its last row; a row that comes later still begins a new series.
+    ``tie`` is a whole number. A row without a time or tie-break comes before all others of its
+    entity; of rows that share both, the first is on time. With a ``watermark`` and ``idle_ms`` the
+    state of an entity leaves once the watermark is that far beyond its last row; a row that comes
+    later still begins a new series.
     """
     if idle_ms is not None and watermark is None:
         raise ValueError("state can only expire by a watermark")
     keys = list(keys)
-    src = df.select(*keys, F.col(ts).cast("timestamp").alias(ts), tie, *[F.col(c).cast("double").alias(c) for c in cols])
+    src = df.select(*keys, F.col(ts).cast("timestamp").alias(ts), F.col(tie), *[F.col(c).cast("double").alias(c) for c in cols])
     if watermark:
         src = src.withWatermark(ts, watermark)
-    key_fields = [src.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField(ts, T.TimestampType()),
-            T.StructField(tie, src.schema[tie].dataType),
-            T.StructField("late", T.BooleanType()),
-            *[T.StructField(o, T.DoubleType()) for o in outputs],
-        ]
-    )
-    state_schema = T.StructType(
-        [T.StructField("ns", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("blob", T.StringType())]
-    )
-    columns = [f.name for f in schema.fields]
+    tie_type = src.schema[tie].dataType
+    # order columns travel as plain 64-bit numbers: exact, and in no session's time zone
+    order = {"__at": F.unix_micros(ts), "__tie": F.col(tie).cast("long")}
+    src = src.select(*keys, ts, *cols, *[F.coalesce(c, F.lit(BEFORE_ALL)).alias(n) for n, c in order.items()])
+    made_fields = [T.StructField(n, T.LongType()) for n in order] + [T.StructField("late", T.BooleanType())]
+    made_schema = T.StructType([*[src.schema[k] for k in keys], *made_fields, *[_number(o) for o in outputs]])
+    state_schema = T.StructType([*[T.StructField(n, T.LongType()) for n in order], T.StructField("begun", T.BooleanType()), *step.fields])
+    names = [f.name for f in step.fields]
+    blank = dict.fromkeys(names)
+
+    def plain(v):
+        return v if v is None else v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, tie], kind="stable", na_position="first")
-        last, memory = (-(1 << 62) - 1, 0), {}
+        parts = list(frames)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        at, tied = pdf["__at"].to_numpy(), pdf["__tie"].to_numpy()
+        sort = np.lexsort((tied, at))
+        at, tied = at[sort], tied[sort]
+        memory = None
+        late = np.zeros(len(sort), bool)
+        late[1:] = (at[1:] == at[:-1]) & (tied[1:] == tied[:-1])
         if state.exists:
-            ns, t, blob = state.get
-            last, memory = (ns, t), json.loads(blob)
-        made = []
-        for row in pdf.to_dict("records"):
-            # a row without a time or tie-break comes before all others, as in Spark's ascending order
-            at = (-(1 << 62) if pd.isna(row[ts]) else int(pd.Timestamp(row[ts]).value), -(1 << 62) if pd.isna(row[tie]) else int(row[tie]))
-            late = at <= last
-            values = dict.fromkeys(outputs) if late else step(memory, row)
-            if not late:
-                last = at
-            made.append({**dict(zip(keys, key, strict=True)), ts: row[ts], tie: row[tie], "late": late, **values})
-        state.update((last[0], last[1], json.dumps(memory)))
+            last_at, last_tie, begun, *held = state.get
+            late |= (at < last_at) | ((at == last_at) & (tied <= last_tie))
+            memory = dict(zip(names, held, strict=True)) if begun else None
+        fresh = ~late
+        values = {o: np.full(len(sort), np.nan) for o in outputs}
+        if fresh.any():
+            rows = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan)[sort][fresh] for c in cols}
+            memory, found = step.advance(memory, rows)
+            for o in outputs:
+                values[o][fresh] = found[o]
+            last_at, last_tie = int(at[fresh][-1]), int(tied[fresh][-1])
+            state.update((last_at, last_tie, True, *[plain(v) for v in {**blank, **memory}.values()]))
         if idle_ms is not None:
-            state.setTimeoutTimestamp(max(last[0] // 1_000_000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(made, columns=columns)
-        yield out.astype({o: "float64" for o in outputs})
+            state.setTimeoutTimestamp(max(last_at // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        fixed = {k: [v] * len(sort) for k, v in zip(keys, key, strict=True)}
+        # nullable integers stay exact where Spark pads a batch with empty rows for expired states
+        yield pd.DataFrame({**fixed, "__at": pd.array(at, dtype="Int64"), "__tie": pd.array(tied, dtype="Int64"), "late": late, **values})
 
-    return src.groupBy(*keys).applyInPandasWithState(
-        run, schema, state_schema, "append",
+    made = src.groupBy(*keys).applyInPandasWithState(
+        run, made_schema, state_schema, "append",
         GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout,
     )
+    known = {n: F.when(F.col(n) != BEFORE_ALL, F.col(n)) for n in order}
+    return made.select(
+        *keys, F.timestamp_micros(known["__at"]).alias(ts), known["__tie"].cast(tie_type).alias(tie), "late", *outputs
+    )
 
 
 def split_late(df: DataFrame) -> tuple[DataFrame, DataFrame]:
