@@ -363,16 +363,34 @@ def blend_targets(df: DataFrame, y: str, teacher: str, lambdas: Sequence[float])
 def distill(
     df: DataFrame, unit: Sequence[str], entity: str, teacher_xs: Sequence[str], student_xs: Sequence[str], y: str,
     lambdas: Sequence[float], n_folds: int = 5, seed: int = 0, alpha: float = 1.0, is_test: str = "is_test",
+    mispaired_xs: Sequence[str] = (), mispaired_lambda: float = 0.5,
 ) -> DataFrame:
-    """Student fitted on blended targets, teacher predicted out of fold by entity groups."""
+    """Student fitted on blended targets, teacher predicted out of fold by entity groups.
+
+    ``mispaired_xs`` names a second set of student columns of the same width whose reference belongs
+    to another entity (see ``windows.mispaired_lift``). The control is fitted on the same targets at
+    ``mispaired_lambda`` and scored on the same rows; column ``arm`` then tells the two apart.
+    """
     from cyclograin.operators.sampling import group_kfold
 
+    if mispaired_xs and mispaired_lambda not in lambdas:
+        raise ValueError("the control needs the targets of one of the lambdas")
     source = group_kfold(df.filter(~F.col(is_test)), unit, entity, n_folds, seed)
-    taught = linear.out_of_fold(source, unit, "fold", teacher_xs, y, alpha, "teacher")
-    blended = blend_targets(taught.drop("fold"), y, "teacher", lambdas)
-    models = linear.fit(linear.moments(blended, [*unit, "lam"], student_xs, "target"), alpha)
-    per_entity = linear.moments(df.filter(F.col(is_test)), [*unit, entity], student_xs, y)
-    return linear.score(per_entity, models, [*unit, "lam"], unit)
+    taught = linear.out_of_fold(source, unit, "fold", teacher_xs, y, alpha, "teacher").drop("fold")
+    if mispaired_xs:
+        taught = settled(taught)  # both arms learn from one teacher, run once
+
+    def arm(xs: Sequence[str], lams: Sequence[float]) -> DataFrame:
+        blended = blend_targets(taught, y, "teacher", lams)
+        models = linear.fit(linear.moments(blended, [*unit, "lam"], xs, "target"), alpha)
+        per_entity = linear.moments(df.filter(F.col(is_test)), [*unit, entity], xs, y)
+        return linear.score(per_entity, models, [*unit, "lam"], unit)
+
+    found = arm(student_xs, lambdas)
+    if not mispaired_xs:
+        return found
+    control = arm(mispaired_xs, [mispaired_lambda]).withColumn("arm", F.lit("mispaired"))
+    return found.withColumn("arm", F.lit("distilled")).unionByName(control)
 
 
 def pooled_rmse(df: DataFrame, by: Sequence[str], y: str, pred: str) -> DataFrame:

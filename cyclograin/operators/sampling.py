@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclograin.functions import hash_key, hash_uniform
-from cyclograin.operators.attach import attach, attach_global
-from cyclograin.operators.ordered import Ordered, first, following, total
+from cyclograin.operators.attach import attach, attach_global, settled
+from cyclograin.operators.ordered import Ordered, first, following, ordinal, total
 from cyclograin.operators.ranks import quantiles, top_n, with_hash_rank
 
 
@@ -188,6 +188,50 @@ def stratified_split(
     return d.withColumn("is_test", is_test).drop("__r", "__n")
 
 
+def apportioned(sizes: DataFrame, size: str, quota: Column, order: Sequence[str], out: str) -> DataFrame:
+    """Shares of a whole-number total over rows, by largest remainder; ties go to the first in ``order``.
+
+    ``quota`` is the total, the same in every row and no larger than the sum of ``size``. Products are
+    decimals of 38 digits, so the shares are exact: they add up to the total and none passes its size.
+    """
+    one = Ordered(sizes.withColumn("__one", F.lit(0)), ["__one"], list(order))
+    d = one.with_scans(__all=total(F.sum(size))).withColumn("__q", quota)
+    product = F.col(size).cast("decimal(19,0)") * F.col("__q").cast("decimal(18,0)")
+    whole = F.col("__all").cast("decimal(19,0)")
+    # without rows nothing is shared out
+    rest = F.when(whole > 0, product % whole).otherwise(0).cast("decimal(19,0)")
+    d = d.withColumns({"__rest": rest, "__floor": F.when(whole > 0, (product - rest) / whole).otherwise(0).cast("long")})
+    d = d.withColumn("__back", -F.col("__rest"))
+    d = Ordered(d, ["__one"], ["__back", *order]).with_scans(__r=ordinal(), __given=total(F.sum("__floor")))
+    more = (F.col("__r") < F.col("__q") - F.col("__given")).cast("long")
+    return d.withColumn(out, F.col("__floor") + more).drop("__one", "__all", "__q", "__rest", "__floor", "__back", "__r", "__given")
+
+
+def capped_split(
+    df: DataFrame, strata: Sequence[str], ids: Sequence[str], test_share: float, max_train: int, max_test: int, seed: int = 0,
+) -> DataFrame:
+    """Stratified split of exact size whose sides hold at most ``max_train`` and ``max_test`` rows.
+
+    The test side gets ceil(rows * test_share) rows, or ``max_test`` if that is less, and the train
+    side the remaining ones up to ``max_train``. Both totals are apportioned over the strata by largest
+    remainder (NULL is a stratum like any other), and rows are drawn within a stratum by hash. Rows
+    beyond the caps are left out: the caps are the operator's purpose and have no default.
+    """
+    if max_train < 0 or max_test < 0 or not 0 <= test_share <= 1:
+        raise ValueError("caps are not negative and the share lies between 0 and 1")
+    order = list(strata)
+    sizes = settled(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")))
+    test = apportioned(sizes, "__n", F.ceil(F.col("__all") * test_share), order, "__test")
+    test = test.withColumn("__rest_n", F.col("__n") - F.col("__test"))
+    test = apportioned(test, "__test", F.least(F.col("__all"), F.lit(max_test)), order, "__t")
+    both = apportioned(test, "__rest_n", F.least(F.col("__all"), F.lit(max_train)), order, "__l")
+    d = with_hash_rank(df, strata, ids, seed, "split", "__r")
+    d = attach(d, both.select(*strata, "__test", "__t", "__l"), strata)
+    is_test = F.col("__r") < F.col("__test")
+    kept = d.filter(F.when(is_test, F.col("__r") < F.col("__t")).otherwise(F.col("__r") - F.col("__test") < F.col("__l")))
+    return kept.withColumn("is_test", is_test).drop("__r", "__test", "__t", "__l")
+
+
 def label_noise(
     df: DataFrame, ids: Sequence[str], y: str, n_classes: int, rate: float, seed: int = 0,
     group: Sequence[str] = (), out: str = "y_noisy",

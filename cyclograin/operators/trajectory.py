@@ -171,11 +171,18 @@ def noise_floor(df, group: Sequence[str], metric: str) -> DataFrame:
     )
 
 
-def weight_profile(weights: DataFrame, group: Sequence[str], position: str, weight: str) -> DataFrame:
-    """First weight, mass of the first three, position of the largest."""
+def weight_profile(weights: DataFrame, group: Sequence[str], position: str, weight: str, cols: Sequence[str] = ()) -> DataFrame:
+    """First weight, mass of the first three, position of the largest.
+
+    With ``cols`` also ``max_deviation``: how far the weighted anchor of any column lies from that
+    column's first row. Columns without a known anchor or first row are passed over; NULL if all are.
+    """
     p, w = F.col(position), F.col(weight)
+    gaps = [F.abs(F.sum(w * F.col(c)) - F.max(F.when(p == 0, F.col(c)))) for c in cols]
+    far = [] if not gaps else [(gaps[0] if len(gaps) == 1 else F.greatest(*gaps)).alias("max_deviation")]
     return weights.groupBy(*group).agg(
         F.max(F.when(p == 0, w)).alias("first_weight"),
         F.sum(F.when(p < 3, w).otherwise(0.0)).alias("mass3"),
         F.max_by(p, F.struct(w, -p)).alias("argmax"),
+        *far,
     )

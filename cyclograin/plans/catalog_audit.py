@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cyclograin import sources
 from cyclograin.functions import hash_key
 from cyclograin.operators import align, curves, filters, joins, normalize, sampling, trajectory
+from cyclograin.operators.attach import settled
 from cyclograin.operators.ordered import Ordered, ordinal
 from cyclograin.operators.ranks import quantiles
 from cyclograin.plans import bindings
@@ -536,6 +537,32 @@ def _(spark, sf):
     return sampling.stratified_split(doc_features(spark, sf), ["y"], ["doc_id"], 0.3, 8).select("doc_id", "is_test")
 
 
+def _largest_remainder(name: str, src: str, size: str, quota: str, out: str) -> str:
+    """SQL of a total shared out over strata by largest remainder."""
+    return f"""{name}_a AS (SELECT *, sum({size}) OVER () AS total, {quota} AS q FROM {src}),
+    {name}_b AS (SELECT *, ({size} * q) // total AS fl, ({size} * q) % total AS rest FROM {name}_a),
+    {name} AS (SELECT * EXCLUDE (total, q, fl, rest), CAST(fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, unit NULLS FIRST, y NULLS FIRST) <= q - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS {out} FROM {name}_b)"""
+
+
+@query(
+    "r11_capped_split",
+    f"""WITH {DO}, s0 AS (SELECT unit, y, count(*) AS n FROM dox GROUP BY ALL),
+    {_largest_remainder("s1", "s0", "n", "ceil(sum(n) OVER () * 0.3::DOUBLE)::BIGINT", "k")}, s2 AS (SELECT *, n - k AS r FROM s1),
+    {_largest_remainder("s3", "s2", "k", "least(sum(k) OVER (), 100)", "t")}, {_largest_remainder("s4", "s3", "r", "least(sum(r) OVER (), 200)", "l")},
+    d AS (SELECT doc_id, dox.y, k, t, l, row_number() OVER (PARTITION BY dox.unit, dox.y ORDER BY {_h("split", "doc_id", 8)}, doc_id) - 1 AS p
+      FROM dox JOIN s4 ON dox.unit IS NOT DISTINCT FROM s4.unit AND dox.y IS NOT DISTINCT FROM s4.y),
+    e AS (SELECT doc_id, y, p < k AS is_test FROM d WHERE CASE WHEN p < k THEN p < t ELSE p - k < l END),
+    n AS (SELECT *, row_number() OVER (PARTITION BY is_test ORDER BY {_h("noise", "doc_id", 3)}, doc_id) - 1 < round(count(*) OVER (PARTITION BY is_test) * 0.2) AS hit FROM e)
+    SELECT doc_id, is_test, CAST(CASE WHEN hit AND NOT is_test THEN (y + 1 + {_h("class", "doc_id", 3)} % 1) % 2 ELSE y END AS INTEGER) AS y_noisy FROM n""",
+)
+def _(spark, sf):
+    d = sampling.capped_split(doc_features(spark, sf), ["unit", "y"], ["doc_id"], 0.3, 200, 100, 8)
+    d = settled(d.select("doc_id", "is_test", "y"))
+    noisy = sampling.label_noise(d.filter("NOT is_test"), ["doc_id"], "y", 2, 0.2, 3)
+    both = noisy.unionByName(d.filter("is_test").withColumn("y_noisy", F.col("y")))
+    return both.select("doc_id", "is_test", "y_noisy")
+
+
 @query(
     "r12_label_noise",
     f"""WITH n AS (SELECT vec_id, label, row_number() OVER (ORDER BY {_h("noise", "vec_id", 3)}, vec_id) - 1 < round(count(*) OVER () * 0.2) AS hit FROM embeddings)

@@ -295,6 +295,36 @@ def _(spark, sf):
     )
 
 
+_LAMS = "(SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS lam)"
+
+
+@query(
+    "l15_mispaired_control",
+    f"""WITH {LI}, a AS (SELECT *, x1 - first_value(x1) OVER ({LI_W}) AS ff FROM li),
+    ids AS (SELECT DISTINCT unit, entity FROM li),
+    rf AS (SELECT unit, entity, coalesce(lead(entity) OVER (PARTITION BY unit ORDER BY {_h("derange", "entity", 11)}, entity),
+      first_value(entity) OVER (PARTITION BY unit ORDER BY {_h("derange", "entity", 11)}, entity)) AS ref FROM ids QUALIFY count(*) OVER (PARTITION BY unit) > 1),
+    an AS (SELECT unit, entity AS ref, x1 AS anchor FROM li QUALIFY row_number() OVER ({LI_W}) = 1),
+    b AS (SELECT a.*, x1 - anchor AS sh FROM a JOIN rf USING (unit, entity) JOIN an USING (unit, ref)),
+    fo AS (SELECT unit, entity, (row_number() OVER (PARTITION BY unit ORDER BY {_h("gfold", "entity", 0)}, entity) - 1) % 3 AS fold FROM (SELECT DISTINCT unit, entity FROM b WHERE NOT is_test)),
+    tr AS (SELECT b.*, fold FROM b JOIN fo USING (unit, entity) WHERE NOT is_test),
+    tx AS (SELECT tr.*, held FROM tr, (SELECT unnest([0, 1, 2]) AS held) WHERE fold <> held), {ridge2("tm", "tx", "unit, held", "x1", "x4", "y", 1.0)},
+    bl AS (SELECT tr.*, lam, (1 - lam) * y + lam * (b0 + ba * x1 + bb * x4) AS target FROM tr JOIN tm ON tr.unit = tm.unit AND fold = held, {_LAMS}),
+    {ridge2("sm", "bl", "unit, lam", "x1", "ff", "target", 1.0)}, cl AS (SELECT * FROM bl WHERE lam = 0.5), {ridge2("cm", "cl", "unit, lam", "x1", "sh", "target", 1.0)},
+    te AS (SELECT b.*, lam FROM b, {_LAMS} WHERE is_test)
+    SELECT *, 'distilled' AS arm FROM ({_score("sm", "te", "unit, lam", "b0 + ba * x1 + bb * ff")})
+    UNION ALL SELECT *, 'mispaired' FROM ({_score("cm", "te", "unit, lam", "b0 + ba * x1 + bb * sh")})""",
+    "rmse_overall rmse_macro",
+)
+def _(spark, sf):
+    d = windows.history_features(lines(spark, sf), LI_KEYS, LI_ORDER, ["x1"], ["from_first"])
+    d = windows.mispaired_lift(d, ["unit"], "entity", LI_ORDER, ["x1"], sampling.derangement(d, ["unit"], "entity", 11))
+    return models.distill(
+        settled(d), ["unit"], "entity", ["x1", "x4"], ["x1", "x1__from_first"], "y", [0.0, 0.25, 0.5, 0.75, 1.0], 3,
+        mispaired_xs=["x1", "x1__shuffled"],
+    )
+
+
 def _rank(salt: str, seed: int) -> str:
     return f"row_number() OVER (PARTITION BY unit, repeat ORDER BY ('0x' || substr(md5('{seed}|{salt}|' || event_id || '|' || repeat), 1, 15))::BIGINT, event_id)"
 
@@ -618,7 +648,13 @@ def _(spark, sf):
     both = raw.withColumn("view", F.lit("raw")).unionByName(his.withColumn("view", F.lit("history")))
     return both.groupBy().pivot("view", ["raw", "history"]).agg(
         F.max("mean_gap").alias("gap"), F.max("twin_rate").alias("twins")
-    ).withColumn("gap_change_pct", (F.col("history_gap") - F.col("raw_gap")) / F.col("raw_gap") * 100)
+    ).withColumns(
+        {
+            "gap_change_pct": (F.col("history_gap") - F.col("raw_gap")) / F.col("raw_gap") * 100,
+            # fixed value 1e-9: a view without twins still has a change
+            "twin_change_pct": (F.col("history_twins") - F.col("raw_twins")) / (F.col("raw_twins") + 1e-9) * 100,
+        }
+    )
 
 
 @query(

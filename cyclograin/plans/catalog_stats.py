@@ -198,14 +198,14 @@ def _(spark, sf):
     f"""WITH {EV}, a AS (SELECT unit, entity, row_number() OVER ({EV_W}) - 1 AS t, y FROM ev),
     h AS (SELECT *, y / sum(y) OVER ({EV_ALL}) AS w FROM a WHERE t < 8)
     SELECT unit, entity, max(CASE WHEN t = 0 THEN w END) AS first_weight, sum(CASE WHEN t < 3 THEN w ELSE 0 END) AS mass3,
-      CAST(arg_max(t, w) AS INTEGER) AS argmax FROM h GROUP BY unit, entity""",
-    "first_weight mass3",
+      CAST(arg_max(t, w) AS INTEGER) AS argmax, abs(sum(w * y) - max(CASE WHEN t = 0 THEN y END)) AS max_deviation FROM h GROUP BY unit, entity""",
+    "first_weight mass3 max_deviation",
 )
 def _(spark, sf):
     h = windows.early_rows(events(spark, sf), EV_KEYS, EV_ORDER, ["y"], 8)
     total = h.groupBy(*EV_KEYS).agg(F.sum("y").alias("s"))
     h = h.join(total, EV_KEYS).withColumn("w", F.col("y") / F.col("s"))
-    return trajectory.weight_profile(h, EV_KEYS, "t", "w")
+    return trajectory.weight_profile(h, EV_KEYS, "t", "w", ["y"])
 
 
 # monotone ----------------------------------------------------------------------------
