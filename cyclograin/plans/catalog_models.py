@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cyclograin import sources, streaming
-from cyclograin.operators import boosting, filters, forest, linear, models, neighbors, normalize, sampling, trajectory, windows
+from cyclograin.operators import boosting, filters, forest, linear, logistic, models, neighbors, normalize, sampling, trajectory, windows
 from cyclograin.operators.attach import settled
 from cyclograin.plans import evaluate, run_matrix
 from cyclograin.plans.bindings import (
@@ -378,6 +378,46 @@ def _(spark, sf):
     return models.shift_auc(lines(spark, sf), LI_X, "is_test", LID, 3)
 
 
+def logistic_sql(src: str, by: str, a: str, b: str, y: str, reg: float, steps: int) -> str:
+    """SQL of a two-feature logistic fit per group: one table of sums and one of weights per Newton step, ending in ``lw``."""
+    ctes = [
+        f"""ls AS MATERIALIZED (SELECT {by}, count(*) AS n, avg({y}) AS share, avg({a}) AS ma, avg({b}) AS mb, stddev_samp({a}) AS sa, stddev_samp({b}) AS sb FROM {src} GROUP BY {by})""",
+        f"lz AS MATERIALIZED (SELECT {by}, ({a} - ma) / sa AS u, ({b} - mb) / sb AS v, {y} AS y FROM {src} JOIN ls USING ({by}))",
+        f"lw0 AS (SELECT {by}, ln(share / (1 - share)) AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM ls)",
+    ]
+    for i in range(steps):
+        ctes += [
+            f"lp{i} AS (SELECT {by}, u, v, y, 1 / (1 + exp(-(w0 + w1 * u + w2 * v))) AS p FROM lz JOIN lw{i} USING ({by}))",
+            f"""lh{i} AS MATERIALIZED (SELECT {by}, w0, w1, w2, g0, g1 + {reg} * w1 AS g1, g2 + {reg} * w2 AS g2, h00, h01, h02, h11 + {reg} AS h11, h12, h22 + {reg} AS h22
+              FROM lw{i} JOIN (SELECT {by}, avg(p - y) AS g0, avg((p - y) * u) AS g1, avg((p - y) * v) AS g2, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * u) AS h01,
+              avg(p * (1 - p) * v) AS h02, avg(p * (1 - p) * u * u) AS h11, avg(p * (1 - p) * u * v) AS h12, avg(p * (1 - p) * v * v) AS h22 FROM lp{i} GROUP BY {by}) USING ({by}))""",
+            # the inverse of a symmetric matrix of three rows by its cofactors
+            f"""lw{i + 1} AS MATERIALIZED (SELECT {by}, w0 - (c00 * g0 + c01 * g1 + c02 * g2) / det AS w0, w1 - (c01 * g0 + c11 * g1 + c12 * g2) / det AS w1, w2 - (c02 * g0 + c12 * g1 + c22 * g2) / det AS w2
+              FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+              h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM lh{i})))""",
+        ]
+    return ", ".join([*ctes, f"lw AS (SELECT * FROM lw{steps})"])
+
+
+@query(
+    "l18_logistic_folds",
+    f"""WITH {LI}, s AS (SELECT unit, held AS fold, x1, x4, is_test::INT AS y FROM li, (SELECT unnest([0, 1, 2]) AS held) WHERE l_orderkey % 3 <> held), {logistic_sql("s", "unit, fold", "x1", "x4", "y", 0.01, 6)},
+    lf AS (SELECT *, l_orderkey % 3 AS fold FROM li), ou AS (SELECT unit, fold, is_test, 1 / (1 + exp(-(w0 + w1 * (x1 - ma) / sa + w2 * (x4 - mb) / sb))) AS p FROM lf JOIN ls USING (unit, fold) JOIN lw USING (unit, fold)),
+    lo AS (SELECT unit, fold, avg(-ln(CASE WHEN is_test THEN p ELSE 1 - p END)) AS log_loss, count(*) AS n_held FROM ou GROUP BY ALL)
+    SELECT unit, CAST(fold AS INTEGER) AS fold, n, w0 - w1 * ma / sa - w2 * mb / sb AS b0, w1 / sa AS b_x1, w2 / sb AS b_x4, log_loss, n_held FROM ls JOIN lw USING (unit, fold) JOIN lo USING (unit, fold)""",
+    "b0 b_x1 b_x4 log_loss",
+)
+def _(spark, sf):
+    xs = ["x1", "x4"]
+    d = lines(spark, sf).withColumns({"fold": (F.col("l_orderkey") % 3).cast("int"), "target": F.col("is_test").cast("int")})
+    d = settled(d.select("unit", "fold", "target", *xs))
+    fitted = settled(logistic.fit(d, ["unit"], xs, "target", 0.01, "fold", 3))
+    scored = logistic.predict(d, fitted, ["unit", "fold"], xs)
+    loss = -F.ln(F.when(F.col("target") == 1, F.col("proba")).otherwise(1 - F.col("proba")))
+    held = scored.groupBy("unit", "fold").agg(F.avg(loss).alias("log_loss"), F.count(F.lit(1)).alias("n_held"))
+    return logistic.coefficients(fitted, ["unit", "fold"], xs).join(held, ["unit", "fold"])
+
+
 @query(
     "l20_random_vs_group_r2",
     f"""WITH {LI}, a AS (SELECT *, {_FOLD.replace("% 5", "% 3")} AS fold FROM li),
