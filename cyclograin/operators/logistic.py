@@ -118,10 +118,11 @@ def predict(df: DataFrame, models: DataFrame, by: Sequence[str], xs: Sequence[st
 
 
 def coefficients(models: DataFrame, by: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """Intercept and slopes in the columns' own units."""
+    """Intercept and slopes in the columns' own units; the intercept is NULL where all labels agree (it is infinite)."""
     w = F.col("w")
     slope = [F.when(F.col("sd")[j] > 0, w[j + 1] / F.col("sd")[j]).otherwise(0.0) for j in range(len(xs))]
     base = w[0] - sum((s * F.col("mean")[j] for j, s in enumerate(slope)), F.lit(0.0))
+    base = F.when(F.abs(w[0]) != float("inf"), base)
     return models.select(*by, "n", base.alias("b0"), *[s.alias(f"b_{x}") for s, x in zip(slope, xs, strict=True)])
 
 

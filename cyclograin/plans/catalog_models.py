@@ -383,7 +383,7 @@ def logistic_sql(src: str, by: str, a: str, b: str, y: str, reg: float, steps: i
     ctes = [
         f"""ls AS MATERIALIZED (SELECT {by}, count(*) AS n, avg({y}) AS share, avg({a}) AS ma, avg({b}) AS mb, stddev_samp({a}) AS sa, stddev_samp({b}) AS sb FROM {src} GROUP BY {by})""",
         f"lz AS MATERIALIZED (SELECT {by}, ({a} - ma) / sa AS u, ({b} - mb) / sb AS v, {y} AS y FROM {src} JOIN ls USING ({by}))",
-        f"lw0 AS (SELECT {by}, ln(share / (1 - share)) AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM ls)",
+        f"lw0 AS (SELECT {by}, ln(share / (1 - share)) AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM ls WHERE share > 0 AND share < 1)",
     ]
     for i in range(steps):
         ctes += [
@@ -396,7 +396,7 @@ def logistic_sql(src: str, by: str, a: str, b: str, y: str, reg: float, steps: i
               FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
               h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM lh{i})))""",
         ]
-    return ", ".join([*ctes, f"lw AS (SELECT * FROM lw{steps})"])
+    return ", ".join([*ctes, f"lw AS (SELECT * FROM lw{steps} UNION ALL SELECT {by}, CASE WHEN share = 0 THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END, 0, 0 FROM ls WHERE share IN (0, 1))"])
 
 
 @query(
@@ -404,7 +404,7 @@ def logistic_sql(src: str, by: str, a: str, b: str, y: str, reg: float, steps: i
     f"""WITH {LI}, s AS (SELECT unit, held AS fold, x1, x4, is_test::INT AS y FROM li, (SELECT unnest([0, 1, 2]) AS held) WHERE l_orderkey % 3 <> held), {logistic_sql("s", "unit, fold", "x1", "x4", "y", 0.01, 6)},
     lf AS (SELECT *, l_orderkey % 3 AS fold FROM li), ou AS (SELECT unit, fold, is_test, 1 / (1 + exp(-(w0 + w1 * (x1 - ma) / sa + w2 * (x4 - mb) / sb))) AS p FROM lf JOIN ls USING (unit, fold) JOIN lw USING (unit, fold)),
     lo AS (SELECT unit, fold, avg(-ln(CASE WHEN is_test THEN p ELSE 1 - p END)) AS log_loss, count(*) AS n_held FROM ou GROUP BY ALL)
-    SELECT unit, CAST(fold AS INTEGER) AS fold, n, w0 - w1 * ma / sa - w2 * mb / sb AS b0, w1 / sa AS b_x1, w2 / sb AS b_x4, log_loss, n_held FROM ls JOIN lw USING (unit, fold) JOIN lo USING (unit, fold)""",
+    SELECT unit, CAST(fold AS INTEGER) AS fold, n, CASE WHEN share > 0 AND share < 1 THEN w0 - w1 * ma / sa - w2 * mb / sb END AS b0, w1 / sa AS b_x1, w2 / sb AS b_x4, log_loss, n_held FROM ls JOIN lw USING (unit, fold) JOIN lo USING (unit, fold)""",
     "b0 b_x1 b_x4 log_loss",
 )
 def _(spark, sf):
