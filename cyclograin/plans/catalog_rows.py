@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cyclograin.functions import clip
+from cyclograin.functions import clip, ieee_log
 from cyclograin.operators import filters, normalize, windows
 from cyclograin.operators import sampling
 from cyclograin.operators.ordered import Ordered, ordinal
@@ -192,8 +192,8 @@ def _(spark, sf):
 def _(spark, sf):
     v = F.col("value")
     return table(spark, sf, "events").select(
-        "event_id", clip(v, 5.0, 50.0).alias("clipped"), F.log10(v).alias("lg"), F.sqrt(v).alias("root"),
-        F.abs(v - 25).alias("dev"), F.ln(v).alias("nat"), F.exp(-v / 100).alias("decay"),
+        "event_id", clip(v, 5.0, 50.0).alias("clipped"), ieee_log(v, F.log10).alias("lg"), F.sqrt(v).alias("root"),
+        F.abs(v - 25).alias("dev"), ieee_log(v).alias("nat"), F.exp(-v / 100).alias("decay"),
     )
 
 
