@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclograin.functions import rmse
+from cyclograin.functions import ieee_divide, rmse
 from cyclograin.operators import ordered as o
 from cyclograin.operators.attach import key_join
 from cyclograin.operators.ordered import Ordered
@@ -156,11 +156,17 @@ def early_slope(df, unit, entity: str, order, y: str, choices: Sequence[int] = (
     return key_join(slope, ends.drop("n"), keys)
 
 
-def self_ratio(df, keys, order, parts: Sequence[str], out: str = "ratio", max_rows: int | None = None) -> DataFrame:
-    """(a + b)_t over (a + b)_1; NULL when the first sum is zero or missing."""
+def self_ratio(
+    df, keys, order, parts: Sequence[str], out: str = "ratio", max_rows: int | None = None, ieee: bool = False
+) -> DataFrame:
+    """(a + b)_t over (a + b)_1; NULL when the first sum is missing.
+
+    After a first sum of zero the ratio is NULL, or with ``ieee`` infinite (NaN for zero over zero).
+    """
     total = sum(F.col(p) for p in parts)
     d = Ordered(df.withColumn("__q", total), keys, order, max_rows).with_scans(__q1=o.first("__q"))
-    return d.withColumn(out, F.when(F.col("__q1") != 0, F.col("__q") / F.col("__q1"))).drop("__q", "__q1")
+    ratio = ieee_divide("__q", "__q1") if ieee else F.when(F.col("__q1") != 0, F.col("__q") / F.col("__q1"))
+    return d.withColumn(out, ratio).drop("__q", "__q1")
 
 
 def noise_floor(df, group: Sequence[str], metric: str) -> DataFrame:

@@ -25,7 +25,7 @@ def zeros(sf, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["p18_scalar_projections", "j17_prefix_agreement"])
+@pytest.mark.parametrize("name", ["g11_self_ratio", "p18_scalar_projections", "j17_prefix_agreement"])
 def test_zeros_match_sql(spark, zeros, name):
     got = entry.queries()[name](spark, zeros).toPandas()
     want = connect(zeros).execute(entry.oracle_sql()[name]).df()
