@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclograin.operators.attach import attach, key_join
+from cyclograin.operators.attach import attach, attach_few, key_join
 
 ARRAY = T.ArrayType(T.DoubleType())
 #: features up to which the matrix is one built-in aggregate
@@ -277,7 +277,7 @@ def linear_expression(beta: str | Column, xs: Sequence[str]) -> Column:
 
 def predict(df: DataFrame, model: DataFrame, by: Sequence[str], xs: Sequence[str], out: str = "pred") -> DataFrame:
     """Predictions as a plain column expression over the attached coefficients."""
-    d = attach(df, model.select(*by, F.col("beta").alias("__beta")), by)
+    d = attach_few(df, model.select(*by, F.col("beta").alias("__beta")), by)
     return d.withColumn(out, linear_expression("__beta", xs)).drop("__beta")
 
 
@@ -451,7 +451,7 @@ def permutation_importance(
     """
     from cyclograin.operators.ranks import with_hash_rank
 
-    d = attach(df.select(*unit, entity, *ids, *xs, y), model.select(*unit, "beta"), unit)
+    d = attach_few(df.select(*unit, entity, *ids, *xs, y), model.select(*unit, "beta"), unit)
     d = d.withColumn("__e", F.col(y) - linear_expression("beta", xs))
     d = d.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     groups = [*unit, "repeat"]
