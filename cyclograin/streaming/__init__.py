@@ -137,12 +137,93 @@ def smoothing_step(y: str, width: int = 5) -> tuple[Step, list[str]]:
     return Step([_number("least"), _number("least_mean"), _list("tail"), _list("sums"), _list("counts")], advance), outputs
 
 
+def _plain(v):
+    return v if v is None else v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
+
+
+def _bucket_scan(
+    src: DataFrame, keys: Sequence[str], cols: Sequence[str], step: Step, outputs: Sequence[str],
+    made_fields: Sequence[T.StructField], buckets: int,
+) -> DataFrame:
+    """The scan with one state per bucket of entities: its fields are arrays, one place per entity."""
+    kinds = [src.schema[k].dataType for k in keys]
+    if not all(isinstance(t, (T.IntegralType, T.StringType)) for t in kinds):
+        raise ValueError("entities in buckets need keys that are whole numbers or text")
+    # a key travels as a value and whether it is known: exact, and NULL is a key like any other
+    own = [f"__k{i}" for i in range(len(keys))]
+    gone = [f"__n{i}" for i in range(len(keys))]
+    blank = [F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast(t) for t in kinds]
+    d = src.select(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("__bucket"), *cols, *[f.name for f in made_fields[:2]],
+        *[F.coalesce(k, b).alias(n) for k, b, n in zip(keys, blank, own, strict=True)],
+        *[F.col(k).isNull().alias(n) for k, n in zip(keys, gone, strict=True)],
+    )
+    key_fields = [T.StructField(n, t) for n, t in zip(own, kinds, strict=True)] + [T.StructField(n, T.BooleanType()) for n in gone]
+    place = [*own, *gone]
+    names = [f.name for f in step.fields]
+    state_schema = T.StructType(
+        [T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*key_fields, *made_fields[:2], *step.fields]]
+    )
+    made_schema = T.StructType([*key_fields, *made_fields, *[_number(o) for o in outputs]])
+    n_place = len(place)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        held = [list(v) for v in state.get] if state.exists else [[] for _ in state_schema]
+        slots = {k: i for i, k in enumerate(zip(*held[:n_place], strict=True))}
+        n_known = len(slots)
+        slot = np.array([slots.setdefault(k, len(slots)) for k in zip(*[pdf[c].tolist() for c in place], strict=True)], np.int64)
+        at, tied = pdf["__at"].to_numpy(), pdf["__tie"].to_numpy()
+        sort = np.lexsort((tied, at, slot))
+        at, tied, slot = at[sort], tied[sort], slot[sort]
+        late = np.zeros(len(sort), bool)
+        late[1:] = (at[1:] == at[:-1]) & (tied[1:] == tied[:-1]) & (slot[1:] == slot[:-1])
+        old = np.flatnonzero(slot < n_known)
+        if len(old):
+            last_at, last_tie = (np.array(held[n_place + i], np.int64)[slot[old]] for i in range(2))
+            late[old] |= (at[old] < last_at) | ((at[old] == last_at) & (tied[old] <= last_tie))
+        fresh = np.flatnonzero(~late)
+        values = {o: np.full(len(sort), np.nan) for o in outputs}
+        rows = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan)[sort][fresh] for c in cols}
+        new = list(slots)[n_known:]
+        for i in range(n_place):
+            held[i] += [k[i] for k in new]
+        for v in held[n_place:]:
+            v += [None] * len(new)
+        starts = np.flatnonzero(np.diff(slot[fresh], prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(fresh)], strict=True):
+            s = int(slot[fresh[a]])
+            memory = {n: v[s] for n, v in zip(names, held[n_place + 2 :], strict=True)} if s < n_known else None
+            memory, found = step.advance(memory, {c: v[a:b] for c, v in rows.items()})
+            for o in outputs:
+                values[o][fresh[a:b]] = found[o]
+            end = fresh[b - 1]
+            held[n_place][s], held[n_place + 1][s] = int(at[end]), int(tied[end])
+            for n, v in zip(names, held[n_place + 2 :], strict=True):
+                v[s] = _plain(memory[n])
+        state.update(tuple(held))
+        # nullable integers stay exact where Spark pads a batch
+        fixed = {c: pdf[c].to_numpy()[sort] for c in place}
+        yield pd.DataFrame({**fixed, "__at": pd.array(at, dtype="Int64"), "__tie": pd.array(tied, dtype="Int64"), "late": late, **values})
+
+    made = d.groupBy("__bucket").applyInPandasWithState(run, made_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return made.select(
+        *[F.when(~F.col(g), F.col(n)).alias(k) for k, n, g in zip(keys, own, gone, strict=True)],
+        *[f.name for f in made_fields], *outputs,
+    )
+
+
 def stream_scan(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str], step: Step, outputs: Sequence[str],
-    watermark: str | None = None, idle_ms: int | None = None,
+    watermark: str | None = None, idle_ms: int | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Apply a step along each entity of a stream: one output row per input row.
 
+    With ``buckets`` entities share states by a hash of their keys (whole numbers or text): a call of the
+    function costs more than the few rows of an entity, so many entities are worked on in one. A
+    micro-batch rewrites the states of the buckets it meets; expiry is per entity and goes without.
+
     ``tie`` is a whole number. A row without a time or tie-break comes before all others of its
     entity; of rows that share both, the first is on time. With a ``watermark`` and ``idle_ms`` the
     state of an entity leaves once the watermark is that far beyond its last row; a row that comes
@@ -150,6 +231,8 @@ def stream_scan(
     """
     if idle_ms is not None and watermark is None:
         raise ValueError("state can only expire by a watermark")
+    if buckets is not None and idle_ms is not None:
+        raise ValueError("entities that share a state cannot expire alone")
     keys = list(keys)
     src = df.select(*keys, F.col(ts).cast("timestamp").alias(ts), F.col(tie), *[F.col(c).cast("double").alias(c) for c in cols])
     if watermark:
@@ -158,14 +241,18 @@ def stream_scan(
     # order columns travel as plain 64-bit numbers: exact, and in no session's time zone
     order = {"__at": F.unix_micros(ts), "__tie": F.col(tie).cast("long")}
     src = src.select(*keys, ts, *cols, *[F.coalesce(c, F.lit(BEFORE_ALL)).alias(n) for n, c in order.items()])
+    known = {n: F.when(F.col(n) != BEFORE_ALL, F.col(n)) for n in order}
     made_fields = [T.StructField(n, T.LongType()) for n in order] + [T.StructField("late", T.BooleanType())]
+    if buckets is not None:
+        made = _bucket_scan(src, keys, cols, step, outputs, made_fields, buckets)
+        return made.select(
+            *keys, F.timestamp_micros(known["__at"]).alias(ts), known["__tie"].cast(tie_type).alias(tie), "late", *outputs
+        )
     made_schema = T.StructType([*[src.schema[k] for k in keys], *made_fields, *[_number(o) for o in outputs]])
     state_schema = T.StructType([*[T.StructField(n, T.LongType()) for n in order], T.StructField("begun", T.BooleanType()), *step.fields])
     names = [f.name for f in step.fields]
     blank = dict.fromkeys(names)
-
-    def plain(v):
-        return v if v is None else v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
+    plain = _plain
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -202,7 +289,6 @@ def stream_scan(
         run, made_schema, state_schema, "append",
         GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout,
     )
-    known = {n: F.when(F.col(n) != BEFORE_ALL, F.col(n)) for n in order}
     return made.select(
         *keys, F.timestamp_micros(known["__at"]).alias(ts), known["__tie"].cast(tie_type).alias(tie), "late", *outputs
     )

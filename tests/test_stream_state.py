@@ -102,3 +102,25 @@ def test_order_ignores_the_session_time_zone(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert found == {0.0: 1729987200, 1.0: 1729990800, 2.0: 1729994400}
+
+
+def test_entities_that_share_a_state_get_the_same_values(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    big = (1 << 53) + 1
+    entities = [big, big + 1, None, 0, 5, 6, 7]
+    rows = [(entities[int(rng.integers(7))], int(t), i, None if i % 6 == 0 else float(rng.normal())) for i, t in enumerate(rng.integers(0, 60, 240))]
+    schema = "entity long, ts long, tie long, a double"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 80 : part * 80 + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    step, outputs = streaming.history_step(["a"])
+
+    def run(name, **kw):
+        src = streaming.read_table_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], schema).schema)
+        src = src.withColumn("ts", F.timestamp_seconds("ts"))
+        d = streaming.stream_scan(src, ["entity"], "ts", "tie", ["a"], step, outputs, **kw)
+        got = streaming.run_to_table(d, str(tmp_path / name / "rows"), str(tmp_path / name / "checkpoint"))
+        return sorted(map(repr, got.collect()))
+
+    alone = run("alone")
+    assert len(alone) == len(rows) and any("late=True" in r for r in alone)
+    assert run("shared", buckets=2) == alone
