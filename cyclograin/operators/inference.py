@@ -14,8 +14,8 @@ from cyclograin.functions.stats import (
     signed_rank_p_col,
 )
 from cyclograin.operators.attach import attach, key_join, settled
-from cyclograin.operators.ordered import Ordered, ordinal, running_sum, total
-from cyclograin.operators.ranks import complement_quantiles, quantiles, top_n, with_average_rank
+from cyclograin.operators.ordered import Ordered, fits_one_task, ordinal, running_sum, total
+from cyclograin.operators.ranks import complement_quantiles, quantiles, top_n, with_average_rank, with_average_ranks
 from cyclograin.operators.sampling import bootstrap_sums
 
 # an interpolated grid point may sit one rounding step beside the value it stands for
@@ -30,8 +30,10 @@ def spearman(
     keys = list(by) or ["__all"]
     d = df if by else df.withColumn("__all", F.lit(0))
     d = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = with_average_rank(d, keys, x, "__rx", max_rows)
-    d = with_average_rank(d, keys, y, "__ry", max_rows)
+    d = d.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    if not fits_one_task(d):
+        d = settled(d)  # counted and ranked by either column
+    d = with_average_ranks(d, keys, {"__rx": "__x", "__ry": "__y"}, max_rows)
     out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
     out = out.withColumn("rho", F.when(F.col("n") >= min_n, F.col("rho")))
     if with_p:
