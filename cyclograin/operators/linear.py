@@ -251,13 +251,27 @@ def ridge_subset_column(m: pd.Series, alpha: pd.Series, keep: pd.Series) -> pd.S
 @F.pandas_udf(T.DoubleType())
 def sse_column(m: pd.Series, beta: pd.Series) -> pd.Series:
     """Sum of squared errors of a coefficient vector over the rows behind a moment matrix."""
-    out = []
-    for v, b in zip(m, beta, strict=True):
-        w = np.append(np.asarray(b, dtype=float), -1.0)
-        g = _square(v)
-        shift = w[0] + w[1:] @ g[0, 1:]
-        out.append(float(w[1:] @ g[1:, 1:] @ w[1:] + g[0, 0] * shift * shift))
-    return pd.Series(out, dtype="float64")
+    return pd.Series([_sse(_square(v), b) for v, b in zip(m, beta, strict=True)], dtype="float64")
+
+
+def _sse(g: np.ndarray, beta) -> float:
+    w = np.append(np.asarray(beta, dtype=float), -1.0)
+    shift = w[0] + w[1:] @ g[0, 1:]
+    return float(w[1:] @ g[1:, 1:] @ w[1:] + g[0, 0] * shift * shift)
+
+
+def _held_out_udf(alphas: tuple[float, ...]):
+    @F.pandas_udf(ARRAY)
+    def held_out(whole: pd.Series, m: pd.Series) -> pd.Series:
+        """Squared errors over the rows of ``m`` of the models of all other rows, one per penalty; NULL where there are none."""
+        out = []
+        for a, b in zip(whole, m, strict=True):
+            own = _square(b)
+            rest = without(_square(a), own)
+            out.append([_sse(own, solve_ridge(rest, x)) for x in alphas] if rest[0, 0] > 0.5 else None)
+        return pd.Series(out, dtype=object)
+
+    return held_out
 
 
 def fit(m: DataFrame, alpha: float | Column = 1.0, keep: Column | None = None, out: str = "beta") -> DataFrame:
@@ -365,10 +379,11 @@ def select_alpha(
     ``per_group`` has one moment matrix per (unit, group); all penalties share them.
     """
     whole = pool(per_group.select(*unit, "m"), unit).withColumnRenamed("m", "__all")
-    d = attach(per_group, whole, unit).withColumn("__rest", minus("__all", "m"))
-    d = with_grid(d.filter(F.col("__rest")[0] > 0.5), "alpha", alphas)
-    d = d.withColumn("beta", ridge_column("__rest", F.col("alpha")))
-    d = d.withColumns({"__sse": sse_column("m", "beta"), "__n": n_rows()})
+    # all in one function: each in a row would be a Python process of its own in every task
+    d = attach(per_group, whole, unit).withColumn("__held", _held_out_udf(tuple(map(float, alphas)))("__all", "m"))
+    tried = F.arrays_zip(F.array(*[F.lit(float(a)) for a in alphas]).alias("alpha"), F.col("__held").alias("sse"))
+    d = d.filter(F.col("__held").isNotNull()).select(*unit, n_rows().alias("__n"), F.explode(tried).alias("__t"))
+    d = d.select(*unit, "__n", F.col("__t.alpha").alias("alpha"), F.col("__t.sse").alias("__sse"))
     value = F.avg(F.sqrt(F.col("__sse") / F.col("__n"))) if entity_weighted else F.sqrt(F.sum("__sse") / F.sum("__n"))
     cv = d.groupBy(*unit, "alpha").agg(value.alias("cv_rmse"))
     best = cv.groupBy(*unit).agg(
