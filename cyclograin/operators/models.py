@@ -119,10 +119,10 @@ def shift_auc(
     backbone: str = "logistic",
 ) -> DataFrame:
     """How well a classifier tells source from target rows: mean held-out area over folds."""
-    d = df.withColumn("__y", F.col(is_target).cast("int"))
+    d = settled(df.select(*ids, *xs, F.col(is_target).cast("int").alias("__y")))
     d = kfold(d, ids, n_folds, seed, ["__y"])
     got = out_of_fold(d, "fold", n_folds, xs, "__y", backbone, seed, "__p", "__proba")
-    got = got.withColumn("__s", F.col("__proba")[1])
+    got = settled(got.select("fold", "__y", F.col("__proba")[1].alias("__s")))
     auc = metrics.binary_auc(got, ["fold"], "__y", "__s")
     return auc.agg(F.coalesce(F.avg("auc"), F.lit(0.5)).alias("shift_auc"))
 
@@ -134,6 +134,7 @@ def stack_regression(
     """base(x) + alpha * corrector(y - out-of-fold base); alpha 0 is the base model."""
     d = kfold(train, ids, n_folds, seed, out="__fold")
     oof = out_of_fold(d, "__fold", n_folds, xs, y, base, seed, "__oof").withColumn("__res", F.col(y) - F.col("__oof"))
+    oof = settled(oof.select(*xs, "__res"))
     got = fit_predict(train, test, xs, y, base, seed, "base")
     got = fit_predict(oof, got, xs, "__res", corrector, seed, "correction")
     return got.withColumn("pred", F.col("base") + alpha * F.col("correction"))
