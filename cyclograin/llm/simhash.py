@@ -151,7 +151,8 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFr
     home = rows.mapInArrow(_replicas(threshold, True), "anchor int, fp long").withColumnRenamed("fp", "a")
     near = rows.mapInArrow(_replicas(threshold, False), "anchor int, fp long").withColumnRenamed("fp", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(near, "anchor").filter(close).select("a", "b")
+    # Spark takes the replicas for no larger than the fingerprints they come from and would broadcast them
+    return home.join(near.hint("merge"), "anchor").filter(close).select("a", "b")
 
 
 def near_duplicates(
